@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -18,12 +19,36 @@ def tokenizer_paths(name: str = "byte_bpe_50k") -> dict:
     return {"tokenizer_path": public_tokenizers.path(f"{name}.json"), "ranks_path": public_tokenizers.path(f"{name}.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.max(F.struct("lcs_share", "cosine", "item_id", "lcs", "answer_share")).alias("b")
+    out = out.groupBy("doc_id").agg(best, F.sort_array(F.collect_set("item_id")).alias("item_ids"))  # at most all items
+    return out.select("doc_id", F.lit(True).alias("contaminated"), "b.item_id", "item_ids", "b.cosine", "b.lcs", "b.lcs_share", "b.answer_share")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_paths()["tokenizer_path"])
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = fold(F.col("doc_id"), 4)
+    out = identify(docs, rest != 2)
+    return out.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -36,6 +61,20 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, table(spark, sf_dir, "labels"), lambda c: fold(c, 5) != 0)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import assign_shards
 
