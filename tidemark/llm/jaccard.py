@@ -55,23 +55,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+class Memo(dict):
     """64-bit hashes of words, remembered up to a bound."""
-    import xxhash
 
-    if len(memo) > 400_000:
-        memo.clear()
-    for w in set(words) - memo.keys():
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 400_000:
+            self[word] = h
+        return h
 
 
-def shingles(text: str | None, k: int, memo: dict[bytes, int]) -> np.ndarray:
+def shingles(text: str | None, k: int, memo: Memo) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = word_hashes(words, memo)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
@@ -124,7 +125,7 @@ def frequent_shingles(docs: DataFrame, k: int, least: int, most: int) -> np.ndar
     sees at least twice, summed; the ``most`` most frequent of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = Memo()
         held, size, seen = [], 0, set()
 
         def counted():
@@ -159,7 +160,7 @@ def index_documents(docs: DataFrame, k: int, frequent, num: int, den: int) -> Da
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        memo = Memo()
         often = frequent.value
         for batch in batches:
             n, name, sigs = [], [], []
@@ -230,7 +231,7 @@ def cluster_links(sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(u, v) links of (class, block key, side, text) rows grouped by block pair."""
 
     def run(table: pa.Table) -> pa.Table:
-        memo: dict[bytes, int] = {}
+        memo = Memo()
         sides = table.column("side").to_pylist()
         names = table.column("class").to_pylist()
         found = [shingles(t.as_py(), k, memo) for t in table.column("text")]
