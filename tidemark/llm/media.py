@@ -48,7 +48,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     rows = len(payload) // WIDTH
     lines = bytearray(rows * (WIDTH + 1))
     for k in range(WIDTH):  # one filter byte (none) before each row
