@@ -2,19 +2,20 @@
 
 A document's set holds its distinct k-word shingles (lower-cased A-Z, words split at
 ASCII white space; fewer words: the whole sequence as one).  Documents with equal
-sets form a class first, so copies cost one class.  For a threshold t, sets of n
-shingles can only link if they share at least ceil(t * n), so among the first
-n - ceil(t * n) + 1 shingles of either in any common order at least one is shared.
-
-Order and index.  Shingles that pass 0 found frequent come last; the others are
-*rare* and come first, by hash.  Rare prefix shingles are indexed singly.  Where
-they do not fill the prefix it is extended through the frequent ones, which are
-dealt into sub-classes by hash and indexed as pairs within a sub-class only: x
-shingles of a sub-class exclude x - 1 from the overlap if no pair of them is
-shared, so the prefix ends as soon as rare shingles plus the sum of x - 1 reach the
-prefix length, and no link is lost.  The number of sub-classes is a function of the
-size of the set; sets near the border of two sizes are indexed for both.  The list
-of frequent shingles only orders work; any list gives the same links.
+sets form a class first, so copies cost one class.
+
+Index.  Sets are compared within size levels that overlap, so that any two sets that
+can link are in one level together.  At a level two linked sets differ in at most d
+shingles.  The prefix is extended to the whole set and its shingles are dealt by hash
+into more than d token classes: a class that no difference falls into is the same in
+both sets, so the combination of all its k shingles is indexed as one key.  Every
+shingle counts as frequent here, because one that is rare enough to stand alone
+cannot be told from one that a shared passage brings along; with k of 7 or more on
+average, sets that share a passage but do not link hardly ever meet.  Combinations
+of fewer than ``LEAST_K`` shingles are left out as long as more than d others remain,
+then taken as well; sets dealt so unevenly that d classes or fewer hold anything, and
+levels with d = 0 aside, fall back to single shingles of the plain prefix.  Two sets
+that could miss each other are both in the same case, so no link is lost.
 
 Verification.  Classes that share a signature, directly or through others, form a
 cluster.  A cluster is dealt into blocks of bounded size; every pair of blocks of a
@@ -29,6 +30,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,8 @@ from .common import discard, settle
 from .components import connected_components
 
 WORDS = 3
-FREQUENT = 64
-MAX_FREQUENT = 250_000
+LEAST_K = 3
+GROWTH = 1.3
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
 
@@ -80,95 +82,62 @@ def shingles(text: str | None, k: int, memo: Memo) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - (num * n + den - 1) // den + 1
-
-
-def subclasses(n: int, num: int, den: int) -> int:
-    """Sub-classes of frequent shingles for sets of n: a power of two near a quarter
-    of the prefix."""
-    return 1 << max(0, prefix_length(n, num, den).bit_length() - 3)
+def levels(n: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(level, d) of the size levels that sets of n belong to: level i holds sizes
+    from GROWTH ** i up to GROWTH ** (i + 1) * den / num, and d is the most shingles
+    that two linked sets of it differ in."""
+    out = []
+    i = int(math.log(n) / math.log(GROWTH)) + 1
+    while i >= 0:
+        low = math.floor(GROWTH**i)
+        high = math.ceil(GROWTH ** (i + 1) * den / num)
+        if high < n:
+            break
+        if low <= n:
+            out.append((i, (den - num) * 2 * high // (den + num)))
+        i -= 1
+    return out
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Index keys of a sorted set of shingle hashes (see the module's text)."""
     n = len(s)
-    need = prefix_length(n, num, den)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        often = frequent[at] == s
-        rare, often = s[~often], s[often]
-    else:
-        rare, often = s, s[:0]
-    singles = rare[:need]
-    if len(rare) >= need:
-        return singles
-    out = [singles]
-    low, high = max(1, (num * n + den - 1) // den), n * den // num
-    for m in {subclasses(low, num, den), subclasses(high, num, den)}:
-        sub = (mix(often) & np.uint64(m - 1)).astype(np.int64)
-        # the prefix ends where x - 1, summed over sub-classes, reaches the rest
-        first = np.zeros(len(often), bool)
-        first[np.unique(sub, return_index=True)[1]] = True
-        gained = np.cumsum(~first)
-        end = int(np.searchsorted(gained, need - len(rare))) + 1
-        head, sub = often[:end], sub[:end]
-        for c in np.unique(sub):
-            own = head[sub == c]
-            i, j = np.triu_indices(len(own), 1)
-            out.append(mix((own[i] * M1) ^ mix(own[j] + np.uint64(m))))
+    out = [s[:0]]
+    for level, d in levels(n, num, den):
+        if not d:
+            continue  # only equal sets link, and they are one class
+        m = d + 3 + d // 25
+        tag = np.uint64(level) << np.uint64(40)
+        dealt = mix(s ^ mix(np.array([tag + M1]))) % np.uint64(m)
+        order = np.argsort(dealt, kind="stable")
+        first = np.flatnonzero(np.append(True, dealt[order][1:] != dealt[order][:-1]))
+        size = np.diff(np.append(first, n))
+        keep = size >= LEAST_K
+        if keep.sum() <= d:
+            keep = size >= 1
+        if keep.sum() <= d:
+            need = n - (num * n + den - 1) // den + 1
+            out.append(mix(s[:need] + tag + M1))
+            continue
+        total = np.add.reduceat(mix(s[order] + M2), first)
+        key = mix(total ^ mix(dealt[order][first] + tag + (size.astype(np.uint64) << np.uint64(20))))
+        out.append(key[keep])
     return np.concatenate(out)
 
 
-def frequent_shingles(docs: DataFrame, k: int, least: int, most: int) -> np.ndarray:
-    """Shingles in many documents, by counts over all documents: those that a task
-    sees at least twice, summed; the ``most`` most frequent of ``least`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
-        held, size, seen = [], 0, set()
-
-        def counted():
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= 2
-            return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["shingle", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py(), k, memo)
-                key = s[:4].tobytes()
-                if key in seen:  # copies count once
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(key)
-                held.append(s)
-                size += len(s)
-                if size > 3_000_000:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    counts = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle")
-    rows = top.toPandas()  # at most ``most`` numbers
-    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
-
-
-def index_documents(docs: DataFrame, k: int, frequent, num: int, den: int) -> DataFrame:
+def index_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, n, class, sigs) per document."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        often = frequent.value
         for batch in batches:
             n, name, sigs = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), k, memo)
                 n.append(len(s))
                 name.append(class_of(s))
-                sigs.append(signatures(s, often, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                sigs.append(signatures(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(name, pa.int64()), lists], ["id", "n", "class", "sigs"])
@@ -246,12 +215,10 @@ def cluster_links(sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return sets.groupBy("cluster", "left", "right").applyInArrow(run, "u bigint, v bigint")
 
 
-def jaccard_components(docs: DataFrame, *, num: int = 9, den: int = 10, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", frequent_least: int = FREQUENT, max_frequent: int = MAX_FREQUENT, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, num: int = 9, den: int = 10, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of every row; threshold num / den."""
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    often = spark.sparkContext.broadcast(frequent_shingles(src, words, frequent_least, max_frequent))
-    index = settle(index_documents(src, words, often, num, den), "jaccard-index")
+    index = settle(index_documents(src, words, num, den), "jaccard-index")
     base = index.select("id", "n", "class")
 
     # classes, each with its smallest document; classes that share a signature
