@@ -17,6 +17,10 @@ then taken as well; sets dealt so unevenly that d classes or fewer hold anything
 levels with d = 0 aside, fall back to single shingles of the plain prefix.  Two sets
 that could miss each other are both in the same case, so no link is lost.
 
+Only keys of two classes or more matter.  They are found by one aggregation, then a
+bitmap of fixed size (``BITMAP_WORDS``) drops most other keys, and the text of most
+other documents, before they are joined; its false positives only cost time.
+
 Verification.  Classes that share a signature, directly or through others, form a
 cluster.  A cluster is dealt into blocks of bounded size; every pair of blocks of a
 cluster meets in one task, which counts exact overlaps and returns a spanning
@@ -44,6 +48,7 @@ from .components import connected_components
 WORDS = 3
 LEAST_K = 3
 GROWTH = 1.3
+BITMAP_WORDS = 1 << 19
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
 
@@ -145,6 +150,46 @@ def index_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n bigint, class bigint, sigs array<bigint>")
 
 
+def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
+    """One bit for each value of a column of hashes, modulo the bitmap's size."""
+    word = F.pmod(F.col(hashed), F.lit(BITMAP_WORDS)).cast("int").alias("word")
+    rows = df.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({hashed}, 58) as int)))").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    return bits[hashed & (BITMAP_WORDS - 1)] >> (hashed.view(np.uint64) >> np.uint64(58)) & np.uint64(1) > 0
+
+
+def keys_in(index: DataFrame, sent) -> DataFrame:
+    """(class, sig) rows of the index whose signature is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            lists = batch.column("sigs")
+            sigs = lists.flatten().to_numpy()
+            owner = np.repeat(batch.column("class").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            keep = in_bitmap(bits, sigs)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(sigs[keep])], ["class", "sig"])
+
+    return index.select("class", "sigs").mapInArrow(run, "class bigint, sig bigint")
+
+
+def rows_in(df: DataFrame, hashed, sent) -> DataFrame:
+    """Rows whose hash is in the bitmap; only the hashes go through Python."""
+
+    @F.pandas_udf("boolean")
+    def keep(h):
+        import pandas as pd
+
+        return pd.Series(in_bitmap(sent.value, h.to_numpy(np.int64)))
+
+    return df.where(keep(hashed))
+
+
 def class_of(s: np.ndarray) -> int | None:
     """The name of all sets equal to this one."""
     import xxhash
@@ -217,6 +262,7 @@ def cluster_links(sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, *, num: int = 9, den: int = 10, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of every row; threshold num / den."""
+    sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     index = settle(index_documents(src, words, num, den), "jaccard-index")
     base = index.select("id", "n", "class")
@@ -225,7 +271,9 @@ def jaccard_components(docs: DataFrame, *, num: int = 9, den: int = 10, words: i
     classes = settle(base.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
     keys = index.where("class IS NOT NULL").select("class", F.explode("sigs").alias("sig"))
     shared = keys.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("sig", "low")
-    near = keys.join(shared, "sig").where("class <> low").select(F.col("low").alias("u"), F.col("class").alias("v")).distinct()
+    shared = settle(shared, "jaccard-shared")
+    listed = index.where("class IS NOT NULL AND size(sigs) > 0")
+    near = keys_in(listed, sc.broadcast(bitmap(shared, "sig"))).join(shared, "sig").where("class <> low").select(F.col("low").alias("u"), F.col("class").alias("v")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
 
     # blocks of bounded rows and shingles; each pair of a cluster's blocks once
@@ -235,7 +283,8 @@ def jaccard_components(docs: DataFrame, *, num: int = 9, den: int = 10, words: i
     dealt = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right"), F.when(o < F.col("block"), 1).otherwise(0).alias("side")))
-    held = src.join(dealt.select(F.col("rep").alias("id"), "class", "cluster", "block", "blocks").dropDuplicates(["id", "class"]), "id")
+    reps = members.select(F.xxhash64("rep").alias("h"))
+    held = rows_in(src, F.xxhash64("id"), sc.broadcast(bitmap(reps, "h"))).join(dealt.select(F.col("rep").alias("id"), "class", "cluster", "block", "blocks").dropDuplicates(["id", "class"]), "id")
     held = held.select("cluster", "class", "text", F.explode(pair).alias("pair")).select("cluster", "class", "text", "pair.left", "pair.right", "pair.side")
     links = settle(cluster_links(held, words, num, den), "jaccard-links")
     labels = connected_components(links).select(F.col("node").alias("class"), "label")
