@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("raw").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_count(counts: DataFrame) -> int:
+    """The least count such that at most HEAD words have it or more, up to the width
+    of a logarithmic bucket."""
+    step = 64.0
+    rows = counts.groupBy(F.floor(F.ln("n") * step).cast("int").alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect()  # under 3000 rows
+    total, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r.b):
+        total += r.k
+        if total > HEAD:
+            break
+        least = r.n
+    return least
+
+
 def make_classes(counts: np.ndarray, classes: int) -> np.ndarray:
     """First token of each class and the end: END and UNK alone, then runs of words
     in order of frequency with about equal sums of square roots."""
@@ -85,10 +100,15 @@ def make_classes(counts: np.ndarray, classes: int) -> np.ndarray:
     return np.unique(np.concatenate([[0, 1, 2], cuts[cuts < len(counts)], [len(counts)]]))
 
 
-def log_sum(x: np.ndarray) -> np.ndarray:
+def exp_sum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their row sums."""
     e = np.minimum(x, 60.0)
     np.exp(e, out=e)
-    return np.log(e @ np.ones(x.shape[1], x.dtype))
+    return e, e @ np.ones(x.shape[1], x.dtype)
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    return np.log(exp_sum(x)[1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,9 +195,9 @@ class Recurrent:
         rows = np.arange(m)
         cls = self.of[y]
         logits = x @ self.Oc + self.bc
-        norm = log_sum(logits)
-        loss = float((norm - logits[rows, cls]).sum())
-        d = np.exp(logits - norm[:, None])
+        d, total = exp_sum(logits)
+        loss = float((np.log(total) - logits[rows, cls]).sum())
+        d /= total[:, None]
         d[rows, cls] -= 1
         dx = d @ self.Oc.T
         grads = {"Oc": x.T @ d, "bc": d.sum(0), "Ow": np.zeros_like(self.Ow), "bw": np.zeros_like(self.bw)}
@@ -188,10 +208,11 @@ class Recurrent:
             if hi - lo > 1:
                 at = order[ends[c] : ends[c + 1]]
                 inner = x[at] @ self.Ow[lo:hi].T + self.bw[lo:hi]
-                norm = log_sum(inner)
-                loss += float((norm - inner[np.arange(len(at)), y[at] - lo]).sum())
-                e = np.exp(inner - norm[:, None])
-                e[np.arange(len(at)), y[at] - lo] -= 1
+                e, total = exp_sum(inner)
+                own = np.arange(len(at)), y[at] - lo
+                loss += float((np.log(total) - inner[own]).sum())
+                e /= total[:, None]
+                e[own] -= 1
                 dx[at] += e @ self.Ow[lo:hi]
                 grads["Ow"][lo:hi], grads["bw"][lo:hi] = e.T @ x[at], e.sum(0)
         dhs = np.zeros((T * B, H), np.float32)
@@ -345,7 +366,7 @@ def encode(raw: bytes | None, number: dict[bytes, int]) -> np.ndarray:
     words = words_of(raw)
     get = number.get
     out = np.empty(len(words) + 1, np.int32)
-    out[:-1] = [get(w, UNK) for w in words]
+    out[:-1] = np.fromiter(map(get, words, repeat(UNK)), np.int32, len(words))
     out[-1] = END
     return out
 
@@ -359,7 +380,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counts = settle(count_words(src.where("NOT held_out")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     z = total + 0.1 * (distinct + 1)
-    top = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(HEAD).collect()  # at most HEAD words
+    least = head_count(counts.where("word IS NOT NULL"))
+    top = counts.where((F.col("word").isNotNull()) & (F.col("n") >= least)).collect()  # at most HEAD words
+    top.sort(key=lambda r: (-r.n, bytes(r.word)))
     ends = counts.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     head_words, head_counts = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
     own = min(lm_words, len(head_words))
@@ -372,7 +395,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sc = spark.sparkContext
     sent, head = sc.broadcast((model.pack(), tally, own)), sc.broadcast((head_words, head_counts))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["row", "id", "held_out", "n_tokens", "known", "base", "score", "tail"]
+    names = ["row", "id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, tally, own = sent.value
@@ -392,11 +415,12 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             lp = score_texts(lm, [x[2] for x in held], steps=steps, width=width)
             cols = [[row + k for k in range(len(held))], [x[0] for x in held], [x[1] for x in held], [len(x[2]) for x in held], [x[3] for x in held], [x[4] for x in held], [float(v) + x[5] for v, x in zip(lp, held, strict=True)]]
             row += len(held)
-            tails = [x[6] for x in held]
+            tails = [Counter(x[6]) for x in held]
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
             flat = pa.array([w for t in tails for w in t], pa.binary())
+            times = pa.array([n for t in tails for n in t.values()], pa.int64())
             types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.ListArray.from_arrays(pa.array(ends), flat)], names)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.ListArray.from_arrays(pa.array(ends), times)], names)
 
         for batch in batches:
             id_type = batch.schema.field("id").type
@@ -404,7 +428,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             get, none = number.get, len(words)
             for doc, out, raw in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("raw"), strict=True):
                 tokens = words_of(raw.as_py())
-                at = np.fromiter((get(w, none) for w in tokens), np.int32, len(tokens))
+                at = np.fromiter(map(get, tokens, repeat(none)), np.int32, len(tokens))
                 ids = np.append(lm_of[at], np.int32(END))
                 beyond = np.flatnonzero(at == none)
                 base = base_of[at]
@@ -417,11 +441,11 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if held:
                 yield solve(held)
 
-    scored = settle(src.select("id", "held_out", "raw").mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, tail array<binary>"), "lm-scored")
-    tail = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    looked = tail.join(counts, "word", "left")
+    scored = settle(src.select("id", "held_out", "raw").mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, tail array<binary>, times array<bigint>"), "lm-scored")
+    tail = scored.where(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
+    looked = tail.join(counts.where(F.col("n") < least), "word", "left")
     more = looked.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.ln((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(z))).alias("more"))
     ln10 = F.lit(math.log(10))
-    out = scored.drop("tail").join(more, "row", "left")
+    out = scored.drop("tail", "times").join(more, "row", "left")
     rest = F.coalesce("more", F.lit(0.0))
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), ((F.col("base") + rest) / ln10).alias("base_score"), ((F.col("score") + rest) / ln10).alias("score"))
