@@ -1,11 +1,342 @@
-"""The catalogue of named queries and their SQL oracles."""
+"""The catalogue of named queries over the standard tables; oracles in oracles.py."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import facts, metrics, scoring, search, stream, validate
+from ..sources.tables import table
+from .oracles import ORACLES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def claims(spark, d):
+    return facts.claims_of_events(table(spark, d, "events"))
+
+
+def probes(spark, d):
+    """One probe per user and slot at each quarter of the stream."""
+    c = claims(spark, d)
+    ends = c.agg(F.max("seq").alias("top"))
+    who = c.select("user_id", "slot").distinct()
+    quarters = F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("q")
+    p = who.crossJoin(F.broadcast(ends)).select("*", quarters)  # ends is one row
+    asked = F.floor(F.col("top") * F.col("q") / 4).cast("long")
+    target = F.when((F.col("user_id") + F.col("q")) % 2 == 0, F.floor(asked / 2).cast("long")).otherwise(asked)
+    return p.select(F.concat_ws("|", "user_id", "slot", "q").alias("probe_id"), "user_id", "slot", asked.alias("asked"), target.alias("target"))
+
+
+def questions(spark, d):
+    """The first eight words of each benchmark item."""
+    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), head.alias("text"))
+
+
+def ranked_turns(spark, d):
+    t = stream.trace(table(spark, d, "conversations"))
+    corpus = t.select(F.col("user_id").alias("scope"), F.col("event_id").alias("item_id"), F.col("content").alias("text"))
+    scopes = corpus.select("scope").distinct()
+    asked = questions(spark, d).crossJoin(F.broadcast(scopes))  # ten scopes
+    return search.bm25(corpus, asked), corpus
+
+
+@query
+def trace_events(spark, d):
+    return stream.trace(table(spark, d, "conversations")).select("event_id", "user_id", "session_id", "kind", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query
+def event_gate_dedupe(spark, d):
+    rows = claims(spark, d).select(F.col("seq").alias("event_id"), "user_id", "slot")
+    again = rows.unionByName(rows.where("event_id % 3 = 0"))
+    return stream.gate(again, rows.where("event_id % 11 = 0"))
+
+
+@query
+def session_batches(spark, d):
+    return stream.session_batches(stream.trace(table(spark, d, "conversations")))
+
+
+@query
+def split_batches(spark, d):
+    ops = claims(spark, d).select(F.col("user_id").alias("session_id"), "seq", F.col("is_delete").alias("is_trigger"))
+    return stream.split_batches(ops)
+
+
+@query
+def claim_outcomes(spark, d):
+    return facts.outcomes(claims(spark, d)).select("seq", "user_id", "slot", "epoch", "outcome")
+
+
+@query
+def claim_outcomes_any_trust(spark, d):
+    return facts.outcomes(claims(spark, d), introduce_trust=1).groupBy("slot", "outcome").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query
+def fact_history(spark, d):
+    return facts.history(claims(spark, d))
+
+
+@query
+def fact_current(spark, d):
+    return facts.current(claims(spark, d))
+
+
+@query
+def write_report(spark, d):
+    return facts.write_report(claims(spark, d))
+
+
+@query
+def fact_as_of(spark, d):
+    c = claims(spark, d)
+    asked = c.where("seq % 5 = 0").select("user_id", "slot", F.col("ts").alias("as_of"))
+    return facts.as_of(facts.history(c), asked)
+
+
+@query
+def abstain_reasons(spark, d):
+    c = claims(spark, d)
+    ends = c.agg(F.max("ts").alias("as_of"))
+    asked = c.select("user_id", "slot").distinct().crossJoin(F.broadcast(ends))  # one row
+    return facts.abstain_reasons(c, asked).select("user_id", "slot", "value", "reason")
+
+
+@query
+def point_in_time_checkpoints(spark, d):
+    c = claims(spark, d)
+    at = c.where("seq % 2500 = 2499").select(F.concat(F.lit("c"), F.floor(F.col("seq") / 2500).cast("string")).alias("name"), F.col("ts").alias("at"))
+    seen = facts.history(facts.point_in_time(c, at)).where("live AND valid_to IS NULL")
+    return seen.groupBy(F.split("slot", r"\|")[0].alias("checkpoint"), F.split("slot", r"\|")[1].alias("slot")).agg(F.count("*").alias("open"), F.sum("trust").alias("trust"))
+
+
+@query
+def delete_tombstones(spark, d):
+    return facts.tombstones(claims(spark, d))
+
+
+@query
+def blocked_events(spark, d):
+    return facts.blocked_events(claims(spark, d))
+
+
+@query
+def bm25_topk(spark, d):
+    return ranked_turns(spark, d)[0]
+
+
+@query
+def bm25_stats(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("item_id"), "text")
+    tf, scope = search.term_stats(docs)
+    per = tf.groupBy("scope").agg(F.countDistinct("term").alias("terms"), F.sum("tf").alias("tokens"))
+    return scope.join(per, "scope").select("scope", "n", "terms", "tokens", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query
+def budget_prefix(spark, d):
+    ranked, corpus = ranked_turns(spark, d)
+    cost = corpus.select("scope", "item_id", X.token_count(F.col("text")).alias("tokens"))
+    return search.within_budget(ranked.join(cost, ["scope", "item_id"]), 60).select("query_id", "scope", "rank", "item_id", "tokens", "used")
+
+
+@query
+def vector_topk(spark, d):
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.vector_topk(v, asked).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
+def _hybrid(spark, d):
+    ranked, _ = ranked_turns(spark, d)
+    turns = ranked.where("scope = 0").select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), "item_id")
+    now = facts.current(claims(spark, d)).where("slot = 'click'").groupBy("user_id").agg(F.max("value").alias("v"))
+    known = now.select(F.col("user_id").cast("long").alias("query_id"), F.lit(1).cast("long").alias("rank"), F.concat(F.lit("click: "), "v").alias("item_id"))
+    return known.join(questions(spark, d).select("query_id"), "query_id", "left_semi").where("query_id % 2 = 0"), turns
+
+
+@query
+def hybrid_fallback(spark, d):
+    return search.fallback(*_hybrid(spark, d))
+
+
+@query
+def hybrid_augment(spark, d):
+    return search.augment(*_hybrid(spark, d))
+
+
+@query
+def hybrid_scrub(spark, d):
+    """Turns that survive once values named by deleted events are scrubbed."""
+    t = stream.trace(table(spark, d, "conversations"))
+    words = spark.createDataFrame([("the",), ("and that",)], "phrase string")
+    bad = t.join(F.broadcast(words), X.mentions(F.col("content"), F.col("phrase"))).select("event_id").distinct()
+    return t.join(bad, "event_id", "left_anti").select("event_id", "user_id")
+
+
+@query
+def phrase_mentions(spark, d):
+    docs = table(spark, d, "documents")
+    phrase = spark.createDataFrame([("the",), ("est",), ("und  der",), ("is a",)], "phrase string")
+    return docs.join(F.broadcast(phrase), X.mentions(F.col("text"), F.col("phrase"))).groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("doc_id").alias("ids"))
+
+
+@query
+def entity_names(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.where(X.names(F.col("text"), F.lit("the"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query
+def grounded_values(spark, d):
+    value = F.element_at(F.split("text", r"\s+"), 1)
+    return table(spark, d, "documents").select("doc_id", value.alias("value"), X.grounded(value, F.reverse("text")).alias("reversed"), X.grounded(value, F.col("text")).alias("grounded"))
+
+
+@query
+def slot_keys(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", X.slot_key(F.col("s_name"), F.lit(' Test "Command" x-y ')).alias("slot"))
+
+
+@query
+def named_slots(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.where(X.names_slot(F.col("text"), F.lit("the/an_th"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query
+def token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).alias("tokens"))
+
+
+@query
+def expected_answers(spark, d):
+    m = scoring.mutations_of(facts.outcomes(claims(spark, d)))
+    return scoring.expected(m, probes(spark, d))
+
+
+@query
+def explain_forbidden(spark, d):
+    m = scoring.mutations_of(facts.outcomes(claims(spark, d)))
+    return scoring.explain(m, probes(spark, d)).groupBy("reason", "value").agg(F.count("*").alias("probes"))
+
+
+@query
+def verdicts(spark, d):
+    """Evidence is the value last claimed before a probe, whatever its trust."""
+    m = scoring.mutations_of(facts.outcomes(claims(spark, d)))
+    p = probes(spark, d)
+    e = scoring.expected(m, p)
+    said = p.join(m.where("value IS NOT NULL").select("user_id", "slot", "seq", "value"), ["user_id", "slot"]).where("seq <= asked").groupBy("probe_id").agg(F.max_by("value", "seq").alias("said"))
+    rows = e.join(said, "probe_id", "left")
+    hit = F.coalesce(F.col("said") == F.col("truth"), F.lit(False))
+    bad = F.coalesce(F.array_contains(F.split("forbidden", ","), F.col("said")), F.lit(False))
+    return rows.select(scoring.verdict(F.col("kind"), hit, bad, F.col("said").isNull()).alias("verdict"), "kind").groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+
+
+@query
+def isolation_check(spark, d):
+    """Values that a user holds and that others hold as well."""
+    now = facts.current(claims(spark, d)).select("user_id", "value").distinct()
+    owners = now.groupBy("value").agg(F.count("*").alias("owners"))
+    return now.join(owners.where("owners > 1"), "value").groupBy("user_id").agg(F.count("*").alias("shared_values"))
+
+
+@query
+def accuracy_mean_sd(spark, d):
+    return metrics.accuracy(metrics.run_log(table(spark, d, "events")))
+
+
+@query
+def median_latency(spark, d):
+    return metrics.latency(metrics.run_log(table(spark, d, "events")))
+
+
+@query
+def per_checkpoint(spark, d):
+    return metrics.per_checkpoint(metrics.run_log(table(spark, d, "events")))
+
+
+@query
+def verdict_pivot(spark, d):
+    return metrics.verdict_pivot(metrics.run_log(table(spark, d, "events")))
+
+
+@query
+def noise_flips(spark, d):
+    log = metrics.run_log(table(spark, d, "events")).withColumn("unit", F.floor(F.col("probe_id") / 3))
+    return metrics.noise(log, "unit")
+
+
+@query
+def bootstrap_ci(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    w = metrics.W.partitionBy("lang").orderBy("doc_id")
+    rows = rows.select("lang", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("quality").cast("double").alias("quality"))
+    return metrics.bootstrap(rows, "lang", "quality")
+
+
+@query
+def stratified_sample(spark, d):
+    return metrics.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 10).select("lang", "doc_id", "pick")
+
+
+@query
+def cost_usd(spark, d):
+    k = F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("long")
+    models = ["gpt-4.1-mini-2025", "gpt-4o-2024-08-06", "gpt-4.1-2025-04-14", "unknown-model"]
+    calls = table(spark, d, "events").select(F.col("event_id").alias("call_id"), F.get(F.array(*map(F.lit, models)), (F.col("event_id") % 4).cast("int")).alias("model"), (k * 100).alias("tokens_in"), k.alias("tokens_out"))
+    return metrics.price_calls(calls, spark.createDataFrame(metrics.PRICES, "prefix string, price_in double, price_out double"))
+
+
+@query
+def store_stats(spark, d):
+    h = facts.history(claims(spark, d)).where("live")
+    return h.groupBy("user_id").agg(F.count("*").alias("items"), F.sum(F.octet_length("value").cast("long")).alias("bytes"), F.count_if(F.col("valid_to").isNull()).alias("active"))
+
+
+@query
+def cache_hit_split(spark, d):
+    req = table(spark, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+    marked = metrics.cache_split(req, req.where("conv_id % 4 = 0"))
+    return marked.groupBy("hit").agg(F.count("*").alias("requests"), F.countDistinct("digest").alias("distinct_requests"))
+
+
+@query
+def validate_duplicates(spark, d):
+    return validate.duplicates(table(spark, d, "documents"), "text").agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+@query
+def validate_order(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "value")
+    return validate.out_of_order(rows, "user_id", "event_id", "value")
+
+
+@query
+def validate_references(spark, d):
+    return validate.unknown_references(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", table(spark, d, "labels"), "doc_id")
+
+
+@query
+def validate_sequence(spark, d):
+    return validate.illegal_sequence(facts.outcomes(claims(spark, d))).agg(F.count("*").alias("violations"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in QUERIES}
