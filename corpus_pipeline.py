@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, settle, table
+from tidemark.llm.common import drop_ids, fold, join_ids, settle, table
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import UND, identify
@@ -38,18 +38,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays;
     of rows with that id, one; rows without an id all stay."""
-    groups = jaccard_components(docs)
-    kept = settle(groups.where("component_id = doc_id").select("doc_id"), "kept")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(kept.distinct() if repeated else kept, "doc_id", "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    groups = settle(jaccard_components(docs), "groups")
+    out = drop_ids(docs, groups.where("component_id <> doc_id").select("doc_id"), "doc_id")
+    repeated = settle(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.limit(1).count():
+        one = join_ids(out, repeated, "doc_id").dropDuplicates(["doc_id"])
+        out = drop_ids(out, repeated, "doc_id").unionByName(one.select(*docs.columns))
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that hold a benchmark item."""
     leaks = settle(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return drop_ids(docs, leaks, "doc_id")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

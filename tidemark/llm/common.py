@@ -10,10 +10,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Words of 64 bits in a bitmap: 4 MB, whatever the input.
+BITMAP_WORDS = 1 << 19
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can read and write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,3 +70,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
+
+
+def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
+    """One bit for each value of a column of hashes, modulo the bitmap's size."""
+    word = F.pmod(F.col(hashed), F.lit(BITMAP_WORDS)).cast("int").alias("word")
+    rows = df.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({hashed}, 58) as int)))").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    return bits[hashed & (BITMAP_WORDS - 1)] >> (hashed.view(np.uint64) >> np.uint64(58)) & np.uint64(1) > 0
+
+
+def rows_in(df: DataFrame, hashed: Column, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose hash is (not) in the bitmap; only the hashes go through Python."""
+    sent = df.sparkSession.sparkContext.broadcast(bits)  # BITMAP_WORDS numbers
+
+    @F.pandas_udf("boolean")
+    def keep(h):
+        import pandas as pd
+
+        return pd.Series(in_bitmap(sent.value, h.to_numpy(np.int64)) == inside)
+
+    return df.where(keep(hashed))
+
+
+def join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that few rows of ``df`` have: a bitmap drops most of the
+    others before anything is shuffled."""
+    bits = bitmap(ids.select(F.xxhash64(key).alias("_h")), "_h")
+    return rows_in(df, F.xxhash64(key), bits).join(ids, key)
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``ids`` (nulls stay); only those that the bitmap
+    cannot clear are joined."""
+    bits = bitmap(ids.select(F.xxhash64(key).alias("_h")), "_h")
+    clear = rows_in(df, F.xxhash64(key), bits, False)
+    rest = rows_in(df, F.xxhash64(key), bits).join(ids.select(key).distinct(), key, "left_anti")
+    return clear.unionByName(rest.select(*df.columns))

@@ -18,7 +18,7 @@ levels with d = 0 aside, fall back to single shingles of the plain prefix.  Two
 that could miss each other are both in the same case, so no link is lost.
 
 Only keys of two classes or more matter.  They are found by one aggregation, then a
-bitmap of fixed size (``BITMAP_WORDS``) drops most other keys, and the text of most
+bitmap of fixed size (``common.BITMAP_WORDS``) drops most other keys, and the text of most
 other documents, before they are joined; its false positives only cost time.
 
 Verification.  Classes that share a signature, directly or through others, form a
@@ -42,13 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import bitmap, discard, in_bitmap, rows_in, settle
 from .components import connected_components
 
 WORDS = 3
 LEAST_K = 3
 GROWTH = 1.3
-BITMAP_WORDS = 1 << 19
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
 
@@ -150,19 +149,6 @@ def index_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n bigint, class bigint, sigs array<bigint>")
 
 
-def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
-    """One bit for each value of a column of hashes, modulo the bitmap's size."""
-    word = F.pmod(F.col(hashed), F.lit(BITMAP_WORDS)).cast("int").alias("word")
-    rows = df.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({hashed}, 58) as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_WORDS, np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    return bits[hashed & (BITMAP_WORDS - 1)] >> (hashed.view(np.uint64) >> np.uint64(58)) & np.uint64(1) > 0
-
-
 def keys_in(index: DataFrame, sent) -> DataFrame:
     """(class, sig) rows of the index whose signature is in the bitmap."""
 
@@ -178,18 +164,6 @@ def keys_in(index: DataFrame, sent) -> DataFrame:
     return index.select("class", "sigs").mapInArrow(run, "class bigint, sig bigint")
 
 
-def rows_in(df: DataFrame, hashed, sent) -> DataFrame:
-    """Rows whose hash is in the bitmap; only the hashes go through Python."""
-
-    @F.pandas_udf("boolean")
-    def keep(h):
-        import pandas as pd
-
-        return pd.Series(in_bitmap(sent.value, h.to_numpy(np.int64)))
-
-    return df.where(keep(hashed))
-
-
 def class_of(s: np.ndarray) -> int | None:
     """The name of all sets equal to this one."""
     import xxhash
@@ -284,7 +258,7 @@ def jaccard_components(docs: DataFrame, *, num: int = 9, den: int = 10, words: i
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right"), F.when(o < F.col("block"), 1).otherwise(0).alias("side")))
     reps = members.select(F.xxhash64("rep").alias("h"))
-    held = rows_in(src, F.xxhash64("id"), sc.broadcast(bitmap(reps, "h"))).join(dealt.select(F.col("rep").alias("id"), "class", "cluster", "block", "blocks").dropDuplicates(["id", "class"]), "id")
+    held = rows_in(src, F.xxhash64("id"), bitmap(reps, "h")).join(dealt.select(F.col("rep").alias("id"), "class", "cluster", "block", "blocks").dropDuplicates(["id", "class"]), "id")
     held = held.select("cluster", "class", "text", F.explode(pair).alias("pair")).select("cluster", "class", "text", "pair.left", "pair.right", "pair.side")
     links = settle(cluster_links(held, words, num, den), "jaccard-links")
     labels = connected_components(links).select(F.col("node").alias("class"), "label")

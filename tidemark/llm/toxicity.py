@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_ids
+
 BITS = 20
 DIM = 1 << BITS
 WORD = re.compile(r"[^\W\d_]+")
@@ -172,12 +174,13 @@ def best_threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -
     return float(best[-1])
 
 
-def fit(labelled: DataFrame, unlabelled: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 16000, **options) -> Model:
-    """labelled: (doc_id, text, toxic); unlabelled: (doc_id, text)."""
-    total, toxic = labelled.agg(F.count("toxic"), F.sum("toxic")).first()
+def fit(text: DataFrame, known: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 16000, **options) -> Model:
+    """text: (doc_id, text), all of it unlabelled; known: (doc_id, toxic)."""
+    total, toxic = known.agg(F.count("toxic"), F.sum("toxic")).first()
     prior = min(0.9, max(1e-3, (toxic or 0) / (total or 1)))
-    positive = gather(labelled.where("toxic = 1 AND text IS NOT NULL"), max_positive)
-    return train(positive, gather(unlabelled.where("text IS NOT NULL"), max_unlabelled), prior, **options)
+    text = text.where("text IS NOT NULL")
+    positive = gather(join_ids(text, known.where("toxic = 1").select("doc_id"), "doc_id"), max_positive)
+    return train(positive, gather(text, max_unlabelled), prior, **options)
 
 
 def scorer(docs: DataFrame, model: Model):
@@ -200,6 +203,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable, *, id_col: str
     for rows where ``learnable(id column)`` holds."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(learnable(F.col("doc_id")))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where("toxic IS NOT NULL").where(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    score = scorer(docs, fit(text.join(known, "doc_id"), text, **options))
+    score = scorer(docs, fit(text, known, **options))
     out = docs.withColumn("score", score(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
