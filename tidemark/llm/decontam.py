@@ -11,12 +11,12 @@ vector is a sum over its words.  Every document is cut into windows of ``WINDOW`
 words that overlap by half.  The cosine of a window and a passage is taken in the
 latent space, against the window's full TF-IDF norm (words outside the benchmark
 count as well) and scaled so that a passage has 1 with itself; from ``min_cosine``
-the window is a candidate.  All windows of all documents meet all passages.
+the window is a candidate, less for a passage that fills only part of a window.  All windows of all documents meet all passages.
 
 Checks.  A candidate window must hold at least ``bag_least`` of the passage's words
 in any order.  Its region is then compared word by word with the whole item: the
-longest common subsequence, as a share of the item, must reach ``lcs_sure``, or
-``lcs_least`` with at least ``answer_least`` of the item's answer words (its rarest
+longest common subsequence of a stretch at most a quarter longer than the item, as a
+share of the item, must reach ``lcs_sure``, or ``lcs_least`` with at least ``answer_least`` of the item's answer words (its rarest
 quarter) in the region, which admits paraphrases but not a shared style.
 
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items and
@@ -196,7 +196,7 @@ class Index:
         full[same] += energy[1:][same[:-1]]
         norm = np.maximum(np.sqrt(full), np.linalg.norm(window, axis=1))
         cosine = (window / np.maximum(norm, 1e-9)[:, None]) @ self.passages
-        at, p = np.nonzero(cosine >= min_cosine)
+        at, p = np.nonzero(cosine >= min_cosine * np.sqrt(self.sizes / WINDOW, dtype=np.float32))
         bag = self.member[p[:, None], ids[at]].sum(1)
         two = same[at]
         bag[two] += self.member[p[two][:, None], ids[at[two] + 1]].sum(1)
@@ -210,8 +210,14 @@ class Index:
         got = lcs_length(bits, size, words)
         if got < lcs_least * size:
             return None
-        share = len(answer.intersection(words)) / len(answer)
-        return (got, share) if got >= lcs_sure * size or share >= answer_least else None
+        # the same within a stretch about as long as the item
+        width, step = size + size // 4, max(1, size // 8)
+        best = (0, 0.0)
+        for at in range(0, max(1, len(words) - width + step), step):
+            part = words[at : at + width]
+            best = max(best, (lcs_length(bits, size, part), len(answer.intersection(part)) / len(answer)))
+        got, share = best
+        return best if got >= lcs_sure * size or got >= lcs_least * size and share >= answer_least else None
 
 
 def search(docs: DataFrame, index: Index, item_type: T.DataType, *, min_cosine: float, bag_least: float, lcs_sure: float, lcs_least: float, answer_least: float) -> DataFrame:

@@ -5,7 +5,8 @@ group look at where their group is: a group's shard histogram (at most one row p
 shard) gives each member the shard with most other members, and with it a wish to
 move.  Wishes between two shards are met up to equal numbers in both directions
 plus the target's free room, by a hash threshold, so no shard has to be ordered to
-pick the movers.  The last step makes sizes exact: within a shard linked documents
+pick the movers.  Documents without a link give way to linked ones, so they take no
+room here.  Groups larger than a shard propagate in parts that fit.  The last step makes sizes exact: within a shard linked documents
 come first, group by group; what exceeds the quota is handed, in that order, to the
 shards that have room.  Row counts then differ by at most one.
 
@@ -13,7 +14,7 @@ Numbering is done in two levels (buckets of bounded size, then a prefix sum over
 bucket counts), with large groups salted over buckets, so no task holds a shard or
 a group.  Only DataFrame expressions are used.
 
-Ties go to the current shard, then the lowest; repeated rows are members of one
+Ties between shards go by a hash of group and shard; repeated rows are members of one
 group and are placed one by one; null text has size 16 and crc 0 and counts as
 equal to other null text; an empty table gives an empty result; extra columns are
 ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, settle
 
-ROUNDS = 3
+ROUNDS = 4
 OVERHEAD_BYTES = 16
 BUCKET_ROWS = 400
 
@@ -52,10 +53,9 @@ def propagate(linked: DataFrame, counts: DataFrame, shards: int, total: int, rou
     cap = -(-total // shards)
     for _ in range(rounds):
         hist = linked.groupBy("g", "shard").agg(F.count("*").alias("n"))
-        best = hist.groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).select("g", F.col("b.n").alias("most"), (-F.col("b.s")).alias("want"))
-        here = linked.join(hist, ["g", "shard"]).join(best, "g")
-        moves = here.withColumn("want", F.when(F.col("most") > F.col("n") - 1, F.when(F.col("n") == F.col("most"), F.col("shard")).otherwise(F.col("want"))).otherwise(F.col("shard")))
-        moves = settle(moves.select("doc_id", "_row", "g", "shard", "want"), "shard-wishes")
+        # the shard with most members has more of the others than any member's own
+        best = hist.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "shard").alias("tie"), F.col("shard").alias("s"))).alias("b")).select("g", F.col("b.s").alias("want"))
+        moves = settle(linked.join(best, "g").select("doc_id", "_row", "g", "shard", "want"), "shard-wishes")
         flow = moves.where("want <> shard").groupBy("shard", "want").agg(F.count("*").alias("p"))
         back = flow.select(F.col("want").alias("shard"), F.col("shard").alias("want"), F.col("p").alias("q"))
         room = counts.select(F.col("shard").alias("want"), F.greatest(F.lit(0), F.lit(cap) - F.col("n")).alias("room"))
@@ -68,7 +68,7 @@ def propagate(linked: DataFrame, counts: DataFrame, shards: int, total: int, rou
         linked = settle(moved.select("doc_id", "_row", "g", F.when(draw < F.col("share"), F.col("want")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
         discard(moves)
         shift = linked.groupBy("shard").count()
-        counts = counts.select("shard", "n", "single").join(F.broadcast(shift), "shard", "left").select("shard", (F.col("single") + F.coalesce("count", F.lit(0))).alias("n"), "single")
+        counts = counts.select("shard").join(F.broadcast(shift), "shard", "left").select("shard", F.coalesce("count", F.lit(0)).alias("n"))
     return linked
 
 
@@ -124,9 +124,11 @@ def assign_shards(docs: DataFrame, *, shards: int = 40, rounds: int = ROUNDS, id
     bucket_rows = max(bucket_rows, total // 200_000)
     groups = settle(base.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "shard-groups")
     marked = settle(base.join(groups, "g", "left").withColumn("linked", F.col("m").isNotNull()), "shard-marked")
-    linked = marked.where("linked").select("doc_id", "_row", "g", "shard")
+    parts = F.ceil(F.col("m") / max(1, total // shards))
+    part = F.concat_ws("#", "g", F.pmod(F.xxhash64("doc_id", "_row", F.lit("part")), parts))
+    linked = marked.where("linked").select("doc_id", "_row", part.alias("g"), "shard")
     every = base.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    counts = every.join(marked.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("single")), "shard", "left").na.fill(0, ["n", "single"])
+    counts = every.join(linked.groupBy("shard").agg(F.count("*").alias("n")), "shard", "left").na.fill(0, ["n"])
     labels = propagate(linked, counts, shards, total, rounds)
     rest = marked.where("NOT linked").select("doc_id", "_row", "g", "size", "text_crc32", "shard", F.lit(1).cast("long").alias("m"), "linked")
     placed = marked.where("linked").drop("shard").join(labels.select("_row", "shard"), "_row")
