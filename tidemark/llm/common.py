@@ -63,7 +63,28 @@ def clear_scratch(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/tidemark")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long rows: send fewer of them to Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def tidy() -> None:
+    """Give the freed memory of a Python worker, which is used again, back."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 WORD = re.compile(r"\w+")
 WINDOW = 32
 HALF = WINDOW // 2
@@ -49,7 +51,7 @@ CHUNK_ROWS = 512
 MIN_WORDS = 8
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 1 << 20
-CHUNK_WORDS = 1 << 17
+CHUNK_WORDS = 1 << 15
 
 
 def words_of(text: str | None) -> list[str]:
@@ -275,6 +277,7 @@ def search(docs: DataFrame, index: Index, item_type: T.DataType, *, min_cosine:
             if rows or types:
                 types[1] = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        tidy()
 
     out = docs.mapInArrow(run, f"id {kind}, item_id {item_kind}, cosine double, lcs bigint, lcs_share double, answer_share double")
     return out

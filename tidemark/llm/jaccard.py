@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, in_bitmap, rows_in, settle
+from .common import bitmap, discard, in_bitmap, rows_in, settle, tidy
 from .components import connected_components
 
 WORDS = 3
@@ -68,7 +68,7 @@ class Memo(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -145,6 +145,8 @@ def index_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(name, pa.int64()), lists], ["id", "n", "class", "sigs"])
+        memo.clear()
+        tidy()
 
     return docs.mapInArrow(run, f"id {kind}, n bigint, class bigint, sigs array<bigint>")
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .token_counts import load_tokenizer, stable_pieces
 
 SIZE = 2048
@@ -213,5 +214,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | None = None,
         rows.extend(packer.solve(True))
         if rows:
             yield batch_of(rows)
+        tidy()
 
     return src.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
