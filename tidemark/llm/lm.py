@@ -422,9 +422,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.ListArray.from_arrays(pa.array(ends), times)], names)
 
+        held, size = [], 0
         for batch in batches:
             id_type = batch.schema.field("id").type
-            held, size = [], 0
             get, none = number.get, len(words)
             for doc, out, raw in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("raw"), strict=True):
                 tokens = words_of(raw.as_py())
@@ -438,8 +438,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if size >= STREAM_TOKENS or len(held) >= STREAM_DOCS:
                     yield solve(held)
                     held, size = [], 0
-            if held:
-                yield solve(held)
+        if held:
+            yield solve(held)
 
     scored = settle(src.select("id", "held_out", "raw").mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, tail array<binary>, times array<bigint>"), "lm-scored")
     tail = scored.where(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
