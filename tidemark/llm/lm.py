@@ -259,8 +259,9 @@ class Recurrent:
 
 
 def windows(texts: list[np.ndarray], steps: int, width: int) -> Iterator[tuple]:
-    """Batches of documents in windows: (documents, previous tokens, targets, valid,
-    first window).  texts: token ids that end with END; sorted by length so that a
+    """Batches of documents in windows of about equal size, ``steps`` tokens long or up
+    to 16 times that where few documents are left: (documents, previous tokens,
+    targets, valid, first window).  texts: token ids that end with END; sorted by length so that a
     batch shrinks as documents end.  ``width`` bounds the batch."""
     lengths = np.array([len(t) for t in texts])
     order = np.argsort(-lengths, kind="stable")
@@ -272,7 +273,8 @@ def windows(texts: list[np.ndarray], steps: int, width: int) -> Iterator[tuple]:
         at = 0
         while at < sizes[0]:
             live = int(np.searchsorted(-sizes, -at, side="left"))  # longer than at
-            t = np.arange(at, min(at + steps, int(sizes[0])))[:, None]
+            long = steps * max(1, min(16, width // live))  # few documents: longer windows
+            t = np.arange(at, min(at + long, int(sizes[0])))[:, None]
             valid = t < sizes[:live]
             place = first[:live] + t
             target = flat.take(place, mode="clip")
