@@ -8,7 +8,7 @@ import pytest
 from tidemark.plans.catalogue import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings benchmark labels conversations supplier".split()
+TABLES = "events documents embeddings benchmark labels conversations supplier part".split()
 
 
 @pytest.fixture(scope="module")

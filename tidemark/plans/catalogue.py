@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import facts, metrics, scoring, search, stream, validate
+from ..operators import evidence, extract, facts, metrics, report, scoring, search, stream, validate
 from ..sources.tables import table
 from .oracles import ORACLES
 
@@ -334,6 +334,98 @@ def validate_sequence(spark, d):
     return validate.illegal_sequence(facts.outcomes(claims(spark, d))).agg(F.count("*").alias("violations"))
 
 
+@query
+def rule_claims(spark, d):
+    return extract.rule_claims(stream.trace(table(spark, d, "conversations"))).select("event_id", "slot", "value")
+
+
+@query
+def routed_slots(spark, d):
+    return extract.routed_slots(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def fact_evidence(spark, d):
+    source = F.when(F.col("trust") == 3, "user_message").when(F.col("trust") == 2, "document").otherwise("assistant_message")
+    return facts.history(claims(spark, d)).where("live").select("user_id", "seq", evidence.fact_line("slot", source).alias("content"))
+
+
+@query
+def turn_evidence(spark, d):
+    return table(spark, d, "events").select("event_id", evidence.turn_line("ts", "event_type", "props").alias("content"))
+
+
+@query
+def export_items(spark, d):
+    return evidence.export_items(claims(spark, d))
+
+
+@query
+def memory_ids(spark, d):
+    return evidence.memory_ids(claims(spark, d))
+
+
+@query
+def known_slots(spark, d):
+    return evidence.known_slots(claims(spark, d))
+
+
+@query
+def missing_pairs(spark, d):
+    return evidence.missing_pairs(claims(spark, d), [*facts.SLOTS, "refund"])
+
+
+@query
+def subphrase_values(spark, d):
+    p = table(spark, d, "part")
+    return evidence.subphrases(p.select(F.col("p_type").alias("value")).union(p.select("p_name")).union(p.select("p_brand")))
+
+
+def _marked(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@query
+def paired_ci(spark, d):
+    w = metrics.W.partitionBy("lang").orderBy("doc_id")
+    rows = _marked(spark, d).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    return report.paired_interval(rows, "lang", "quality", "toxic")
+
+
+@query
+def audit_agreement(spark, d):
+    return report.agreement(_marked(spark, d), "lang", "quality", "toxic")
+
+
+@query
+def category_report(spark, d):
+    return report.by_category(_marked(spark, d), "lang", "quality")
+
+
+@query
+def write_read_costs(spark, d):
+    log = metrics.run_log(table(spark, d, "events"))
+    phase = F.when(F.col("system").isin("click", "view"), "write").otherwise("read")
+    return report.write_read(log.select("seed", phase.alias("phase"), (F.col("tokens") * 0.4 / 1e6).alias("usd")), "seed", "usd")
+
+
+@query
+def restart_identity(spark, d):
+    log = metrics.run_log(table(spark, d, "events")).withColumn("unit", F.floor(F.col("probe_id") / 2))
+    return report.identity(log.where("probe_id % 2 = 0"), log.where("probe_id % 2 = 1"), "unit", "verdict")
+
+
+@query
+def pilot_exclusion(spark, d):
+    log = metrics.run_log(table(spark, d, "events"))
+    return report.without(log, table(spark, d, "labels").select(F.col("doc_id").alias("probe_id")), "probe_id")
+
+
+@query
+def fraction_checkpoints(spark, d):
+    return report.fraction_checkpoints(table(spark, d, "events"), [0.25, 0.5, 0.75, 1.0])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -159,4 +159,20 @@ ORACLES = {
     "validate_order": "SELECT user_id, event_id, value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE value < b",
     "validate_references": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "validate_sequence": "SELECT CAST(0 AS BIGINT) AS violations",
+    "rule_claims": f"WITH {TRACE}, x AS (SELECT event_id, 'database' AS slot, (MAP {{'postgresql': 'PostgreSQL', 'postgres': 'PostgreSQL', 'pg': 'PostgreSQL', 'mysql': 'MySQL', 'mariadb': 'MariaDB', 'sqlite': 'SQLite', 'mongodb': 'MongoDB'}})[lower(regexp_extract(content, '(?i)\\b(postgresql|postgres|pg|mysql|mariadb|sqlite|mongodb)\\s*\\d+(?:\\.\\d+)?\\b', 1))] || ' ' || regexp_extract(content, '(?i)\\b(?:postgresql|postgres|pg|mysql|mariadb|sqlite|mongodb)\\s*(\\d+(?:\\.\\d+)?)\\b', 1) AS value FROM trace UNION ALL SELECT event_id, 'test_command', regexp_extract(content, '(?is)\\btests?\\b[^`]*`([^`]+)`', 1) FROM trace UNION ALL SELECT event_id, 'deploy_branch', regexp_extract(content, '(?i)\\bdeploy\\w*\\b[^.`]*?\\bfrom\\s+(?:the\\s+)?`?([A-Za-z][\\w./-]*)`?', 1) FROM trace UNION ALL SELECT event_id, 'staging_hostname', regexp_extract(content, '(?i)\\bstaging\\b.*?\\b([a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.(?:internal|local|com|net|io|org))\\b', 1) FROM trace) SELECT event_id, slot, value FROM x WHERE value <> ''",
+    "routed_slots": "WITH c(slot, cue) AS (VALUES ('database', 'database|db|postgres\\w*|mysql'), ('test_command', 'tests?|test suite'), ('deploy_branch', 'branch|deploy\\w*'), ('staging_hostname', 'staging|hostname|host')) SELECT doc_id, slot FROM documents JOIN c ON regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(' || cue || ')($|[^\\p{L}\\p{N}_])')",
+    "fact_evidence": f"WITH {HISTORY} SELECT user_id, seq, slot || ': ' || value || ' (since ' || strftime(valid_from, '%Y-%m-%d') || coalesce(' until ' || strftime(valid_to, '%Y-%m-%d'), '') || '; source: ' || CASE trust WHEN 3 THEN 'user_message' WHEN 2 THEN 'document' ELSE 'assistant_message' END || ')' AS content FROM hist WHERE live",
+    "turn_evidence": "SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M') || ' ' || event_type || '] ' || props AS content FROM events",
+    "export_items": f"WITH {HISTORY} SELECT user_id, seq, slot || ': ' || value AS content, CASE WHEN valid_to IS NULL THEN 'active' ELSE 'superseded' END AS status, sources, valid_from, valid_to FROM hist WHERE live",
+    "memory_ids": f"WITH {outcomes()} SELECT seq, 'L' || CASE WHEN n < 1000000 THEN lpad(CAST(n AS VARCHAR), 6, '0') ELSE CAST(n AS VARCHAR) END AS memory_id FROM (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM oc WHERE outcome NOT IN ('restate', 'delete'))",
+    "known_slots": f"WITH {HISTORY}, o AS (SELECT user_id, slot, value FROM hist WHERE live AND valid_to IS NULL), h AS (SELECT user_id, slot, arg_max(value, seq) AS value FROM oc WHERE outcome = 'hold' AND epoch = last_epoch GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, slot FROM claims) SELECT u.user_id, u.slot, CASE WHEN o.value IS NOT NULL THEN 'open' WHEN h.value IS NOT NULL THEN 'pending' ELSE 'deleted' END AS state, coalesce(o.value, h.value) AS value FROM u LEFT JOIN o USING (user_id, slot) LEFT JOIN h USING (user_id, slot)",
+    "missing_pairs": f"WITH {CLAIMS}, e AS (SELECT DISTINCT user_id, s.slot FROM claims, (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('refund')) s(slot)) SELECT user_id, slot FROM e WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE NOT c.is_delete AND c.user_id = e.user_id AND c.slot = e.slot)",
+    "subphrase_values": "WITH v AS (SELECT p_type AS value FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part) SELECT a.value AS inner, b.value AS outer FROM v a JOIN v b ON a.value <> b.value AND contains(lower(b.value), lower(a.value)) AND regexp_matches(b.value, '(?i)(^|[^\\p{L}\\p{N}_])' || regexp_escape(a.value) || '($|[^\\p{L}\\p{N}_])')",
+    "paired_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, 100.0::DOUBLE * (quality - toxic) AS q, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((pos * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM r, range(200) g(rep)), m AS (SELECT d.lang, rep, avg(q) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS i FROM m), e AS (SELECT lang, round(max(m) FILTER (i = 5), 6) AS low, round(max(m) FILTER (i = 194), 6) AS high FROM k GROUP BY 1), a AS (SELECT lang, count(*) AS pairs, round(avg(q), 6) AS diff FROM r GROUP BY 1) SELECT lang, pairs, diff, low, high FROM a JOIN e USING (lang)",
+    "audit_agreement": "WITH m AS (SELECT lang, quality AS j, toxic AS h FROM labels JOIN documents USING (doc_id)), p AS (SELECT lang, count(*) AS items, avg(j) AS pj, avg(h) AS ph, avg((j = h)::INT) AS po, count(*) FILTER (j = 1 AND h = 0) AS yes_no, count(*) FILTER (j = 0 AND h = 1) AS no_yes FROM m GROUP BY 1) SELECT lang, items, round(po, 6) AS agreement, CASE WHEN pj * ph + (1 - pj) * (1 - ph) < 1 THEN round((po - (pj * ph + (1 - pj) * (1 - ph))) / (1 - (pj * ph + (1 - pj) * (1 - ph))), 6) END AS kappa, yes_no, no_yes FROM p",
+    "category_report": "WITH m AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id)) SELECT lang, count(*) AS items, round(100 * avg(quality), 6) AS pct FROM m GROUP BY 1 UNION ALL SELECT 'all', count(*), round(100 * avg(quality), 6) FROM m",
+    "write_read_costs": f"WITH {LOG}, z AS (SELECT seed, system IN ('click', 'view') AS w, tokens * 0.4::DOUBLE / 1e6 AS usd FROM lg) SELECT seed, round(coalesce(sum(usd) FILTER (w), 0), 6) AS write_usd, round(coalesce(sum(usd) FILTER (NOT w), 0), 6) AS read_usd, count(*) FILTER (w) AS writes FROM z GROUP BY 1",
+    "restart_identity": f"WITH {LOG}, a AS (SELECT probe_id // 2 AS u, verdict FROM lg WHERE probe_id % 2 = 0), b AS (SELECT probe_id // 2 AS u, verdict FROM lg WHERE probe_id % 2 = 1) SELECT count(*) FILTER (a.u IS NOT NULL AND b.u IS NOT NULL AND a.verdict IS NOT DISTINCT FROM b.verdict) AS same, count(*) FILTER (a.u IS NOT NULL AND b.u IS NOT NULL AND a.verdict IS DISTINCT FROM b.verdict) AS changed, count(*) FILTER (b.u IS NULL) AS only_first, count(*) FILTER (a.u IS NULL) AS only_second FROM a FULL JOIN b ON a.u = b.u",
+    "pilot_exclusion": f"WITH {LOG}, m AS (SELECT *, probe_id IN (SELECT doc_id FROM labels) AS seen FROM lg) SELECT system, count(*) FILTER (seen) AS excluded, round(100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / count(*), 6) AS pct_all, round(100.0::DOUBLE * count(*) FILTER (verdict = 'correct' AND NOT seen) / count(*) FILTER (NOT seen), 6) AS pct_rest FROM m GROUP BY 1",
+    "fraction_checkpoints": "WITH e AS (SELECT ts, row_number() OVER (ORDER BY event_id) AS no, count(*) OVER () AS n FROM events), f(i, f) AS (VALUES (1, 0.25::DOUBLE), (2, 0.5), (3, 0.75), (4, 1.0)) SELECT 'c' || i AS name, round_even(no / n, 4) AS fraction, ts AS at FROM f JOIN e ON e.no = greatest(1, round_even(f * n, 0)::BIGINT)",
 }
