@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, remove, scratch_path, settle
+from .common import remove, scratch_path, settle
 
 WIDTH = 64
 HEADER_BYTES = 33  # signature and IHDR chunk
@@ -150,8 +150,10 @@ def objects(index: DataFrame) -> DataFrame:
 
 
 def _read(objs: DataFrame, folder: str, schema: str, one, whole: bool) -> DataFrame:
-    """Apply ``one(bytes)`` to ranges of the shards, those of a shard in order."""
-    names = ["digest", *(x.split()[0] for x in schema.split(", "))]
+    """Add the columns ``one(bytes)`` gives for each object's range of its shard; rows
+    keep their columns, order and partition."""
+    fields = [x.split() for x in schema.split(", ")]
+    names = [*objs.columns, *(n for n, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -166,21 +168,26 @@ def _read(objs: DataFrame, folder: str, schema: str, one, whole: bool) -> DataFr
                         held.close()
                     held, opened = files.open_input_file(f"{root}/{shard}"), shard
                 rows.append(one(held.read_at(length if whole else min(length, HEADER_BYTES), offset)))
-            cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
-            fields = [pa.array(c, pa.string() if t.endswith("string") else pa.int64()) for c, t in zip(cols, schema.split(", "), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *fields], names)
+            cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+            added = [pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(cols, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
 
-    placed = objs.repartition(F.xxhash64("shard", F.shiftright("offset", 20))).sortWithinPartitions("shard", "offset")
-    return placed.mapInArrow(run, f"digest string, {schema}")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objs.schema.fields)
+    return objs.mapInArrow(run, f"{kept}, {schema}")
+
+
+def by_shard(objs: DataFrame) -> DataFrame:
+    """Objects placed so that a task reads neighbouring ranges in order."""
+    return objs.repartition(F.xxhash64("shard", F.shiftright("offset", 20))).sortWithinPartitions("shard", "offset")
 
 
 def header_columns(objs: DataFrame, folder: str) -> DataFrame:
-    """Metadata of each object, from its header bytes only."""
+    """Adds each object's metadata, from its header bytes only."""
     return _read(objs, folder, "width bigint, height bigint, bit_depth bigint, colour_type bigint", lambda b: tuple(map(int, png_header(b))), False)
 
 
 def payload_columns(objs: DataFrame, folder: str) -> DataFrame:
-    """Digests and features of each object's stored and decoded bytes."""
+    """Adds digests and features of each object's stored and decoded bytes."""
 
     def one(media: bytes) -> tuple:
         payload = from_png(media)
@@ -198,12 +205,10 @@ def media_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     folder = scratch_path(spark, "media")
     index = store(docs, folder, id_col=id_col, text_col=text_col, shard_bytes=shard_bytes)
-    objs = settle(objects(index), "media-objects")
-    feature = F.concat(F.lit("png:"), "width", F.lit("x"), "height", F.lit("x"), "bit_depth").alias("feature")
-    heads = header_columns(objs, folder).select("digest", feature)
-    found = settle(payload_columns(objs, folder).join(heads, "digest").join(objs, "digest"), "media-columns")
+    feature = F.concat(F.lit("png:"), "width", F.lit("x"), "height", F.lit("x"), "bit_depth")
+    read = payload_columns(header_columns(by_shard(objects(index)), folder), folder)
+    found = settle(read.withColumn("feature", feature).drop("width", "height", "bit_depth", "colour_type"), "media-columns")
     if not keep_shards:
         remove(spark, folder)
-    discard(objs)
     out = index.select(F.col("id").alias(id_col), "n_bytes", "digest").join(found, "digest")
     return out
