@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Index.  Benchmark items are cut into passages of at most ``WINDOW`` words.  Their
-TF-IDF matrix (document frequencies count all documents) is factored by a
+TF-IDF matrix (document frequencies of their words, over all documents) is factored by a
 distributed randomised SVD: executors return partial products A^T (A Q) of their
 passages, the driver orthonormalises the thin factor, and a few such rounds give
 the ``rank`` leading right singular vectors.
@@ -9,9 +9,11 @@ the ``rank`` leading right singular vectors.
 Search.  A word's latent vector is its idf times its singular row, so a window's
 vector is a sum over its words.  Every document is cut into windows of ``WINDOW``
 words that overlap by half.  The cosine of a window and a passage is taken in the
-latent space, against the window's full TF-IDF norm (words outside the benchmark
-count as well) and scaled so that a passage has 1 with itself; from ``min_cosine``
-the window is a candidate, less for a passage that fills only part of a window.  All windows of all documents meet all passages.
+latent space, against the full TF-IDF norm of the window's benchmark words and scaled
+so that a passage has 1 with itself; from ``min_cosine`` the window is a candidate,
+less for a passage that fills only part of a window.  Other words weigh nothing: any
+weight that grows with the number of documents would lose in a large table what is
+found in a small one.  All windows of all documents meet all passages.
 
 Checks.  A candidate window must hold at least ``bag_least`` of the passage's words
 in any order.  Its region is then compared word by word with the whole item: the
@@ -52,6 +54,7 @@ MIN_WORDS = 8
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 1 << 20
 CHUNK_WORDS = 1 << 15
+SLICE = 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -158,13 +161,13 @@ def lcs_length(bits: dict[int, int], size: int, other: list[int]) -> int:
 class Index:
     """A block's items, ready for search; plain arrays only, so it can be sent."""
 
-    def __init__(self, items: list[tuple], df: np.ndarray, docs: int, vocabulary: list[str], basis: np.ndarray, idf: dict[str, float]):
+    def __init__(self, items: list[tuple], vocabulary: list[str], basis: np.ndarray, idf: dict[str, float]):
         self.number = {w: k for k, w in enumerate(vocabulary)}
         idf_of = np.array([idf[w] for w in vocabulary], np.float32)
         # two more rows: any word that the benchmark lacks, and padding
         self.table = np.zeros((len(vocabulary) + 2, basis.shape[1]), np.float32)
         self.table[:-2] = basis[[slot_of(w) for w in vocabulary]] * idf_of[:, None]
-        self.energy = np.concatenate([idf_of**2, [np.log(1 + docs) ** 2, 0.0]]).astype(np.float32)
+        self.energy = np.concatenate([idf_of**2, [0.0, 0.0]]).astype(np.float32)
         self.items, owner, vectors, sizes, full = [], [], [], [], []
         for item, words in items:
             ids = [self.number[w] for w in words]
@@ -199,10 +202,13 @@ class Index:
         norm = np.maximum(np.sqrt(full), np.linalg.norm(window, axis=1))
         cosine = (window / np.maximum(norm, 1e-9)[:, None]) @ self.passages
         at, p = np.nonzero(cosine >= min_cosine * np.sqrt(self.sizes / WINDOW, dtype=np.float32))
-        bag = self.member[p[:, None], ids[at]].sum(1)
-        two = same[at]
-        bag[two] += self.member[p[two][:, None], ids[at[two] + 1]].sum(1)
-        keep = bag >= bag_least * self.sizes[p]
+        keep = np.zeros(len(at), bool)
+        for lo in range(0, len(at), SLICE):
+            a, q = at[lo : lo + SLICE], p[lo : lo + SLICE]
+            bag = self.member[q[:, None], ids[a]].sum(1)
+            two = same[a]
+            bag[two] += self.member[q[two][:, None], ids[a[two] + 1]].sum(1)
+            keep[lo : lo + SLICE] = bag >= bag_least * self.sizes[q]
         at, p = at[keep], p[keep]
         return at, self.owner[p], cosine[at, p]
 
@@ -305,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         idf = {w: float(np.log((1 + n) / (1 + d)) + 0.1) for w, d in zip(vocabulary, df.tolist(), strict=True)}
         passages = spark.createDataFrame([(p,) for _, words in rows for p in passages_of(words)], "words array<string>")
         basis = randomised_svd(passages, idf, rank)
-        found = search(src, Index(rows, df, n, vocabulary, basis, idf), item_type, min_cosine=min_cosine, bag_least=bag_least, lcs_sure=lcs_sure, lcs_least=lcs_least, answer_least=answer_least)
+        found = search(src, Index(rows, vocabulary, basis, idf), item_type, min_cosine=min_cosine, bag_least=bag_least, lcs_sure=lcs_sure, lcs_least=lcs_least, answer_least=answer_least)
         out = found if out is None else out.unionByName(found)
     if out is None:
         schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item_id", item_type), T.StructField("cosine", T.DoubleType()), T.StructField("lcs", T.LongType()), T.StructField("lcs_share", T.DoubleType()), T.StructField("answer_share", T.DoubleType())])
