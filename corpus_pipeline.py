@@ -38,10 +38,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays;
-    of rows with that id, one; rows without an id all stay."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more)
+    the document with the smallest id stays; of rows with that id, one; rows without
+    an id all stay."""
     bound_batches(spark)
-    groups = settle(jaccard_components(docs), "groups")
+    groups = settle(jaccard_components(docs, words=5, num=4, den=5), "groups")
     out = drop_ids(docs, groups.where("component_id <> doc_id").select("doc_id"), "doc_id")
     repeated = settle(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.limit(1).count():

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import decontam
 
 
@@ -33,3 +34,14 @@ def test_leaks_are_candidates_at_any_number_of_documents(scale):
         found = index.candidates(text, np.zeros(len(text), int), 0.4, 0.45)[1]
         missed += k not in found
     assert missed == 0
+
+
+def test_pipeline_takes_near_copies_by_five_words(spark):
+    """Two copies with a five-word similarity of 0.81 and a three-word one of 0.88."""
+    words = [f"w{k}" for k in range(100)]
+    near = ["x" if k in (30, 60) else w for k, w in enumerate(words)]
+    other = [f"v{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {1, 3}
