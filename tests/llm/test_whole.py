@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontam
+from tidemark.llm import decontam, lm
 
 
 @pytest.mark.parametrize("scale", [1, 1_000, 1_000_000])
@@ -45,3 +46,16 @@ def test_pipeline_takes_near_copies_by_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {1, 3}
+
+
+def test_every_training_document_reaches_the_model(spark):
+    """Documents whose ids hash to the upper half teach the model as well."""
+    high = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) >= 1 << 19
+    ids = spark.range(400).select(F.col("id").alias("doc_id")).where(high)
+    docs = ids.withColumn("text", F.repeat(F.lit("one two three four "), 10)).repartition(2)
+
+    def mean(rate):
+        out = lm.score_documents(docs, lm_words=12, classes=3, hidden=8, width=32, rate=rate)
+        return out.agg(F.avg("score")).first()[0]
+
+    assert mean(0.1) > 0.9 * mean(0.0)

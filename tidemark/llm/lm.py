@@ -14,8 +14,7 @@ numpy with Adagrad: documents run side by side, sorted by length, in windows of
 ``steps`` tokens; the state is carried from window to window but gradients are not.
 Training runs in ``rounds``; in each, tasks start from common weights, train on
 their share of that round's training documents, and the weights are averaged by
-tokens.  Over the rounds every training document that the model learns from is seen
-once; ``share`` is the share of training documents, by id hash, that it learns from.
+tokens.  Over the rounds every training document is seen once.
 
 Scoring.  The state is carried across windows over the whole document, however
 long.  Words beyond the broadcast head of the counts are looked up by a join.
@@ -309,7 +308,7 @@ def score_texts(model: Recurrent, texts: list[np.ndarray], *, steps: int, width:
     return out
 
 
-def train(docs: DataFrame, vocabulary: list[bytes], counts: np.ndarray, *, hidden: int, classes: int, rounds: int, steps: int, width: int, rate: float, share: float) -> Recurrent:
+def train(docs: DataFrame, vocabulary: list[bytes], counts: np.ndarray, *, hidden: int, classes: int, rounds: int, steps: int, width: int, rate: float) -> Recurrent:
     """Rounds of local training and averaging over the training rows (h, raw)."""
     sc = docs.sparkSession.sparkContext
     model = Recurrent(counts, hidden, classes)
@@ -341,7 +340,7 @@ def train(docs: DataFrame, vocabulary: list[bytes], counts: np.ndarray, *, hidde
                     yield pa.RecordBatch.from_arrays([pa.array([task % 64], pa.int64()), pa.array([c // CHUNK], pa.int64()), pa.array([float(seen)]), pa.array([flat[c : c + CHUNK].tobytes()])], ["salt", "chunk", "weight", "values"])
 
         schema = "salt bigint, chunk bigint, weight double, values binary"
-        part = docs.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == k).where(F.pmod(F.col("h"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        part = docs.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == k)
         local = part.select("raw").mapInArrow(run, schema)
         local = local.groupBy("salt", "chunk").applyInArrow(average, schema).withColumn("salt", F.lit(0).cast("bigint"))
         found = local.groupBy("chunk").applyInArrow(average, schema).collect()  # the weights once
@@ -373,7 +372,7 @@ def encode(raw: bytes | None, number: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, lm_words: int = 4094, hidden: int = 16, classes: int = 48, rounds: int = 3, steps: int = 16, width: int = 1024, rate: float = 0.1, share: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, lm_words: int = 4094, hidden: int = 16, classes: int = 48, rounds: int = 3, steps: int = 16, width: int = 1024, rate: float = 0.1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); documents
     of fold 0 are held out, all others trained on."""
     spark = docs.sparkSession
@@ -390,7 +389,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = min(lm_words, len(head_words))
     unknown = total - ends - int(head_counts[:own].sum())
     tally = np.concatenate([[ends, unknown], head_counts[:own]]).astype(np.int64)
-    model = train(src.where("NOT held_out").select("h", "raw"), head_words[:own], tally, hidden=hidden, classes=classes, rounds=rounds, steps=steps, width=width, rate=rate, share=share)
+    model = train(src.where("NOT held_out").select("h", "raw"), head_words[:own], tally, hidden=hidden, classes=classes, rounds=rounds, steps=steps, width=width, rate=rate)
 
     # ln of the base probability mass of all words that the model has no token for
     outside = math.log((unknown + 0.1 * (distinct - own - (1 if ends else 0)) + 0.1) / z)
