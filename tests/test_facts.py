@@ -54,9 +54,57 @@ def test_stream_equals_batch_across_restart(spark, tmp_path):
 def test_history_intervals_are_half_open(spark):
     rows = [(0, START, 1, "db", False, "14", 3), (1, START + timedelta(days=2), 1, "db", False, "14", 3), (2, START + timedelta(days=9), 1, "db", False, "16", 3)]
     c = spark.createDataFrame(rows, CLAIM)
-    q = spark.createDataFrame([(1, "db", START - timedelta(1)), (1, "db", START), (1, "db", START + timedelta(9))], "user_id bigint, slot string, as_of timestamp_ntz")
-    got = {r.as_of: r.value for r in facts.as_of(facts.history(c), q).collect()}
-    assert list(got.values()).count(None) == 1 and got[START] == "14" and got[START + timedelta(9)] == "16"
+    asked = [(1, "db", START - timedelta(1)), (1, "db", START), (1, "db", START + timedelta(9))]
+    q = spark.createDataFrame([(*x, START + timedelta(30)) for x in asked], "user_id bigint, slot string, as_of timestamp_ntz, asked_at timestamp_ntz")
+    got = {r.as_of: (r.value, r.valid_to) for r in facts.as_of(c, q).collect()}
+    assert got[START - timedelta(1)] == (None, None) and got[START] == ("14", START + timedelta(9)) and got[START + timedelta(9)] == ("16", None)
+
+
+ASKED = "user_id bigint, slot string, as_of timestamp_ntz, asked_at timestamp_ntz"
+
+
+def day(n):
+    return START + timedelta(n)
+
+
+def test_held_claims(spark):
+    """An equal held claim confirms and gives its event and label; others end as disputes."""
+    rows = [
+        (0, day(0), 1, "a", False, "old label", "x", 1), (1, day(1), 1, "a", False, "new", "x", 3),
+        (2, day(2), 1, "b", False, "b", "x", 1), (3, day(3), 1, "b", False, "b", "x", 1), (4, day(4), 1, "b", False, "b", "y", 3),
+        (5, day(5), 1, "c", False, "c", "p", 1), (6, day(6), 1, "c", False, "c", "q", 1),
+    ]
+    c = spark.createDataFrame(rows, "seq bigint, ts timestamp_ntz, user_id bigint, slot string, is_delete boolean, label string, value string, trust int")
+    got = {r.slot: (r.label, r.value, r.sources, r.n_sources) for r in facts.history(c).collect()}
+    assert got == {"a": ("old label", "x", "0,1", 2), "b": ("b", "y", "4", 1)}
+    assert {r.seq: r.state for r in facts.held_claims(c).collect()} == {0: "confirmed", 2: "disputed", 3: "disputed", 5: "disputed", 6: "pending"}
+    assert {r.seq for r in facts.disputes(c).collect()} == {2, 3, 5}
+
+
+def test_answers_depend_on_when_they_are_asked(spark):
+    rows = [(0, day(1), 1, "a", False, "x", 1), (1, day(2), 1, "a", False, "y", 3), (2, day(4), 1, "a", True, None, 3), (3, day(6), 1, "a", False, "z", 1)]
+    c = spark.createDataFrame(rows, CLAIM)
+    want = {0: "no known slot", 1: "unconfirmed", 2: "answered", 3: "answered", 4: "deleted", 5: "deleted", 7: "deleted"}
+    q = spark.createDataFrame([(1, "a", day(n), day(n)) for n in want], ASKED)
+    assert {r.asked_at: r.reason for r in facts.abstain_reasons(c, q).collect()} == {day(n): w for n, w in want.items()}
+    before = spark.createDataFrame([(1, "a", day(1), day(3)), (1, "a", day(2), day(5))], ASKED)
+    assert {r.asked_at: r.reason for r in facts.abstain_reasons(c, before).collect()} == {day(3): "no value at date", day(5): "deleted"}
+
+
+def test_open_values_by_bucket_equal_a_fold(spark):
+    rows = random_claims(5, 300)
+    c = spark.createDataFrame(rows, CLAIM)
+    got = {(r.bucket, r.slot): (r.open, r.trust) for r in facts.open_at(c, F.floor(F.col("seq") / 40)).collect()}
+    state, want = {}, {}
+    for i, row in enumerate(map(Row, rows)):
+        key = row.user_id, row.slot
+        state[key] = step(*state.get(key, (None, 0)), row, 2)[1:]
+        if i % 40 == 39 or i == len(rows) - 1:
+            for slot in "ab":
+                held = [t for (_, s), (v, t) in state.items() if s == slot and v is not None]
+                if held:
+                    want[i // 40, slot] = (len(held), sum(held))
+    assert got == want
 
 
 def test_delete_hides_history(spark):

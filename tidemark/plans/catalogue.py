@@ -100,25 +100,44 @@ def write_report(spark, d):
 
 @query
 def fact_as_of(spark, d):
+    """Every claim's slot at the claim's time, asked then and at the end of the stream."""
     c = claims(spark, d)
-    asked = c.where("seq % 5 = 0").select("user_id", "slot", F.col("ts").alias("as_of"))
-    return facts.as_of(facts.history(c), asked)
+    asked = c.select("user_id", "slot", F.col("ts").alias("as_of"), F.explode(F.array("ts", c.agg(F.max("ts")).scalar())).alias("asked_at"))
+    return facts.as_of(c, asked)
+
+
+def _asked(c):
+    """Each user's slots, and one that nobody has, at the quarters of their time."""
+    span = c.groupBy("user_id", "slot").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    span = span.unionByName(c.groupBy("user_id").agg(F.lit("refund").alias("slot"), F.min("ts").alias("lo"), F.max("ts").alias("hi")))
+    part = lambda q: F.timestamp_add("SECOND", F.floor(F.expr("timestampdiff(SECOND, lo, hi)") * F.lit(q) / 8).cast("int"), F.col("lo"))
+    rows = F.array(*(F.struct(F.lit(q).alias("q"), part(2 * q).alias("asked_at"), part(q if q % 2 else 2 * q).alias("as_of")) for q in (1, 2, 3, 4)))
+    return span.select("user_id", "slot", F.inline(rows))
 
 
 @query
 def abstain_reasons(spark, d):
     c = claims(spark, d)
-    ends = c.agg(F.max("ts").alias("as_of"))
-    asked = c.select("user_id", "slot").distinct().crossJoin(F.broadcast(ends))  # one row
-    return facts.abstain_reasons(c, asked).select("user_id", "slot", "value", "reason")
+    return facts.abstain_reasons(c, _asked(c)).select("user_id", "slot", "q", "value", "reason")
 
 
 @query
 def point_in_time_checkpoints(spark, d):
+    """What is open after every 2500 rows of the stream."""
     c = claims(spark, d)
-    at = c.where("seq % 2500 = 2499").select(F.concat(F.lit("c"), F.floor(F.col("seq") / 2500).cast("string")).alias("name"), F.col("ts").alias("at"))
-    seen = facts.history(facts.point_in_time(c, at)).where("live AND valid_to IS NULL")
-    return seen.groupBy(F.split("slot", r"\|")[0].alias("checkpoint"), F.split("slot", r"\|")[1].alias("slot")).agg(F.count("*").alias("open"), F.sum("trust").alias("trust"))
+    whole = F.floor((c.agg(F.max("seq")).scalar() + 1) / 2500)
+    seen = facts.open_at(c, F.floor(F.col("seq") / 2500)).where(F.col("bucket") < whole)
+    return seen.select(F.concat(F.lit("c"), F.col("bucket").cast("string")).alias("checkpoint"), "slot", "open", "trust")
+
+
+@query
+def held_claims(spark, d):
+    return facts.held_claims(claims(spark, d)).select("seq", "user_id", "slot", "label", "state", "live")
+
+
+@query
+def dispute_audit(spark, d):
+    return facts.disputes(claims(spark, d))
 
 
 @query

@@ -10,6 +10,7 @@ claims AS (
   SELECT event_id AS seq, ts, user_id,
          CASE WHEN event_type = 'error' THEN (['click','view','purchase','signup'])[{K} % 4 + 1] ELSE event_type END AS slot,
          event_type = 'error' AS is_delete,
+         CASE WHEN event_type <> 'error' THEN event_type || '@' || {K} END AS label,
          CASE WHEN event_type <> 'error' THEN 'v' || CAST({K} // 25 AS INT) END AS value,
          ([3,3,3,2,1,1])[{K} % 6 + 1] AS trust
   FROM events)"""
@@ -37,17 +38,24 @@ oc AS (
 
 
 HIST = """,
+hd AS (
+  SELECT user_id, slot, epoch, max(seq) AS hseq, arg_max(value, seq) AS hvalue, arg_max(label, seq) AS hlabel
+  FROM oc WHERE outcome = 'hold' GROUP BY 1, 2, 3),
 isl AS (
-  SELECT *, CAST(sum(CASE WHEN outcome <> 'restate' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, slot, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
-  FROM oc WHERE outcome IN ('introduce', 'supersede', 'restate')),
+  SELECT oc.*, CASE WHEN outcome = 'introduce' AND hvalue = value THEN hseq END AS cseq, CASE WHEN outcome = 'introduce' AND hvalue = value THEN hlabel END AS clabel,
+         CAST(sum(CASE WHEN outcome <> 'restate' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, slot, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
+  FROM oc LEFT JOIN hd USING (user_id, slot, epoch) WHERE outcome IN ('introduce', 'supersede', 'restate')),
+src AS (
+  SELECT user_id, slot, epoch, island, count(*) AS n_sources, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS sources
+  FROM (SELECT user_id, slot, epoch, island, seq AS x FROM isl UNION ALL SELECT user_id, slot, epoch, island, cseq FROM isl WHERE cseq IS NOT NULL) GROUP BY 1, 2, 3, 4),
 en AS (
-  SELECT user_id, slot, epoch, island, min(seq) AS seq, arg_min(ts, seq) AS valid_from, arg_min(value, seq) AS value, max(trust) AS trust,
-         count(*) AS n_sources, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS sources, bool_and(epoch = last_epoch) AS live
-  FROM isl GROUP BY ALL),
+  SELECT user_id, slot, epoch, island, min(seq) AS seq, arg_min(ts, seq) AS valid_from, arg_min(coalesce(clabel, label), seq) AS label, arg_min(value, seq) AS value, max(trust) AS trust,
+         bool_and(epoch = last_epoch) AS live
+  FROM isl GROUP BY 1, 2, 3, 4),
 hist AS (
-  SELECT seq, user_id, slot, epoch, value, trust, n_sources, sources, valid_from,
+  SELECT seq, user_id, slot, epoch, label, value, trust, n_sources, sources, valid_from,
          lead(valid_from) OVER (PARTITION BY user_id, slot, epoch ORDER BY island) AS valid_to, live
-  FROM en)"""
+  FROM en JOIN src USING (user_id, slot, epoch, island))"""
 HISTORY = outcomes() + HIST
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -108,6 +116,11 @@ fc AS (
   WHERE live AND valid_to IS NULL AND slot = 'click' AND user_id % 2 = 0 AND user_id IN (SELECT query_id FROM qs) GROUP BY user_id),
 tn AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, item_id FROM ranked WHERE scope = 0)"""
 
+ASKED = """
+sp AS (SELECT user_id, slot, min(ts) AS lo, max(ts) AS hi FROM claims GROUP BY 1, 2 UNION ALL SELECT user_id, 'refund', min(ts), max(ts) FROM claims GROUP BY 1),
+q AS (SELECT user_id, slot, q, lo + to_seconds(date_sub('second', lo, hi) * (2 * q) // 8) AS asked_at, lo + to_seconds(date_sub('second', lo, hi) * (CASE WHEN q % 2 = 1 THEN q ELSE 2 * q END) // 8) AS as_of
+      FROM sp, (VALUES (1), (2), (3), (4)) v(q))"""
+
 ORACLES = {
     "trace_events": f"WITH {TRACE} SELECT event_id, user_id, session_id, kind, CAST(strlen(content) AS BIGINT) AS n_bytes FROM trace",
     "event_gate_dedupe": f"WITH {CLAIMS} SELECT seq AS event_id, user_id, slot FROM claims WHERE seq % 11 <> 0",
@@ -118,11 +131,13 @@ ORACLES = {
     "fact_history": f"WITH {HISTORY} SELECT * FROM hist",
     "fact_current": f"WITH {HISTORY} SELECT user_id, slot, value, trust, valid_from FROM hist WHERE live AND valid_to IS NULL",
     "write_report": f"WITH {outcomes()} SELECT user_id, count(*) FILTER (outcome IN ('introduce', 'supersede')) AS added, count(*) FILTER (outcome = 'restate') AS updated, count(*) FILTER (outcome = 'supersede') AS superseded, count(*) FILTER (outcome IN ('dispute', 'hold')) AS rejected FROM oc GROUP BY 1",
-    "fact_as_of": f"WITH {HISTORY}, q AS (SELECT user_id, slot, ts AS as_of FROM claims WHERE seq % 5 = 0) SELECT q.user_id, q.slot, q.as_of, h.value, h.valid_from, h.valid_to FROM q LEFT JOIN hist h ON h.live AND h.user_id = q.user_id AND h.slot = q.slot AND h.valid_from <= q.as_of AND (h.valid_to IS NULL OR q.as_of < h.valid_to)",
-    "abstain_reasons": f"WITH {HISTORY}, u AS (SELECT user_id, slot, bool_or(is_delete) AS deleted, bool_or(outcome = 'hold' AND epoch = last_epoch) AS holds, bool_or(outcome = 'introduce' AND epoch = last_epoch) AS opened FROM oc GROUP BY 1, 2) SELECT u.user_id, u.slot, h.value, CASE WHEN h.value IS NOT NULL THEN 'answered' WHEN deleted THEN 'deleted' WHEN holds AND NOT opened THEN 'unconfirmed' ELSE 'no value at date' END AS reason FROM u LEFT JOIN hist h ON h.live AND h.valid_to IS NULL AND h.user_id = u.user_id AND h.slot = u.slot",
+    "fact_as_of": f"WITH {HISTORY}, q AS (SELECT user_id, slot, ts AS as_of, unnest([ts, (SELECT max(ts) FROM claims)]) AS asked_at FROM claims), e AS (SELECT q.*, (SELECT count(*) FROM claims x WHERE x.is_delete AND x.user_id = q.user_id AND x.slot = q.slot AND x.ts <= q.asked_at) AS epoch FROM q) SELECT e.user_id, e.slot, e.as_of, e.asked_at, h.value, h.valid_from, CASE WHEN h.valid_to <= e.asked_at THEN h.valid_to END AS valid_to FROM e LEFT JOIN hist h ON h.epoch = e.epoch AND h.user_id = e.user_id AND h.slot = e.slot AND h.valid_from <= e.as_of AND (h.valid_to IS NULL OR e.as_of < h.valid_to)",
+    "abstain_reasons": f"WITH {HISTORY}, {ASKED}, e AS (SELECT q.*, (SELECT count(*) FROM claims x WHERE x.is_delete AND x.user_id = q.user_id AND x.slot = q.slot AND x.ts <= q.asked_at) AS epoch, (SELECT count(*) FROM claims x WHERE x.user_id = q.user_id AND x.slot = q.slot AND x.ts <= q.asked_at) AS seen FROM q), w AS (SELECT e.user_id, e.slot, e.q, max(CASE WHEN outcome = 'hold' THEN 1 ELSE 0 END) AS holds, max(CASE WHEN outcome = 'introduce' THEN 1 ELSE 0 END) AS opened FROM e JOIN oc ON oc.user_id = e.user_id AND oc.slot = e.slot AND oc.epoch = e.epoch AND oc.ts <= e.asked_at GROUP BY 1, 2, 3) SELECT e.user_id, e.slot, e.q, h.value, CASE WHEN h.value IS NOT NULL THEN 'answered' WHEN seen = 0 THEN 'no known slot' WHEN e.epoch > 0 THEN 'deleted' WHEN holds = 1 AND opened = 0 THEN 'unconfirmed' ELSE 'no value at date' END AS reason FROM e LEFT JOIN w USING (user_id, slot, q) LEFT JOIN hist h ON h.epoch = e.epoch AND h.user_id = e.user_id AND h.slot = e.slot AND h.valid_from <= e.as_of AND (h.valid_to IS NULL OR e.as_of < h.valid_to)",
+    "held_claims": f"WITH {outcomes()}, o AS (SELECT user_id, slot, epoch, arg_min(value, seq) AS ivalue FROM oc WHERE outcome = 'introduce' GROUP BY 1, 2, 3), l AS (SELECT user_id, slot, epoch, max(seq) AS top FROM oc WHERE outcome = 'hold' GROUP BY 1, 2, 3) SELECT seq, oc.user_id, oc.slot, label, CASE WHEN seq < top THEN 'disputed' WHEN ivalue IS NULL THEN 'pending' WHEN ivalue = value THEN 'confirmed' ELSE 'disputed' END AS state, epoch = last_epoch AS live FROM oc JOIN l USING (user_id, slot, epoch) LEFT JOIN o USING (user_id, slot, epoch) WHERE outcome = 'hold'",
+    "dispute_audit": f"WITH {outcomes()}, o AS (SELECT user_id, slot, epoch, arg_min(value, seq) AS ivalue FROM oc WHERE outcome = 'introduce' GROUP BY 1, 2, 3), l AS (SELECT user_id, slot, epoch, max(seq) AS top FROM oc WHERE outcome = 'hold' GROUP BY 1, 2, 3) SELECT seq, user_id, slot, epoch, value, trust, epoch = last_epoch AS live FROM oc LEFT JOIN l USING (user_id, slot, epoch) LEFT JOIN o USING (user_id, slot, epoch) WHERE outcome = 'dispute' OR outcome = 'hold' AND (seq < top OR ivalue <> value)",
     "point_in_time_checkpoints": "WITH "
     + CLAIMS.replace("claims AS", "claims0 AS", 1)
-    + ", claims AS (SELECT c.seq, c.ts, c.user_id, p.seq // 2500 || '|' || c.slot AS slot, c.is_delete, c.value, c.trust FROM claims0 c JOIN claims0 p ON p.seq % 2500 = 2499 AND c.ts <= p.ts)"
+    + ", claims AS (SELECT c.seq, c.ts, c.user_id, p.seq // 2500 || '|' || c.slot AS slot, c.is_delete, c.label, c.value, c.trust FROM claims0 c JOIN claims0 p ON p.seq % 2500 = 2499 AND c.ts <= p.ts)"
     + outcomes(2, EPOCHS[len(CLAIMS) :])
     + HIST
     + " SELECT 'c' || split_part(slot, '|', 1) AS checkpoint, split_part(slot, '|', 2) AS slot, count(*) AS open, CAST(sum(trust) AS BIGINT) AS trust FROM hist WHERE live AND valid_to IS NULL GROUP BY 1, 2",
