@@ -70,18 +70,84 @@ def test_awkward(awkward, empty):
     assert jaccard_components(empty).count() == 0
 
 
-def test_linked_sets_share_a_key():
-    rng = np.random.default_rng(5)
-    for _ in range(600):
-        n = int(rng.integers(9, 400))
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        d = int(n * 0.1)
-        keep = a[int(rng.integers(0, d + 1)) :]
-        b = np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, d + 1))).astype(np.uint64)])
-        a, b = np.unique(a), np.unique(b)
-        o = len(np.intersect1d(a, b))
-        if 10 * o >= 9 * (len(a) + len(b) - o) and not np.array_equal(a, b):
-            assert np.intersect1d(J.signatures(a, 9, 10), J.signatures(b, 9, 10)).size
+def linked(x, y, num, den):
+    o = len(np.intersect1d(x, y))
+    return den * o >= num * (len(x) + len(y) - o)
+
+
+def corpus(seed):
+    """Sets made of shared passages and own shingles in all proportions."""
+    rng = np.random.default_rng(seed)
+    new = lambda n: rng.integers(0, 2**64 - 1, n, np.uint64)
+    passages = [new(int(rng.integers(1, 120))) for _ in range(6)]
+    sets = []
+    for _ in range(40):
+        parts = [p for p in passages if rng.random() < 0.5] + [new(int(rng.integers(1, 60)))]
+        base = np.concatenate(parts)[: int(rng.integers(1, 400))]
+        for _ in range(int(rng.integers(1, 5))):
+            keep = base[rng.random(len(base)) >= rng.choice([0.0, 0.02, 0.05, 0.1])]
+            sets.append(np.concatenate([keep, new(int(rng.integers(0, 1 + len(base) // 12)))]))
+    a, b = new(12), new(1)
+    sets += [a, np.concatenate([a, b]), np.concatenate([a, new(1)]), a[1:], a[:9], a[:8]]
+    return list({np.unique(s).tobytes(): np.unique(s) for s in sets if len(s)}.values())
+
+
+@pytest.mark.parametrize("num, den", [(9, 10), (4, 5), (3, 4), (1, 2)])
+@pytest.mark.parametrize("frequent, common", [(2, 3), (3, 8), (32, 1024)])
+def test_linked_sets_share_prefixes_and_keys(num, den, frequent, common):
+    plan = J.Plan(num, den, frequent, common)
+    for seed in range(3):
+        sets = corpus(seed)
+        tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+        df = dict(zip(tokens.tolist(), count.tolist(), strict=True))
+        prefixes = [s[: plan.prefix(len(s))] for s in sets]
+        held, times = np.unique(np.concatenate(prefixes), return_counts=True)
+        shared = held[times > 1]
+        keys = []
+        for s in sets:
+            n = np.array([df[t] for t in s.tolist()])
+            keys.append(plan.keys(len(s), s[n > 1], n[n > 1]))
+        links = 0
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if linked(x, sets[j], num, den):
+                    links += 1
+                    assert np.intersect1d(keys[i], keys[j]).size
+                    for k in (i, j):
+                        assert np.isin(prefixes[k], shared).sum() >= plan.least(len(sets[k]))
+        assert links > 20
+
+
+def test_every_prefix_ends():
+    for num, den in ((9, 10), (4, 5), (1, 2), (1, 5)):
+        plan = J.Plan(num, den, 2, 3)
+        for n in range(2, 3000, 7):
+            assert plan.prefix(n) <= n
+            assert all(3 * g <= n - plan.differ(n) - 1 for _, g in plan.levels(n))
+            assert plan.levels(n)
+
+
+def test_the_two_ways_to_filter_agree(spark):
+    rows = near_copies(4)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_components(df, bitmap_keys=0).collect()), key=str) == brute(rows)
+
+
+def test_a_group_that_no_hub_holds_together(spark):
+    """A chain of texts under common keys: neighbours link, most pairs don't."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 200])) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_components(df, frequent=4, common=9, block_rows=7).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_rows_without_ids_link_others(spark):
+    words = [f"w{k}" for k in range(100)]
+    text = lambda a, b: " ".join(words[a:b])
+    rows = [(1, text(0, 90)), (None, text(4, 94)), (None, text(4, 94)), (2, text(8, 98)), (2, "something else here")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == sorted([(1, 88, 1), (-1, 88, 1), (-1, 88, 1), (2, 88, 1), (2, 1, 2)])
 
 
 def test_components(spark):

@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared
-by driver and executors); a temporary folder is used only where that setting is
-absent, as in local tests.
+by driver and executors); a temporary folder is used only in local mode, where that
+setting is absent.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Words of 64 bits in a bitmap: 4 MB, whatever the input.
-BITMAP_WORDS = 1 << 19
+#: Words of 64 bits in a bitmap: 8 MB, whatever the input.
+BITMAP_WORDS = 1 << 20
+#: Keys up to which a bitmap tells much (two bits each); beyond, callers join.
+BITMAP_KEYS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -94,16 +98,19 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
-    """One bit for each value of a column of hashes, modulo the bitmap's size."""
-    word = F.pmod(F.col(hashed), F.lit(BITMAP_WORDS)).cast("int").alias("word")
-    rows = df.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({hashed}, 58) as int)))").alias("bits")).toArrow()
+    """Two bits for each value of a column of hashes."""
+    bit = lambda word, bits: F.struct(F.expr(f"cast({word} & {BITMAP_WORDS - 1} as int)").alias("word"), F.expr(f"shiftleft(1L, cast({bits} & 63 as int))").alias("bit"))
+    both = F.array(bit(hashed, f"shiftrightunsigned({hashed}, 32)"), bit(f"shiftrightunsigned({hashed}, 40)", f"shiftrightunsigned({hashed}, 20)"))
+    rows = df.select(F.inline(both)).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()  # at most BITMAP_WORDS rows
     out = np.zeros(BITMAP_WORDS, np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    return bits[hashed & (BITMAP_WORDS - 1)] >> (hashed.view(np.uint64) >> np.uint64(58)) & np.uint64(1) > 0
+    h, mask, one = hashed.view(np.uint64), np.uint64(BITMAP_WORDS - 1), np.uint64(1)
+    first = bits[h & mask] >> (h >> np.uint64(32) & np.uint64(63)) & one
+    return (first & bits[h >> np.uint64(40) & mask] >> (h >> np.uint64(20) & np.uint64(63))).astype(bool)
 
 
 def rows_in(df: DataFrame, hashed: Column, bits: np.ndarray, inside: bool = True) -> DataFrame:
@@ -119,9 +126,19 @@ def rows_in(df: DataFrame, hashed: Column, bits: np.ndarray, inside: bool = True
     return df.where(keep(hashed))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Inner join on a key that few rows of ``df`` have: a bitmap drops most of the
-    others before anything is shuffled."""
+    others before anything is shuffled, up to BITMAP_KEYS ids."""
+    if ids.count() > BITMAP_KEYS:
+        return df.join(ids, key)
     bits = bitmap(ids.select(F.xxhash64(key).alias("_h")), "_h")
     return rows_in(df, F.xxhash64(key), bits).join(ids, key)
 
@@ -129,7 +146,30 @@ def join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``ids`` (nulls stay); only those that the bitmap
     cannot clear are joined."""
+    if ids.count() > BITMAP_KEYS:
+        return df.join(ids.select(key).distinct(), key, "left_anti").select(*df.columns)
     bits = bitmap(ids.select(F.xxhash64(key).alias("_h")), "_h")
     clear = rows_in(df, F.xxhash64(key), bits, False)
     rest = rows_in(df, F.xxhash64(key), bits).join(ids.select(key).distinct(), key, "left_anti")
     return clear.unionByName(rest.select(*df.columns))
+
+
+def sample(df: DataFrame, limit: int, *, by: str | None = None, least: int = 0) -> DataFrame:
+    """Distinct rows by the hash of all their columns, about ``limit`` of them; with
+    ``by``, in proportion but at least ``least`` of each of its values (or all that
+    there are).  The same rows whatever the order or the partitions."""
+    cells = 1 << 30
+    name = fresh(df, "_hash")
+    keyed = df.withColumn(name, F.xxhash64(*df.columns))
+    dealt = F.pmod(F.xxhash64(name, F.lit(1)), F.lit(cells))
+    if by is None:
+        total = df.count()
+        chosen = keyed.where(dealt < int(cells * min(1.0, limit / max(1, total))))
+    else:
+        counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+        total = df.count()
+        quota = F.greatest(F.lit(limit / max(1, total)), F.lit(float(least)) / F.col("_n"))
+        chosen = keyed.join(counts.withColumn("_quota", quota * cells).drop("_n"), by).where(dealt < F.col("_quota"))
+    return chosen.groupBy(name).agg(*(F.first(c).alias(c) for c in df.columns))
+
+

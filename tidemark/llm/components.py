@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .common import discard, settle
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, label): the smallest node of each node's component.
 
     ``edges`` has long columns u and v; nodes without an edge are absent from the
     result.  Each round takes the smallest label among a node and its neighbours
     (aggregated before the shuffle, so hubs cost a row per task) and then the label
-    of that label, which halves long chains; it ends when no label changes.
+    of that label, which halves long chains; it ends when no label changes, and raises
+    if labels still change after ``max_rounds``.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
     both = settle(both, "cc-edges")
@@ -31,5 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels._settled_at = new._settled_at
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     discard(both)
     return labels
