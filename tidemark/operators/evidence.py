@@ -67,16 +67,39 @@ def missing_pairs(claims: DataFrame, slots: list[str]) -> DataFrame:
     return every.join(claims.where("NOT is_delete").select("user_id", "slot").distinct(), ["user_id", "slot"], "left_anti")
 
 
+def _word(c):
+    return F.lower(F.regexp_extract(c, r"(?U)\w+", 0))
+
+
+def _words(c):
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def phrase_pairs(texts: DataFrame, key: str, text: str, phrases: DataFrame, *scope: str) -> DataFrame:
+    """(scope, key, phrase) for every text that mentions a phrase, of the same scope.
+
+    Pairs must share the phrase's first word, an equi-join that leaves the pattern to
+    few pairs; a word of the texts that begins no phrase is dropped before it.  Phrases
+    without any word are tried on every text.
+    """
+    phrases = phrases.select(*scope, "phrase").distinct().withColumn("_w", _word("phrase"))
+    worded = phrases.where("_w <> ''")
+    rows = texts.select(*scope, key, F.col(text).alias("_text"))
+    spread = rows.select(*scope, key, F.explode(_words("_text")).alias("_w")).join(worded.select(*scope, "_w").distinct(), [*scope, "_w"], "left_semi")
+    near = spread.join(worded, [*scope, "_w"]).select(*scope, key, "phrase").join(rows, [*scope, key])
+    odd = phrases.where("_w = '' AND trim(phrase) <> ''").drop("_w")
+    other = rows.join(odd, list(scope)) if scope else rows.join(odd, F.lit(True))
+    both = near.select(*scope, key, "phrase", "_text").unionByName(other.select(*scope, key, "phrase", "_text"))
+    return both.where(mentions(F.col("_text"), F.col("phrase"))).select(*scope, key, "phrase").distinct()
+
+
 def subphrases(values: DataFrame) -> DataFrame:
     """(inner, outer): values that occur as a whole phrase within another value.
 
     Pairs must share the inner value's first word, an equi-join that leaves the
     pattern to few pairs.
     """
-    def word(c):
-        return F.lower(F.regexp_extract(c, r"(?U)\w+", 0))
-
-    inner = values.select(F.col("value").alias("inner"), word("value").alias("word")).where("word <> ''").distinct()
-    outer = values.select("value").distinct().select(F.col("value").alias("outer"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    inner = values.select(F.col("value").alias("inner"), _word("value").alias("word")).where("word <> ''").distinct()
+    outer = values.select("value").distinct().select(F.col("value").alias("outer"), F.explode(_words("value")).alias("word"))
     pairs = inner.join(outer, "word").where(F.col("inner") != F.col("outer"))
     return pairs.where(mentions(F.col("outer"), F.col("inner"))).select("inner", "outer")

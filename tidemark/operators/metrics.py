@@ -59,31 +59,38 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, per: int) -> Data
     return rows.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= per)
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, *, replicates: int = 200, low: float = 0.025) -> DataFrame:
-    """Percentile interval of a group mean.  rows: (group, pos from 0, value); draw d
-    of replicate r picks an arithmetic-hash position, the same on any engine.
+def bootstrap(rows: DataFrame, group: str, value: str, *, replicates: int = 2000, low: float = 0.025) -> DataFrame:
+    """Percentile interval of a group mean over resamples of its rows.
 
-    Replicates are exploded per group after values are numbered; each draw joins its
-    row by (group, position), so no group is gathered.
+    Rows are only counted by value, and laid out in order of value; draw d of replicate
+    r falls on an arithmetic-hash position, the same on any engine, and takes the value
+    whose range holds it.  So no row is copied or numbered, and what is drawn from has a
+    row per distinct value (marks, or differences of marks).
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    draws = rows.select(group, F.col("pos").alias("d")).join(sizes, group)
-    draws = draws.select(group, "n", "d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = draws.withColumn("pos", F.pmod((F.col("d").cast("long") * 48271 + F.col("rep").cast("long") * 69621 + 12345) % 2147483647, F.col("n")))
-    means = draws.join(rows.select(group, "pos", value), [group, "pos"]).groupBy(group, "rep").agg(F.avg(value).alias("m"))
-    w = W.partitionBy(group).orderBy("m", "rep")
-    ranked = means.withColumn("rn", F.row_number().over(w) - 1)
+    rows = rows.where(F.col(value).isNotNull())
+    ranges = rows.groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    order = W.partitionBy(group).orderBy("_v")
+    ranges = ranges.withColumn("_to", F.sum("_k").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_from", F.col("_to") - F.col("_k"))
+    sizes = ranges.groupBy(group).agg(F.sum("_k").alias("_n"))
+    draws = sizes.select(group, "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")).repartition(group, "_rep")
+    draws = draws.select(group, "_n", "_rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_d"))
+    at = F.pmod((F.col("_d") * 48271 + F.col("_rep").cast("long") * 69621 + 12345) % 2147483647, F.col("_n"))
+    drawn = draws.select(group, "_rep", at.alias("_at")).join(ranges.select(group, "_v", "_from", "_to"), group).where("_at >= _from AND _at < _to")
+    means = drawn.groupBy(group, "_rep").agg(F.avg("_v").alias("_m"))
+    ranked = means.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy("_m", "_rep")) - 1)
     first, last = int(replicates * low), replicates - 1 - int(replicates * low)
-    return ranked.groupBy(group).agg(F.round(F.max(F.when(F.col("rn") == first, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("rn") == last, F.col("m"))), 6).alias("high"))
+    return ranked.groupBy(group).agg(F.round(F.max(F.when(F.col("_rn") == first, F.col("_m"))), 6).alias("low"), F.round(F.max(F.when(F.col("_rn") == last, F.col("_m"))), 6).alias("high"))
 
 
-def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def price_calls(calls: DataFrame, prices: list[tuple[str, float, float]] = PRICES) -> DataFrame:
     """Dollar cost of (call_id, model, tokens_in, tokens_out) by the longest price
-    prefix; a model without a price has null cost and ``priced`` false."""
-    hit = calls.join(F.broadcast(prices), F.col("model").startswith(F.col("prefix")), "left")
-    best = hit.groupBy("call_id", "model", "tokens_in", "tokens_out").agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("p"))
-    cost = (F.col("tokens_in") * F.col("p.price_in") + F.col("tokens_out") * F.col("p.price_out")) / 1e6
-    return best.select("call_id", "model", F.round(cost, 9).alias("usd"), F.col("p").isNotNull().alias("priced"))
+    prefix, row by row; a model without a price has null cost and ``priced`` false."""
+    best = F.lit(None).cast("struct<i:double,o:double>")
+    for prefix, price_in, price_out in sorted(prices, key=lambda p: len(p[0])):
+        best = F.when(F.col("model").startswith(prefix), F.struct(F.lit(price_in).alias("i"), F.lit(price_out).alias("o"))).otherwise(best)
+    rows = calls.withColumn("_p", best)
+    cost = (F.col("tokens_in") * F.col("_p.i") + F.col("tokens_out") * F.col("_p.o")) / 1e6
+    return rows.select("call_id", "model", F.round(cost, 9).alias("usd"), F.col("_p").isNotNull().alias("priced"))
 
 
 def cache_split(requests: DataFrame, cache: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from .evidence import numbered
 from .metrics import bootstrap
 
 
-def paired_interval(rows: DataFrame, group: str, a: str, b: str, *, replicates: int = 200) -> DataFrame:
+def paired_interval(rows: DataFrame, group: str, a: str, b: str, *, replicates: int = 2000) -> DataFrame:
     """Difference a - b in points on the same rows with its percentile interval."""
     d = rows.withColumn("_d", 100.0 * (F.col(a) - F.col(b)))
     ends = bootstrap(d, group, "_d", replicates=replicates)

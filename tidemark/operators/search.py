@@ -36,7 +36,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1
     scored = asked.join(tf.join(idf, ["scope", "term"]), ["scope", "term"]).groupBy("query_id", "scope", "item_id").agg(F.sum(weight).alias("raw"))
     order = W.partitionBy("query_id", "scope").orderBy(F.round("raw", 9).desc(), "item_id")
     ranked = scored.where("raw > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    return ranked.select("query_id", "scope", "rank", "item_id", F.round("raw", 4).alias("score"))
+    return ranked.select("query_id", "scope", "rank", "item_id", F.bround("raw", 4).alias("score"))
 
 
 def within_budget(evidence: DataFrame, budget: int) -> DataFrame:
@@ -45,30 +45,82 @@ def within_budget(evidence: DataFrame, budget: int) -> DataFrame:
     return evidence.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, *, top_k: int = 10) -> DataFrame:
+#: Floats of the queries that one task holds at a time.
+QUERY_FLOATS = 1 << 22
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, *, top_k: int = 10, query_floats: int = QUERY_FLOATS) -> DataFrame:
     """Exact cosine top-k of (query_id, embedding) over (vec_id, embedding).
 
-    A stated query set meets all vectors; it is a bounded, broadcast side.
+    A stated query set meets all vectors in blocks: queries are dealt by hash into as
+    many blocks as keep one within ``query_floats``, each block is sent once and every
+    batch of vectors gives its own top-k by one matrix product, so only k rows per
+    query and batch are shuffled.  Zero vectors have no cosine and are left out.
     """
-    def norm(c):
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-
-    v = vectors.select("vec_id", "embedding", norm("embedding").alias("vn"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm("embedding").alias("qn"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.col("vn") * F.col("qn")), 6).alias("score"))
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // query_floats))
+    out = None
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").toArrow()  # a bounded block
+        ids = rows.column("query_id").to_numpy()
+        q = np.array(rows.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+        sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+
+        def run(batches):
+            ids, q = sent.value
+            for batch in batches:
+                v = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(len(batch), -1)
+                norm = np.linalg.norm(v, axis=1)
+                names = batch.column("vec_id").to_numpy()
+                if not len(ids) or not len(names):
+                    continue
+                score = np.round(q @ (v / np.maximum(norm, 1e-300)[:, None]).T, 6)
+                score[(ids[:, None] == names[None, :]) | (norm == 0)[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(names, score.shape), -score))[:, :top_k]
+                best = np.take_along_axis(score, order, 1)
+                at, k = np.nonzero(best > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(names[order[at, k]]), pa.array(best[at, k])], ["query_id", "vec_id", "score"])
+
+        found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+        out = found if out is None else out.unionByName(found)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def _left(facts: DataFrame, budget: int) -> DataFrame:
+    used = facts.groupBy("query_id", "scope").agg(F.max("rank").alias("_n"), F.sum("tokens").alias("_used"))
+    return used.select("query_id", "scope", "_n", F.greatest(F.lit(budget) - F.col("_used"), F.lit(0)).alias("_left"))
+
+
+def _fill(facts: DataFrame, turns: DataFrame, budget: int) -> DataFrame:
+    """Facts that fit the budget, then turns within what it leaves, ranked on."""
+    facts = within_budget(facts, budget).drop("used")
+    rest = turns.join(_left(facts, budget), ["query_id", "scope"], "left")
+    upto = W.partitionBy("query_id", "scope").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    rest = rest.withColumn("_sum", F.sum("tokens").over(upto)).where(F.col("_sum") <= F.coalesce("_left", F.lit(budget)))
+    rest = rest.withColumn("rank", (F.col("rank") + F.coalesce("_n", F.lit(0))).cast("int")).drop("_n", "_left", "_sum")
+    return facts.withColumn("rank", F.col("rank").cast("int")).unionByName(rest)
+
+
+def augment(facts: DataFrame, turns: DataFrame, refused: DataFrame, budget: int) -> DataFrame:
+    """Facts first, then turns in the rest of the token budget; (query_id, scope) pairs in
+    ``refused``, whose fact was deleted, get facts alone.  Rows carry query_id, scope,
+    rank, item_id and tokens."""
+    open_turns = turns.join(refused.select("query_id", "scope").distinct(), ["query_id", "scope"], "left_anti")
+    return _fill(facts, open_turns, budget)
 
 
-def fallback(facts: DataFrame, turns: DataFrame) -> DataFrame:
-    """Facts where a query has any, otherwise retrieved turns."""
-    rest = turns.join(facts.select("query_id").distinct(), "query_id", "left_anti")
-    return facts.unionByName(rest)
+def fallback(facts: DataFrame, turns: DataFrame, refused: DataFrame, budget: int) -> DataFrame:
+    """As ``augment``, but turns only where no fact is found."""
+    fits = within_budget(facts, budget)
+    return augment(facts, turns.join(fits.select("query_id", "scope").distinct(), ["query_id", "scope"], "left_anti"), refused, budget)
 
 
-def augment(facts: DataFrame, turns: DataFrame) -> DataFrame:
-    """Facts first, then turns, ranked on."""
-    counts = facts.groupBy("query_id").agg(F.max("rank").alias("_n"))
-    after = turns.join(counts, "query_id", "left").withColumn("rank", F.col("rank") + F.coalesce("_n", F.lit(0))).drop("_n")
-    return facts.unionByName(after)
+def history_of(events: DataFrame) -> DataFrame:
+    """All events of each user in their order: (user_id, rank, event_id)."""
+    order = W.partitionBy("user_id").orderBy("session_id", "position")
+    return events.select("user_id", F.row_number().over(order).alias("rank"), "event_id")

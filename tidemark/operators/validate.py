@@ -21,9 +21,24 @@ def unknown_references(rows: DataFrame, key: str, known: DataFrame, known_key: s
     return rows.join(known.select(F.col(known_key).alias(key)).distinct(), key, "left_anti")
 
 
-def illegal_sequence(outcomes: DataFrame) -> DataFrame:
-    """Changes that cannot follow what precedes them in their epoch."""
-    w = W.partitionBy("user_id", "slot", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    opened = F.coalesce(F.max((F.col("outcome") == "introduce").cast("int")).over(w), F.lit(0)) == 1
-    bad = (F.col("outcome").isin("supersede", "restate", "dispute") & ~opened) | ((F.col("outcome") == "introduce") & opened)
-    return outcomes.withColumn("_bad", bad).where("_bad").drop("_bad")
+KINDS = ["introduce", "update", "restate", "contradict", "delete"]
+
+
+def illegal_sequence(mutations: DataFrame, *, key: tuple[str, ...] = ("user_id", "slot"), order: str = "seq") -> DataFrame:
+    """Changes (key, order, kind, value) that cannot follow what precedes them, with the
+    ``error`` each makes.  The active value is that of the last introduction or update,
+    unless a delete came after it; an illegal one sets it as well."""
+    along = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    setter = F.when(F.col("kind").isin("introduce", "update", "delete"), F.struct(F.when(F.col("kind") != "delete", F.col("value")).alias("v")))
+    rows = mutations.withColumn("_now", F.last(setter, ignorenulls=True).over(along)["v"])
+    now, same = F.col("_now").isNotNull(), F.col("value") == F.col("_now")
+    error = (
+        F.when((F.col("kind") == "introduce") & now, "INTRODUCE while fact is active (use UPDATE)")
+        .when((F.col("kind") == "update") & ~now, "UPDATE of an inactive fact")
+        .when((F.col("kind") == "update") & same, "UPDATE to the same value (use RESTATE)")
+        .when((F.col("kind") == "restate") & ~F.coalesce(same, F.lit(False)), "RESTATE must repeat the current value")
+        .when((F.col("kind") == "contradict") & ~now, "CONTRADICT of an inactive fact")
+        .when((F.col("kind") == "contradict") & same, "CONTRADICT must conflict with the current value")
+        .when((F.col("kind") == "delete") & ~now, "DELETE of an inactive fact")
+    )
+    return rows.withColumn("error", error).where("error IS NOT NULL").drop("_now")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evidence, extract, facts, metrics, report, scoring, search, stream, validate
+from ..operators import deletes, evidence, extract, facts, metrics, report, scoring, search, stream, validate
 from ..sources.tables import table
 from .oracles import ORACLES
 
@@ -37,16 +37,13 @@ def probes(spark, d):
 
 
 def questions(spark, d):
-    """The first eight words of each benchmark item."""
-    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), head.alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def ranked_turns(spark, d):
     t = stream.trace(table(spark, d, "conversations"))
     corpus = t.select(F.col("user_id").alias("scope"), F.col("event_id").alias("item_id"), F.col("content").alias("text"))
-    scopes = corpus.select("scope").distinct()
-    asked = questions(spark, d).crossJoin(F.broadcast(scopes))  # ten scopes
+    asked = questions(spark, d).withColumn("scope", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))))  # all ten scopes
     return search.bm25(corpus, asked), corpus
 
 
@@ -57,9 +54,12 @@ def trace_events(spark, d):
 
 @query
 def event_gate_dedupe(spark, d):
-    rows = claims(spark, d).select(F.col("seq").alias("event_id"), "user_id", "slot")
-    again = rows.unionByName(rows.where("event_id % 3 = 0"))
-    return stream.gate(again, rows.where("event_id % 11 = 0"))
+    """Every third event comes twice, the second time with another slot; every eleventh
+    was deleted by its user, every thirteenth by somebody else."""
+    rows = claims(spark, d).select(F.col("seq").alias("event_id"), "user_id", "slot", "seq")
+    again = rows.unionByName(rows.where("event_id % 3 = 0").withColumns({"slot": F.lit("again"), "seq": F.col("seq") + 1_000_000_000}))
+    gone = rows.where("event_id % 11 = 0").select("user_id", "event_id").unionByName(rows.where("event_id % 13 = 0").select((F.col("user_id") + 1).alias("user_id"), "event_id"))
+    return stream.gate(again, gone).select("event_id", "user_id", "slot")
 
 
 @query
@@ -178,37 +178,46 @@ def vector_topk(spark, d):
 
 
 def _hybrid(spark, d):
-    ranked, _ = ranked_turns(spark, d)
-    turns = ranked.where("scope = 0").select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), "item_id")
-    now = facts.current(claims(spark, d)).where("slot = 'click'").groupBy("user_id").agg(F.max("value").alias("v"))
-    known = now.select(F.col("user_id").cast("long").alias("query_id"), F.lit(1).cast("long").alias("rank"), F.concat(F.lit("click: "), "v").alias("item_id"))
-    return known.join(questions(spark, d).select("query_id"), "query_id", "left_semi").where("query_id % 2 = 0"), turns
+    """(facts, turns, refused) of every question in every scope: a question asks for one
+    slot of the scope's user, and is refused where that fact was deleted."""
+    ranked, corpus = ranked_turns(spark, d)
+    cost = corpus.select("scope", "item_id", X.token_count(F.col("text")).alias("tokens"))
+    turns = ranked.join(cost, ["scope", "item_id"]).select("query_id", "scope", "rank", "item_id", "tokens")
+    c = claims(spark, d)
+    slot = F.get(F.array(*map(F.lit, facts.SLOTS)), (F.col("query_id") % 4).cast("int"))
+    asked = questions(spark, d).select("query_id", slot.alias("slot"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("scope"))
+    now = facts.current(c).select(F.col("user_id").alias("scope"), "slot", F.concat("slot", F.lit(": "), "value").alias("item_id"))
+    known = asked.join(now, ["scope", "slot"]).select("query_id", "scope", F.lit(1).alias("rank"), "item_id", X.token_count(F.col("item_id")).alias("tokens"))
+    gone = facts.tombstones(c).select(F.col("user_id").alias("scope"), "slot")
+    refused = asked.join(gone, ["scope", "slot"]).join(known.select("query_id", "scope"), ["query_id", "scope"], "left_anti").select("query_id", "scope")
+    return known, turns, refused
 
 
 @query
 def hybrid_fallback(spark, d):
-    return search.fallback(*_hybrid(spark, d))
+    return search.fallback(*_hybrid(spark, d), budget=60)
 
 
 @query
 def hybrid_augment(spark, d):
-    return search.augment(*_hybrid(spark, d))
+    return search.augment(*_hybrid(spark, d), budget=60)
 
 
 @query
 def hybrid_scrub(spark, d):
-    """Turns that survive once values named by deleted events are scrubbed."""
+    """Turns that survive once every turn of a user that mentions an erased value is
+    dropped; the values are the first three words of each user's openings."""
     t = stream.trace(table(spark, d, "conversations"))
-    words = spark.createDataFrame([("the",), ("and that",)], "phrase string")
-    bad = t.join(F.broadcast(words), X.mentions(F.col("content"), F.col("phrase"))).select("event_id").distinct()
-    return t.join(bad, "event_id", "left_anti").select("event_id", "user_id")
+    erased = t.where("position = 0").select("user_id", F.array_join(F.slice(F.split("content", r"\s+"), 1, 3), " ").alias("value"))
+    return deletes.scrub_values(t, erased).select("event_id", "user_id")
 
 
 @query
 def phrase_mentions(spark, d):
-    docs = table(spark, d, "documents")
-    phrase = spark.createDataFrame([("the",), ("est",), ("und  der",), ("is a",)], "phrase string")
-    return docs.join(F.broadcast(phrase), X.mentions(F.col("text"), F.col("phrase"))).groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("doc_id").alias("ids"))
+    """How many documents mention each part type's words."""
+    phrase = table(spark, d, "part").select(F.lower(F.element_at(F.split("p_type", " "), 1)).alias("phrase")).unionByName(spark.createDataFrame([("the",), ("est",), ("und  der",), ("is a",)], "phrase string")).distinct()
+    found = evidence.phrase_pairs(table(spark, d, "documents"), "doc_id", "text", phrase)
+    return found.groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("doc_id").alias("ids"))
 
 
 @query
@@ -300,10 +309,7 @@ def noise_flips(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    w = metrics.W.partitionBy("lang").orderBy("doc_id")
-    rows = rows.select("lang", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("quality").cast("double").alias("quality"))
-    return metrics.bootstrap(rows, "lang", "quality")
+    return metrics.bootstrap(_marked(spark, d).withColumn("quality", F.col("quality").cast("double")), "lang", "quality")
 
 
 @query
@@ -316,7 +322,7 @@ def cost_usd(spark, d):
     k = F.regexp_extract("props", r'"k": *(-?[0-9]+)', 1).cast("long")
     models = ["gpt-4.1-mini-2025", "gpt-4o-2024-08-06", "gpt-4.1-2025-04-14", "unknown-model"]
     calls = table(spark, d, "events").select(F.col("event_id").alias("call_id"), F.get(F.array(*map(F.lit, models)), (F.col("event_id") % 4).cast("int")).alias("model"), (k * 100).alias("tokens_in"), k.alias("tokens_out"))
-    return metrics.price_calls(calls, spark.createDataFrame(metrics.PRICES, "prefix string, price_in double, price_out double"))
+    return metrics.price_calls(calls)
 
 
 @query
@@ -339,8 +345,11 @@ def validate_duplicates(spark, d):
 
 @query
 def validate_order(spark, d):
-    rows = table(spark, d, "events").select("user_id", "event_id", "value")
-    return validate.out_of_order(rows, "user_id", "event_id", "value")
+    """Events that are older than the one before them, once a user's odd events are
+    entered in reverse."""
+    at = F.when(F.col("event_id") % 2 == 1, -F.col("event_id")).otherwise(F.col("event_id"))
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", at.alias("entered"))
+    return validate.out_of_order(rows, "user_id", "entered", "ts").select("user_id", "event_id", "ts")
 
 
 @query
@@ -350,7 +359,12 @@ def validate_references(spark, d):
 
 @query
 def validate_sequence(spark, d):
-    return validate.illegal_sequence(facts.outcomes(claims(spark, d))).agg(F.count("*").alias("violations"))
+    """A change log in which every seventh change is given the next kind's name."""
+    m = scoring.mutations_of(facts.outcomes(claims(spark, d)))
+    kinds = F.array(*map(F.lit, validate.KINDS))
+    wrong = F.get(kinds, (F.array_position(kinds, F.col("kind")) % len(validate.KINDS)).cast("int"))
+    m = m.withColumn("kind", F.when(F.col("seq") % 7 == 0, wrong).otherwise(F.col("kind")))
+    return validate.illegal_sequence(m).select("user_id", "slot", "seq", "error")
 
 
 @query
@@ -406,9 +420,7 @@ def _marked(spark, d):
 
 @query
 def paired_ci(spark, d):
-    w = metrics.W.partitionBy("lang").orderBy("doc_id")
-    rows = _marked(spark, d).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
-    return report.paired_interval(rows, "lang", "quality", "toxic")
+    return report.paired_interval(_marked(spark, d), "lang", "quality", "toxic")
 
 
 @query

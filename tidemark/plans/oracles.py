@@ -71,7 +71,7 @@ trace AS (
   SELECT conv_id || '#' || turn AS event_id, conv_id % 10 AS user_id, conv_id AS session_id, turn,
          CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'system' THEN 'document' END AS kind, text AS content
   FROM conversations)"""
-QUESTIONS = "qs AS (SELECT item_id AS query_id, array_to_string((regexp_split_to_array(text, '\\s+'))[1:8], ' ') AS text FROM benchmark)"
+QUESTIONS = "qs AS (SELECT item_id AS query_id, text FROM benchmark)"
 BM25 = TRACE + ", " + QUESTIONS + f""",
 dt AS (SELECT user_id AS scope, event_id AS item_id, {terms('content')} AS ws FROM trace),
 sc AS (SELECT scope, count(*) AS n, CASE WHEN avg(len(ws)) = 0 THEN 1 ELSE avg(len(ws)) END AS al FROM dt GROUP BY scope),
@@ -83,7 +83,7 @@ raw AS (
   FROM qt JOIN tf USING (term) JOIN dfq USING (scope, term) JOIN sc USING (scope) GROUP BY ALL),
 rkd AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id, scope ORDER BY round(raw, 9) DESC, item_id) AS INT) AS rank FROM raw WHERE raw > 0),
-ranked AS (SELECT query_id, scope, rank, item_id, round(raw, 4) AS score FROM rkd WHERE rank <= 5)"""
+ranked AS (SELECT query_id, scope, rank, item_id, round_even(raw, 4) AS score FROM rkd WHERE rank <= 5)"""
 
 PROBES = """,
 pr AS (
@@ -110,11 +110,18 @@ lg AS (
   FROM events)"""
 
 MENTION = "regexp_matches({t}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || {p} || '($|[^\\p{{L}}\\p{{N}}_])')"
-HYBRID = outcomes() + HIST + ", " + BM25 + """,
+TOKENS = "CAST(len(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS BIGINT)"
+HYBRID = outcomes() + HIST + ", " + BM25 + f""",
+aq AS (SELECT query_id, scope, (['click','view','purchase','signup'])[query_id % 4 + 1] AS slot FROM qs, range(10) g(scope)),
 fc AS (
-  SELECT user_id AS query_id, CAST(1 AS BIGINT) AS rank, 'click: ' || max(value) AS item_id FROM hist
-  WHERE live AND valid_to IS NULL AND slot = 'click' AND user_id % 2 = 0 AND user_id IN (SELECT query_id FROM qs) GROUP BY user_id),
-tn AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, item_id FROM ranked WHERE scope = 0)"""
+  SELECT query_id, scope, 1 AS rank, aq.slot || ': ' || value AS item_id, {TOKENS.format(c="aq.slot || ': ' || value")} AS tokens
+  FROM aq JOIN hist ON hist.live AND hist.valid_to IS NULL AND hist.slot = aq.slot AND hist.user_id = aq.scope),
+rf AS (SELECT query_id, scope FROM aq WHERE EXISTS (SELECT 1 FROM claims c WHERE c.is_delete AND c.user_id = aq.scope AND c.slot = aq.slot) AND NOT EXISTS (SELECT 1 FROM fc WHERE fc.query_id = aq.query_id AND fc.scope = aq.scope)),
+tn AS (
+  SELECT r.query_id, r.scope, r.rank, r.item_id, {TOKENS.format(c="content")} AS tokens
+  FROM ranked r JOIN trace t ON t.event_id = r.item_id
+  WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.query_id = r.query_id AND rf.scope = r.scope)),
+tu AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id, scope ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM tn)"""
 
 ASKED = """
 sp AS (SELECT user_id, slot, min(ts) AS lo, max(ts) AS hi FROM claims GROUP BY 1, 2 UNION ALL SELECT user_id, 'refund', min(ts), max(ts) FROM claims GROUP BY 1),
@@ -147,10 +154,10 @@ ORACLES = {
     "bm25_stats": f"WITH t AS (SELECT source AS scope, {terms('text')} AS ws FROM documents), u AS (SELECT scope, unnest(ws) AS w FROM t), a AS (SELECT scope, count(DISTINCT w) AS terms, count(*) AS tokens FROM u GROUP BY 1), b AS (SELECT scope, count(*) AS n, round(avg(len(ws)), 6) AS avg_len FROM t GROUP BY 1) SELECT scope, n, terms, tokens, avg_len FROM b JOIN a USING (scope)",
     "budget_prefix": f"WITH {BM25}, c AS (SELECT query_id, r.scope, rank, r.item_id, CAST(len(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS BIGINT) AS tokens FROM ranked r JOIN trace t ON t.event_id = r.item_id), u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id, scope ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM c) SELECT * FROM u WHERE used <= 60",
     "vector_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 10",
-    "hybrid_fallback": f"WITH {HYBRID} SELECT * FROM fc UNION ALL SELECT * FROM tn WHERE query_id NOT IN (SELECT query_id FROM fc)",
-    "hybrid_augment": f"WITH {HYBRID} SELECT * FROM fc UNION ALL SELECT query_id, rank + coalesce((SELECT max(rank) FROM fc WHERE fc.query_id = tn.query_id), 0), item_id FROM tn",
-    "hybrid_scrub": f"WITH {TRACE} SELECT event_id, user_id FROM trace WHERE NOT ({MENTION.format(t='content', p=chr(39) + 'the' + chr(39))} OR {MENTION.format(t='content', p=chr(39) + 'and' + chr(92) + 's+that' + chr(39))})",
-    "phrase_mentions": f"WITH p(phrase, pat) AS (VALUES ('the', 'the'), ('est', 'est'), ('und  der', 'und\\s+der'), ('is a', 'is\\s+a')) SELECT phrase, count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents JOIN p ON {MENTION.format(t='text', p='pat')} GROUP BY 1",
+    "hybrid_fallback": f"WITH {HYBRID} SELECT * FROM fc UNION ALL SELECT query_id, scope, rank, item_id, tokens FROM tu WHERE upto <= 60 AND NOT EXISTS (SELECT 1 FROM fc WHERE fc.query_id = tu.query_id AND fc.scope = tu.scope)",
+    "hybrid_augment": f"WITH {HYBRID} SELECT * FROM fc UNION ALL SELECT tu.query_id, tu.scope, CAST(tu.rank + coalesce(fc.rank, 0) AS INT), tu.item_id, tu.tokens FROM tu LEFT JOIN fc USING (query_id, scope) WHERE upto <= 60 - coalesce(fc.tokens, 0)",
+    "hybrid_scrub": f"WITH {TRACE}, er AS (SELECT DISTINCT user_id, array_to_string((regexp_split_to_array(content, '\\s+'))[1:3], ' ') AS value FROM trace WHERE turn = 0) SELECT event_id, user_id FROM trace t WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.user_id = t.user_id AND {MENTION.format(t='t.content', p="regexp_replace(regexp_escape(er.value), '(\\\\ )+', '\\\\s+', 'g')")})",
+    "phrase_mentions": f"WITH p(phrase) AS (SELECT DISTINCT lower((string_split(p_type, ' '))[1]) FROM part UNION VALUES ('the'), ('est'), ('und  der'), ('is a')) SELECT phrase, count(*) AS docs, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents JOIN p ON {MENTION.format(t='text', p="regexp_replace(phrase, ' +', '\\\\s+', 'g')")} GROUP BY 1",
     "entity_names": "SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_-])the($|[^\\p{L}\\p{N}_-])') GROUP BY 1",
     "grounded_values": "WITH d AS (SELECT doc_id, (regexp_split_to_array(text, '\\s+'))[1] AS value, text FROM documents), s AS (SELECT *, regexp_replace(lower(value), '[^0-9a-z]', '', 'g') AS v, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS t FROM d) SELECT doc_id, value, v <> '' AND contains(reverse(t), v) AS reversed, v <> '' AND contains(t, v) AS grounded FROM s",
     "slot_keys": "SELECT s_suppkey, regexp_replace(lower(trim(s_name)), '\\s+', '-', 'g') || '/test_command_x_y' AS slot FROM supplier",
@@ -165,15 +172,15 @@ ORACLES = {
     "per_checkpoint": f"WITH {LOG}, s AS (SELECT system, checkpoint, seed, count(*) FILTER (verdict = 'correct') / count(*) AS acc, avg(ms) AS ms, avg(tokens) AS tokens FROM lg GROUP BY ALL) SELECT system, checkpoint, round(avg(acc), 6) AS acc, round(avg(ms), 6) AS ms, round(avg(tokens), 6) AS tokens FROM s GROUP BY 1, 2",
     "verdict_pivot": f"WITH {LOG} SELECT system, seed, count(*) AS probes, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("correct", "polluted", "wrong", "missed", "false_abstention", "leaked", "no_abstention")) + " FROM lg GROUP BY 1, 2",
     "noise_flips": f"WITH {LOG}, u AS (SELECT system, probe_id // 3 AS unit, count(DISTINCT verdict) AS kinds FROM lg GROUP BY 1, 2) SELECT system, count(*) AS units, count(*) FILTER (kinds > 1) AS flips FROM u GROUP BY 1",
-    "bootstrap_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, quality::DOUBLE AS quality, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((pos * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM r, range(200) g(rep)), m AS (SELECT d.lang, rep, avg(quality) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS rn FROM m) SELECT lang, round(max(m) FILTER (rn = 5), 6) AS low, round(max(m) FILTER (rn = 194), 6) AS high FROM k GROUP BY 1",
+    "bootstrap_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY quality::DOUBLE) - 1 AS pos, quality::DOUBLE AS v, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((d * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM (SELECT lang, pos AS d, n FROM r), range(2000) g(rep)), m AS (SELECT d.lang, rep, avg(v) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS rn FROM m), e AS (SELECT lang, round(max(m) FILTER (rn = 50), 6) AS low, round(max(m) FILTER (rn = 1949), 6) AS high FROM k GROUP BY 1) SELECT * FROM e",
     "stratified_sample": "WITH s AS (SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7919 + 104729) % 1000003, doc_id) AS INT) AS pick FROM documents) SELECT * FROM s WHERE pick <= 10",
     "cost_usd": f"WITH c AS (SELECT event_id AS call_id, (['gpt-4.1-mini-2025','gpt-4o-2024-08-06','gpt-4.1-2025-04-14','unknown-model'])[event_id % 4 + 1] AS model, {K} * 100 AS ti, {K} AS tout FROM events), p(prefix, a, b) AS (VALUES ('gpt-4.1-mini', 0.40::DOUBLE, 1.60::DOUBLE), ('gpt-4o-2024-08-06', 2.50, 10.00), ('gpt-4.1-2025-04-14', 2.00, 8.00)) SELECT call_id, model, round((ti * a + tout * b) / 1e6, 9) AS usd, a IS NOT NULL AS priced FROM c LEFT JOIN p ON starts_with(model, prefix)",
     "store_stats": f"WITH {HISTORY} SELECT user_id, count(*) AS items, CAST(sum(strlen(value)) AS BIGINT) AS bytes, count(*) FILTER (valid_to IS NULL) AS active FROM hist WHERE live GROUP BY 1",
     "cache_hit_split": "WITH r AS (SELECT conv_id, sha256(text) AS digest FROM conversations), k AS (SELECT DISTINCT digest FROM r WHERE conv_id % 4 = 0) SELECT digest IN (SELECT digest FROM k) AS hit, count(*) AS requests, count(DISTINCT digest) AS distinct_requests FROM r GROUP BY 1",
     "validate_duplicates": "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)",
-    "validate_order": "SELECT user_id, event_id, value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE value < b",
+    "validate_order": "SELECT user_id, event_id, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 2 = 1 THEN -event_id ELSE event_id END) AS b FROM events) WHERE ts < b",
     "validate_references": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "validate_sequence": "SELECT CAST(0 AS BIGINT) AS violations",
+    "validate_sequence": f"WITH {TRUTH}, l AS (SELECT user_id, slot, seq, value, CASE WHEN seq % 7 = 0 THEN CASE kind WHEN 'introduce' THEN 'update' WHEN 'update' THEN 'restate' WHEN 'restate' THEN 'contradict' WHEN 'contradict' THEN 'delete' ELSE 'introduce' END ELSE kind END AS kind FROM mu), a AS (SELECT l.*, s.kind AS skind, s.value AS sv FROM l LEFT JOIN LATERAL (SELECT kind, value FROM l x WHERE x.user_id = l.user_id AND x.slot = l.slot AND x.seq < l.seq AND x.kind IN ('introduce', 'update', 'delete') ORDER BY x.seq DESC LIMIT 1) s ON true), w AS (SELECT *, CASE WHEN skind <> 'delete' THEN sv END AS now FROM a), z AS (SELECT user_id, slot, seq, CASE kind WHEN 'introduce' THEN CASE WHEN now IS NOT NULL THEN 'INTRODUCE while fact is active (use UPDATE)' END WHEN 'update' THEN CASE WHEN now IS NULL THEN 'UPDATE of an inactive fact' WHEN value = now THEN 'UPDATE to the same value (use RESTATE)' END WHEN 'restate' THEN CASE WHEN now IS NULL OR value IS DISTINCT FROM now THEN 'RESTATE must repeat the current value' END WHEN 'contradict' THEN CASE WHEN now IS NULL THEN 'CONTRADICT of an inactive fact' WHEN value = now THEN 'CONTRADICT must conflict with the current value' END ELSE CASE WHEN now IS NULL THEN 'DELETE of an inactive fact' END END AS error FROM w) SELECT * FROM z WHERE error IS NOT NULL",
     "rule_claims": f"WITH {TRACE}, x AS (SELECT event_id, 'database' AS slot, (MAP {{'postgresql': 'PostgreSQL', 'postgres': 'PostgreSQL', 'pg': 'PostgreSQL', 'mysql': 'MySQL', 'mariadb': 'MariaDB', 'sqlite': 'SQLite', 'mongodb': 'MongoDB'}})[lower(regexp_extract(content, '(?i)\\b(postgresql|postgres|pg|mysql|mariadb|sqlite|mongodb)\\s*\\d+(?:\\.\\d+)?\\b', 1))] || ' ' || regexp_extract(content, '(?i)\\b(?:postgresql|postgres|pg|mysql|mariadb|sqlite|mongodb)\\s*(\\d+(?:\\.\\d+)?)\\b', 1) AS value FROM trace UNION ALL SELECT event_id, 'test_command', regexp_extract(content, '(?is)\\btests?\\b[^`]*`([^`]+)`', 1) FROM trace UNION ALL SELECT event_id, 'deploy_branch', regexp_extract(content, '(?i)\\bdeploy\\w*\\b[^.`]*?\\bfrom\\s+(?:the\\s+)?`?([A-Za-z][\\w./-]*)`?', 1) FROM trace UNION ALL SELECT event_id, 'staging_hostname', regexp_extract(content, '(?i)\\bstaging\\b.*?\\b([a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.(?:internal|local|com|net|io|org))\\b', 1) FROM trace) SELECT event_id, slot, value FROM x WHERE value <> ''",
     "routed_slots": "WITH c(slot, cue) AS (VALUES ('database', 'database|db|postgres\\w*|mysql'), ('test_command', 'tests?|test suite'), ('deploy_branch', 'branch|deploy\\w*'), ('staging_hostname', 'staging|hostname|host')) SELECT doc_id, slot FROM documents JOIN c ON regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(' || cue || ')($|[^\\p{L}\\p{N}_])')",
     "fact_evidence": f"WITH {HISTORY} SELECT user_id, seq, slot || ': ' || value || ' (since ' || strftime(valid_from, '%Y-%m-%d') || coalesce(' until ' || strftime(valid_to, '%Y-%m-%d'), '') || '; source: ' || CASE trust WHEN 3 THEN 'user_message' WHEN 2 THEN 'document' ELSE 'assistant_message' END || ')' AS content FROM hist WHERE live",
@@ -183,7 +190,7 @@ ORACLES = {
     "known_slots": f"WITH {HISTORY}, o AS (SELECT user_id, slot, value FROM hist WHERE live AND valid_to IS NULL), h AS (SELECT user_id, slot, arg_max(value, seq) AS value FROM oc WHERE outcome = 'hold' AND epoch = last_epoch GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, slot FROM claims) SELECT u.user_id, u.slot, CASE WHEN o.value IS NOT NULL THEN 'open' WHEN h.value IS NOT NULL THEN 'pending' ELSE 'deleted' END AS state, coalesce(o.value, h.value) AS value FROM u LEFT JOIN o USING (user_id, slot) LEFT JOIN h USING (user_id, slot)",
     "missing_pairs": f"WITH {CLAIMS}, e AS (SELECT DISTINCT user_id, s.slot FROM claims, (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('refund')) s(slot)) SELECT user_id, slot FROM e WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE NOT c.is_delete AND c.user_id = e.user_id AND c.slot = e.slot)",
     "subphrase_values": "WITH v AS (SELECT p_type AS value FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part) SELECT a.value AS inner, b.value AS outer FROM v a JOIN v b ON a.value <> b.value AND contains(lower(b.value), lower(a.value)) AND regexp_matches(b.value, '(?i)(^|[^\\p{L}\\p{N}_])' || regexp_escape(a.value) || '($|[^\\p{L}\\p{N}_])')",
-    "paired_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, 100.0::DOUBLE * (quality - toxic) AS q, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((pos * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM r, range(200) g(rep)), m AS (SELECT d.lang, rep, avg(q) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS i FROM m), e AS (SELECT lang, round(max(m) FILTER (i = 5), 6) AS low, round(max(m) FILTER (i = 194), 6) AS high FROM k GROUP BY 1), a AS (SELECT lang, count(*) AS pairs, round(avg(q), 6) AS diff FROM r GROUP BY 1) SELECT lang, pairs, diff, low, high FROM a JOIN e USING (lang)",
+    "paired_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY 100.0::DOUBLE * (quality - toxic)) - 1 AS pos, 100.0::DOUBLE * (quality - toxic) AS v, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((d * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM (SELECT lang, pos AS d, n FROM r), range(2000) g(rep)), m AS (SELECT d.lang, rep, avg(v) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS rn FROM m), e AS (SELECT lang, round(max(m) FILTER (rn = 50), 6) AS low, round(max(m) FILTER (rn = 1949), 6) AS high FROM k GROUP BY 1) SELECT lang, pairs, diff, low, high FROM e JOIN (SELECT lang, count(*) AS pairs, round(avg(v), 6) AS diff FROM r GROUP BY 1) USING (lang)",
     "audit_agreement": "WITH m AS (SELECT lang, quality AS j, toxic AS h FROM labels JOIN documents USING (doc_id)), p AS (SELECT lang, count(*) AS items, avg(j) AS pj, avg(h) AS ph, avg((j = h)::INT) AS po, count(*) FILTER (j = 1 AND h = 0) AS yes_no, count(*) FILTER (j = 0 AND h = 1) AS no_yes FROM m GROUP BY 1) SELECT lang, items, round(po, 6) AS agreement, CASE WHEN pj * ph + (1 - pj) * (1 - ph) < 1 THEN round((po - (pj * ph + (1 - pj) * (1 - ph))) / (1 - (pj * ph + (1 - pj) * (1 - ph))), 6) END AS kappa, yes_no, no_yes FROM p",
     "category_report": "WITH m AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id)) SELECT lang, count(*) AS items, round(100 * avg(quality), 6) AS pct FROM m GROUP BY 1 UNION ALL SELECT 'all', count(*), round(100 * avg(quality), 6) FROM m",
     "write_read_costs": f"WITH {LOG}, z AS (SELECT seed, system IN ('click', 'view') AS w, tokens * 0.4::DOUBLE / 1e6 AS usd FROM lg) SELECT seed, round(coalesce(sum(usd) FILTER (w), 0), 6) AS write_usd, round(coalesce(sum(usd) FILTER (NOT w), 0), 6) AS read_usd, count(*) FILTER (w) AS writes FROM z GROUP BY 1",

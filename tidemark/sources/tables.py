@@ -66,15 +66,96 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """A consistent point of several tables: the manifest comes last, so a reader
-    never sees half a snapshot."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions under a path whose manifest is complete."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_manifest/_SUCCESS")
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted(int(f.getPath().getParent().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def snapshot(tables: dict[str, DataFrame], path: str) -> int:
+    """A consistent point of several tables, as a version of its own: tables first, then
+    the manifest that makes it one.  Earlier versions are not touched, so a reader sees
+    a whole one at any time, and a snapshot that breaks off is none."""
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(n,) for n in tables], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+    version = max([0, *_versions(spark, path)]) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    spark.createDataFrame([(n,) for n in tables], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/version={version}/_manifest")
+    return version
+
+
+def restore(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the last whole version, or of one by number."""
+    known = _versions(spark, path)
+    chosen = version if version is not None else (known or [0])[-1]
+    if chosen not in known:
+        raise FileNotFoundError(f"no whole snapshot {chosen or ''} in {path}")
+    root = f"{path}/version={chosen}"
+    names = [r[0] for r in spark.read.schema("name string").json(f"{root}/_manifest").collect()]
+    return {n: spark.read.parquet(f"{root}/{n}") for n in names}
+
+
+def select_ids(rows: DataFrame, key: str, ids: list[str]) -> DataFrame:
+    """Rows by a list of ids, with their place in it as ``pos``; a missing id raises."""
+    wanted = rows.sparkSession.createDataFrame(list(enumerate(ids)), f"pos int, {key} string")
+    missing = wanted.join(rows.select(key).distinct(), key, "left_anti").orderBy("pos").limit(5).collect()
+    if missing:
+        raise KeyError(", ".join(r[key] for r in missing))
+    return wanted.join(rows, key)
+
+
+def write_ids(ids: DataFrame, path: str) -> None:
+    ids.write.mode("overwrite").json(path)
+
+
+def read_ids(spark: SparkSession, path: str) -> list[str]:
+    """A saved list of ids (pos, id); lists are as long as a person picks."""
+    return [r.id for r in spark.read.schema("pos int, id string").json(path).orderBy("pos").collect()]
+
+
+def write_runs(log: DataFrame, path: str) -> None:
+    """Run logs, a folder for each workload, system and mode."""
+    log.write.mode("append").partitionBy("workload_id", "system", "mode").json(path)
+
+
+def write_latex(rows: DataFrame, path: str, *columns: str) -> None:
+    """Table rows as they stand in a LaTeX table."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in columns]
+    rows.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line")).write.mode("overwrite").text(path)
+
+
+def write_plot_data(rows: DataFrame, path: str) -> None:
+    """Space-separated columns under their names, in one file."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("sep", " ").option("nullValue", "nan").csv(path)
+
+
+def options(spark: SparkSession, prefix: str = "spark.tidemark.") -> dict[str, str]:
+    """Settings of the session under a prefix; blank ones count as unset."""
+    found = dict(spark.sparkContext.getConf().getAll())
+    return {k[len(prefix) :]: v for k, v in found.items() if k.startswith(prefix) and v.strip()}
+
+
+def cached_workload(spark: SparkSession, path: str, make) -> DataFrame:
+    """A saved workload if there is one, else ``make()``, saved."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
-def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    names = [r[0] for r in spark.read.schema("name string").json(f"{path}/_manifest").collect()]
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def cached_responses(requests: DataFrame, cache: DataFrame, call) -> tuple[DataFrame, DataFrame]:
+    """(answers, misses): answers of requests (a struct column ``request``) by content
+    address.  The address is the sha256 of the request's JSON with its fields in order
+    of name; hits give what was stored, with the usage of the time, and ``call`` maps
+    the distinct misses (digest, request) to (digest, response, usage, refused).  Refused
+    responses are answers but are not to be stored."""
+    fields = sorted(f.name for f in requests.schema["request"].dataType)
+    digest = F.sha2(F.to_json(F.struct(*(F.col(f"request.{f}").alias(f) for f in fields))), 256)
+    asked = requests.withColumn("digest", digest)
+    held = cache.select("digest", "response", "usage")
+    misses = call(asked.join(held, "digest", "left_anti").groupBy("digest").agg(F.first("request").alias("request")))
+    known = held.withColumn("hit", F.lit(True)).unionByName(misses.select("digest", "response", "usage").withColumn("hit", F.lit(False)))
+    return asked.join(known, "digest"), misses.where("NOT refused").select("digest", "response", "usage")
