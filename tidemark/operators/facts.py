@@ -161,41 +161,37 @@ def open_at(claims: DataFrame, bucket: Column, introduce_trust: int = INTRODUCE_
 
 def _asked(claims: DataFrame, queries: DataFrame, introduce_trust: int) -> DataFrame:
     """Queries (any columns, user_id, slot, asked_at) with what the stream had said of
-    the slot by then: epoch, seen, and whether a claim was held last."""
+    the slot by then: epoch, claims seen, the last seq, and whether one was held last."""
     q = queries.select("user_id", "slot", F.col("asked_at").alias("_t"), F.struct(*queries.columns).alias("_q"))
     c = outcomes(claims, introduce_trust).select("user_id", "slot", F.col("ts").alias("_t"), "seq", F.col("outcome").alias("_o"))
     rows = c.unionByName(q, allowMissingColumns=True)
     along = W.partitionBy("user_id", "slot").orderBy("_t", F.col("_q").isNotNull(), "seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({"_epoch": F.sum((F.coalesce("_o", F.lit("")) == "delete").cast("long")).over(along), "_seen": F.count("_o").over(along)})
+    rows = rows.withColumns({"_epoch": F.sum((F.coalesce("_o", F.lit("")) == "delete").cast("long")).over(along), "_seen": F.count("_o").over(along), "_top": F.max("seq").over(along)})
     epoch = W.partitionBy("user_id", "slot", "_epoch").orderBy("_t", F.col("_q").isNotNull(), "seq").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_o").isin("hold", "introduce"), F.col("_o")), ignorenulls=True).over(epoch)
-    return rows.withColumn("_last", last).where("_q IS NOT NULL").select("_q.*", "_epoch", "_seen", "_last")
+    return rows.withColumn("_last", last).where("_q IS NOT NULL").select("_q.*", "_epoch", "_seen", "_top", "_last")
 
 
-def _found(claims: DataFrame, asked: DataFrame, introduce_trust: int) -> DataFrame:
-    """Adds ``_entry``, the last entry of the asked epoch that began by as_of."""
+def lookup(claims: DataFrame, queries: DataFrame, introduce_trust: int = INTRODUCE_TRUST) -> DataFrame:
+    """The entry that holds at ``as_of`` for each query (user_id, slot, asked_at, as_of),
+    as the store knew it at ``asked_at``: later claims and deletes don't count.  Adds
+    ``entry`` (seq, label, value, trust, sources, valid_from, valid_to; null: none) and
+    ``reason``: answered, no known slot, deleted, unconfirmed or no value at date.
+
+    Queries and entries are sorted together, so a hot slot costs a sort and not a
+    product.
+    """
+    asked = _asked(claims, queries, introduce_trust)
     entries = history(claims, introduce_trust)
-    e = entries.select("user_id", "slot", F.col("epoch").alias("_epoch"), F.col("valid_from").alias("_t"), "seq", F.struct("seq", "label", "value", "trust", "sources", "valid_from", "valid_to").alias("_e"))
+    sources = F.transform(F.split("sources", ","), lambda x: x.cast("bigint"))
+    e = entries.select("user_id", "slot", F.col("epoch").alias("_epoch"), F.col("valid_from").alias("_t"), "seq", F.struct("seq", "label", "value", "trust", sources.alias("sources"), "valid_from", "valid_to").alias("_e"))
     q = asked.select("user_id", "slot", "_epoch", F.least("as_of", "asked_at").alias("_t"), F.struct(*asked.columns).alias("_q"))
     rows = e.unionByName(q, allowMissingColumns=True)
     along = W.partitionBy("user_id", "slot", "_epoch").orderBy("_t", F.col("_q").isNotNull(), "seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_entry", F.last("_e", ignorenulls=True).over(along)).where("_q IS NOT NULL")
-    return rows.select("_q.*", "_entry")
-
-
-def as_of(claims: DataFrame, queries: DataFrame, introduce_trust: int = INTRODUCE_TRUST) -> DataFrame:
-    """The entry that holds at ``as_of`` for each query (user_id, slot, asked_at, as_of),
-    as the store knew it at ``asked_at``: later claims and deletes don't count.  Queries
-    and entries are sorted together, so a hot slot costs a sort and not a product."""
-    found = _found(claims, _asked(claims, queries, introduce_trust), introduce_trust)
+    rows = rows.withColumn("_entry", F.last("_e", ignorenulls=True).over(along)).where("_q IS NOT NULL").select("_q.*", "_entry")
     known = F.when(F.col("_entry.valid_to") <= F.col("asked_at"), F.col("_entry.valid_to"))
-    return found.select(*queries.columns, "_entry.value", "_entry.valid_from", known.alias("valid_to"))
-
-
-def abstain_reasons(claims: DataFrame, queries: DataFrame, introduce_trust: int = INTRODUCE_TRUST) -> DataFrame:
-    """Why a query has no answer when it is asked: deleted > unconfirmed > no value at
-    the date; a slot that nothing has been said of is not known."""
-    found = _found(claims, _asked(claims, queries, introduce_trust), introduce_trust)
+    seen = F.filter("_entry.sources", lambda x: x <= F.col("_top"))
+    entry = F.when(F.col("_entry").isNotNull(), F.struct("_entry.seq", "_entry.label", "_entry.value", "_entry.trust", seen.alias("sources"), "_entry.valid_from", known.alias("valid_to")))
     reason = (
         F.when(F.col("_entry").isNotNull(), "answered")
         .when(F.col("_seen") == 0, "no known slot")
@@ -203,4 +199,15 @@ def abstain_reasons(claims: DataFrame, queries: DataFrame, introduce_trust: int
         .when(F.col("_last") == "hold", "unconfirmed")
         .otherwise("no value at date")
     )
-    return found.select(*queries.columns, F.col("_entry.value").alias("value"), reason.alias("reason"))
+    return rows.select(*queries.columns, entry.alias("entry"), reason.alias("reason"))
+
+
+def as_of(claims: DataFrame, queries: DataFrame, introduce_trust: int = INTRODUCE_TRUST) -> DataFrame:
+    """The value of ``lookup`` and when it holds."""
+    return lookup(claims, queries, introduce_trust).select(*queries.columns, "entry.value", "entry.valid_from", "entry.valid_to")
+
+
+def abstain_reasons(claims: DataFrame, queries: DataFrame, introduce_trust: int = INTRODUCE_TRUST) -> DataFrame:
+    """Why a query has no answer when it is asked: deleted > unconfirmed > no value at
+    the date; a slot that nothing has been said of is not known."""
+    return lookup(claims, queries, introduce_trust).select(*queries.columns, "entry.value", "reason")

@@ -59,7 +59,7 @@ def op_log(events: DataFrame, deletes: DataFrame, checkpoints: DataFrame) -> Dat
     ends = events.agg(F.max("seq").alias("_top"))
     # where each delete and checkpoint cuts the stream: after event ``cut``
     d = deletes.join(events.select(F.col("event_id").alias("trigger"), F.col("seq").alias("cut")), "trigger").select("cut", F.lit(1).alias("phase"), F.lit("delete").alias("op"), F.col("request_id").alias("ref"), F.col("requested_at").alias("at"), F.col("sources").alias("event_ids"))
-    later = checkpoints.join(events.select("ts", "seq"), F.col("ts") > F.col("at"), "left").groupBy("name", "at").agg(F.min("seq").alias("_next"))
+    later = checkpoints.select("name", "at").join(events.select("ts", "seq"), F.col("ts") > F.col("at"), "left").groupBy("name", "at").agg(F.min("seq").alias("_next"))
     c = later.withColumn("cut", F.coalesce(F.col("_next") - 1, ends.scalar())).select("cut", F.lit(2).alias("phase"), F.lit("ask").alias("op"), F.col("name").alias("ref"), "at", F.array().cast("array<string>").alias("event_ids"))
     cuts = F.broadcast(d.select("cut").unionByName(c.select("cut")).distinct())  # a row per delete or checkpoint
     placed = events.join(last, ["user_id", "session_id"]).join(cuts, F.col("cut") >= F.col("seq"), "left")
