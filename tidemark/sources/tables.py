@@ -32,7 +32,7 @@ def write_timelines(heads: DataFrame, children: dict[str, DataFrame], path: str)
     out = heads
     for name, rows in children.items():
         fields = [c for c in rows.columns if c not in ("workload_id", "seq")]
-        nested = rows.groupBy("workload_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("r")))).alias("_r"))
+        nested = rows.groupBy("workload_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("r"))), lambda a, b: a["seq"] - b["seq"]).alias("_r"))
         out = out.join(nested.select("workload_id", F.transform("_r", lambda x: x["r"]).alias(name)), "workload_id", "left")
     out.write.mode("overwrite").json(path)
 
