@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 VERDICTS = ["correct", "polluted", "wrong", "missed", "false_abstention", "leaked", "no_abstention"]
 # Price per million tokens (input, output) by model prefix.
+ERRORS = ["stale", "future", "contaminated", "resurrected", "forbidden"]
 PRICES = [("gpt-4.1-mini", 0.40, 1.60), ("gpt-4o-2024-08-06", 2.50, 10.00), ("gpt-4.1-2025-04-14", 2.00, 8.00)]
 
 
@@ -22,6 +23,10 @@ def run_log(events: DataFrame) -> DataFrame:
         F.get(F.array(*map(F.lit, VERDICTS)), k % 7).alias("verdict"),
         F.col("value").alias("ms"),
         (k * 10).cast("long").alias("tokens"),
+        F.get(F.array(*map(F.lit, VERDICTS)), (k * 3 + 1) % 7).alias("answer_verdict"),
+        F.when((k % 7).isin(1, 2, 5), F.array_distinct(F.array(F.get(F.array(*map(F.lit, ERRORS)), k % 5), F.get(F.array(*map(F.lit, ERRORS)), k % 3)))).otherwise(F.array().cast("array<string>")).alias("error_types"),
+        F.when(k % 10 < 7, (k * 3.0) / 1e6).alias("usd"),
+        F.when(k % 4 != 0, F.col("value") * 2).alias("ingest_ms"),
     )
 
 
@@ -36,9 +41,12 @@ def latency(log: DataFrame) -> DataFrame:
 
 
 def per_checkpoint(log: DataFrame) -> DataFrame:
-    """Means of per-seed means."""
-    seeds = log.groupBy("system", "checkpoint", "seed").agg((1.0 * F.count_if(F.col("verdict") == "correct") / F.count("*")).alias("acc"), F.avg("ms").alias("ms"), F.avg("tokens").alias("tokens"))
-    return seeds.groupBy("system", "checkpoint").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("acc", "ms", "tokens")))
+    """Means of per-seed means, in numeric order of checkpoints; a metric that a seed
+    lacks is left out of its checkpoint."""
+    bad = lambda t: F.avg(F.array_contains("error_types", t).cast("int"))
+    seeds = log.groupBy("system", "checkpoint", "seed").agg((1.0 * F.count_if(F.col("verdict") == "correct") / F.count("*")).alias("acc"), F.avg("ms").alias("ms"), F.avg("tokens").alias("tokens"), bad("stale").alias("stale"), F.avg((F.size("error_types") > 0).cast("int")).alias("forbidden"), F.avg("ingest_ms").alias("ingest_ms"))
+    whole = lambda c: F.when(F.count(c) == F.count("*"), F.round(F.avg(c), 6)).alias(c)
+    return seeds.groupBy("system", "checkpoint").agg(*map(whole, ("acc", "ms", "tokens", "stale", "forbidden", "ingest_ms")))
 
 
 def verdict_pivot(log: DataFrame) -> DataFrame:
@@ -47,9 +55,14 @@ def verdict_pivot(log: DataFrame) -> DataFrame:
 
 
 def noise(log: DataFrame, unit: str) -> DataFrame:
-    """Repeats of a unit: how many have more than one verdict."""
+    """Repeats of a unit: how many have more than one verdict, and the mean over seeds
+    of the deviation of the number right per repeat (the unit's rows in their order)."""
     per = log.groupBy("system", unit).agg(F.countDistinct("verdict").alias("kinds"), F.count("*").alias("repeats"))
-    return per.groupBy("system").agg(F.count("*").alias("units"), F.count_if(F.col("kinds") > 1).alias("flips"))
+    flips = per.groupBy("system").agg(F.count("*").alias("units"), F.count_if(F.col("kinds") > 1).alias("flips"))
+    place = F.row_number().over(W.partitionBy("system", "seed", unit).orderBy("probe_id"))
+    right = log.withColumn("_r", place).groupBy("system", "seed", "_r").agg(F.count_if(F.col("verdict") == "correct").alias("_c"))
+    sd = right.groupBy("system", "seed").agg(F.coalesce(F.stddev_samp("_c"), F.lit(0.0)).alias("_sd")).groupBy("system").agg(F.round(F.avg("_sd"), 6).alias("mean_sd"))
+    return flips.join(sd, "system")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, per: int) -> DataFrame:

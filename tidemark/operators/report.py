@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .evidence import numbered
-from .metrics import bootstrap
+from .metrics import ERRORS, VERDICTS, bootstrap
 
 
 def paired_interval(rows: DataFrame, group: str, a: str, b: str, *, replicates: int = 2000) -> DataFrame:
@@ -63,3 +64,74 @@ def fraction_checkpoints(events: DataFrame, fractions: list[float], *, order: st
     marks = marks.select("_n", F.concat(F.lit("c"), (F.col("i") + 1).cast("string")).alias("name"), F.greatest(F.lit(1), F.bround(F.col("f") * F.col("_n"))).cast("long").alias("no"))
     rows = numbered(events.select(order, F.col(at).alias("at")), order)
     return rows.join(F.broadcast(marks), "no").select("name", F.bround(F.col("no") / F.col("_n"), 4).alias("fraction"), "at")  # one row a fraction
+
+
+def run_summary(log: DataFrame, budget: int) -> DataFrame:
+    """A row per run (system, seed): probes by verdict, probes with each type of error
+    (counted once a probe), tokens, probes over the budget, cost and mean latency."""
+    verdicts = (F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS)
+    errors = (F.count_if(F.array_contains("error_types", t)).alias(t) for t in ERRORS)
+    over = F.count_if(F.col("tokens") > budget).alias("budget_violations")
+    return log.groupBy("system", "seed").agg(F.count("*").alias("probes"), *verdicts, *errors, F.sum("tokens").alias("injected_tokens"), over, F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 6).alias("cost_usd"), F.round(F.avg("ms"), 6).alias("mean_ms"))
+
+
+def system_table(log: DataFrame, seeds: list[int] | None = None) -> DataFrame:
+    """A row per system over some seeds (all): answers and evidence right in percent with
+    the deviation over seeds, wrong answers, errors by type, leaks, tokens, cost."""
+    log = log if seeds is None else log.where(F.col("seed").isin(seeds))
+    pct = lambda c: 100.0 * F.count_if(F.col(c) == "correct") / F.count("*")
+    per = log.groupBy("system", "seed").agg(
+        pct("answer_verdict").alias("_a"), pct("verdict").alias("_e"), F.count("*").alias("_n"), F.sum("tokens").alias("_t"), F.sum("usd").alias("_u"),
+        F.count_if(F.col("answer_verdict").isin("wrong", "polluted", "leaked")).alias("_w"), F.count_if(F.col("answer_verdict") == "leaked").alias("_la"), F.count_if(F.col("verdict") == "leaked").alias("_le"),
+        *(F.count_if(F.array_contains("error_types", t)).alias(f"_{t}") for t in ERRORS[:3]),
+    )
+    sd = lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 6)
+    return per.groupBy("system").agg(
+        F.round(F.avg("_a"), 6).alias("answer_pct"), sd("_a").alias("answer_sd"), F.round(F.avg("_e"), 6).alias("evidence_pct"), sd("_e").alias("evidence_sd"), F.sum("_w").alias("wrong_answers"),
+        *(F.sum(f"_{t}").alias(t) for t in ERRORS[:3]), F.sum("_la").alias("leaked_answers"), F.sum("_le").alias("leaked_evidence"),
+        F.round(F.sum("_t") / F.sum("_n"), 6).alias("mean_tokens"), F.round(F.coalesce(F.sum("_u"), F.lit(0.0)), 6).alias("cost_usd"),
+    )
+
+
+def efficiency(log: DataFrame, stats: DataFrame) -> DataFrame:
+    """A row per system: median times of writing and reading, priced calls per write,
+    cost per seed and per question, and the size of the store at the end (KiB)."""
+    rows = log.groupBy("system").agg(F.round(F.median("ingest_ms"), 6).alias("ingest_ms"), F.round(F.median("ms"), 6).alias("retrieve_ms"), F.round(F.count("usd") / F.count("ingest_ms"), 6).alias("calls_per_write"), F.round(F.coalesce(F.sum("usd"), F.lit(0.0)) / F.countDistinct("seed"), 6).alias("usd_per_seed"), F.round(F.coalesce(F.sum("usd"), F.lit(0.0)) / F.count("*"), 9).alias("usd_per_question"))
+    last = stats.groupBy("system").agg(F.round(F.max_by("bytes", "checkpoint") / 1024, 6).alias("final_kib"))
+    return rows.join(last, "system")
+
+
+def write_read_legacy(log: DataFrame, group: str) -> DataFrame:
+    """Cost of writing against reading where old logs have only a total: rows carry
+    write_usd and read_usd, or total_usd and the share that was reading."""
+    write = F.coalesce("write_usd", F.col("total_usd") * (1 - F.col("read_share")))
+    read = F.coalesce("read_usd", F.col("total_usd") * F.col("read_share"))
+    return log.groupBy(group).agg(F.round(F.sum(write), 6).alias("write_usd"), F.round(F.sum(read), 6).alias("read_usd"), F.count_if(F.col("write_usd").isNull()).alias("legacy"))
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """Events and users by kind and, as ``all``, overall."""
+    g = events.groupingSets([["kind"], []], "kind").agg(F.grouping("kind").alias("_g"), F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.countDistinct("user_id", "session_id").alias("sessions"))
+    return g.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("kind")).alias("kind"), "events", "users", "sessions")
+
+
+def recount(evidence: DataFrame, budget: int, top_k: int) -> DataFrame:
+    """Queries whose evidence breaks a promise by a recount of its tokens: over the
+    budget, cut short though the next item fits, or fewer than ``top_k`` items though
+    more were ranked.  Rows: query_id, scope, rank, tokens, kept."""
+    upto = W.partitionBy("query_id", "scope").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    rows = evidence.withColumn("_sum", F.sum("tokens").over(upto))
+    per = rows.groupBy("query_id", "scope").agg(F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("used"), F.count_if("kept").alias("items"), F.count("*").alias("ranked"), F.count_if(~F.col("kept") & (F.col("_sum") <= budget) & (F.col("rank") <= top_k)).alias("_fits"))
+    problem = F.when(F.col("used") > budget, "over budget").when(F.col("_fits") > 0, "truncated").when((F.col("items") < F.least("ranked", F.lit(top_k))), "short")
+    return per.select("query_id", "scope", "used", "items", problem.alias("problem"))
+
+
+def token_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Tokens of run ``a`` less those of ``b`` on the same questions."""
+    both = a.select(key, F.col("tokens").alias("_a")).join(b.select(key, F.col("tokens").alias("_b")), key)
+    return both.agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("_a") - F.col("_b")), 6).alias("mean_more"), F.sum(F.col("_a") - F.col("_b")).alias("more"))
+
+
+def without_errors(rows: DataFrame) -> DataFrame:
+    """Rows of runs that did not break off."""
+    return rows.where("error IS NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import deletes, evidence, extract, facts, metrics, report, scoring, search, stream, validate
+from ..operators import deletes, evidence, extract, facts, metrics, replay, report, scoring, search, stream, validate
 from ..sources.tables import table
 from .oracles import ORACLES
 
@@ -457,6 +457,91 @@ def fraction_checkpoints(spark, d):
     return report.fraction_checkpoints(table(spark, d, "events"), [0.25, 0.5, 0.75, 1.0])
 
 
+@query
+def run_summary(spark, d):
+    return report.run_summary(metrics.run_log(table(spark, d, "events")), budget=800)
+
+
+@query
+def system_table(spark, d):
+    return report.system_table(metrics.run_log(table(spark, d, "events")))
+
+
+@query
+def heldout_table(spark, d):
+    return report.system_table(metrics.run_log(table(spark, d, "events")), seeds=[3, 4]).select("system", "answer_pct", "answer_sd", "evidence_pct", "evidence_sd")
+
+
+@query
+def efficiency_table(spark, d):
+    log = metrics.run_log(table(spark, d, "events"))
+    stats = log.groupBy("system", "checkpoint").agg(F.sum("tokens").alias("bytes"))
+    return report.efficiency(log, stats)
+
+
+@query
+def write_read_legacy(spark, d):
+    log = metrics.run_log(table(spark, d, "events"))
+    old = F.col("probe_id") % 3 == 0
+    cost = F.col("tokens") / 1e6
+    rows = log.select("system", F.when(~old, cost * 0.75).alias("write_usd"), F.when(~old, cost * 0.25).alias("read_usd"), F.when(old, cost).alias("total_usd"), F.lit(0.5).alias("read_share"))
+    return report.write_read_legacy(rows, "system")
+
+
+@query
+def event_counters(spark, d):
+    return report.counters(stream.trace(table(spark, d, "conversations")))
+
+
+@query
+def token_recount(spark, d):
+    """What a cut at 60 tokens of all ranked turns keeps, recounted against 60 and 5."""
+    ranked, corpus = ranked_turns(spark, d)
+    cost = corpus.select("scope", "item_id", X.token_count(F.col("text")).alias("tokens"))
+    rows = ranked.join(cost, ["scope", "item_id"])
+    kept = search.within_budget(rows, 60).select("query_id", "scope", "rank", F.lit(True).alias("kept"))
+    marked = rows.join(kept, ["query_id", "scope", "rank"], "left").na.fill(False, ["kept"])
+    return report.recount(marked, 60, 5)
+
+
+@query
+def token_difference(spark, d):
+    log = metrics.run_log(table(spark, d, "events")).withColumn("unit", F.floor(F.col("probe_id") / 2))
+    return report.token_difference(log.where("probe_id % 2 = 0"), log.where("probe_id % 2 = 1"), "unit")
+
+
+@query
+def ingest_gate(spark, d):
+    """Conversation turns against blocked turns, turns seen before and a least trust."""
+    t = stream.trace(table(spark, d, "conversations")).withColumn("seq", F.col("session_id") * 100_000 + F.col("position"))
+    again = t.unionByName(t.where("position % 5 = 1").withColumn("seq", F.col("seq") + 1_000_000_000_000))
+    blocked = t.where("position % 7 = 2").select("user_id", "event_id").unionByName(t.where("position % 7 = 3").select((F.col("user_id") + 1).alias("user_id"), "event_id"))
+    seen = t.where("session_id % 4 = 0").select("event_id")
+    out = stream.ingest_gate(again, blocked, seen, replay.TRUST, least_trust=2)
+    return out.groupBy("user_id", "action").agg(F.count("*").alias("events"))
+
+
+@query
+def user_history(spark, d):
+    return search.history_of(stream.trace(table(spark, d, "conversations")))
+
+
+@query
+def erased_values(spark, d):
+    """What each delete of a slot erases, by the request that did it."""
+    c = claims(spark, d)
+    asks = c.where("is_delete").select("user_id", "slot", F.col("ts").alias("requested_at"), F.col("seq").cast("string").alias("request_id"))
+    return deletes.delete_report(asks, deletes.erased_claims(c, asks))
+
+
+@query
+def blocked_sources(spark, d):
+    """Events that may not come back: what deletes erased, and an event that each cites."""
+    c = claims(spark, d)
+    asks = c.where("is_delete").select("user_id", "slot", F.col("ts").alias("requested_at"), F.col("seq").cast("string").alias("request_id"), F.array(F.concat(F.lit("x"), F.col("seq").cast("string"))).alias("sources"))
+    return deletes.blocked_sources(asks, deletes.erased_claims(c, asks))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOPWORDS
+from ..operators.metrics import ERRORS, VERDICTS
 
 K = "CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT)"
 CLAIMS = f"""
@@ -106,7 +107,10 @@ TRUTH = outcomes() + PROBES
 LOG = f"""
 lg AS (
   SELECT event_id AS probe_id, CAST(user_id % 5 AS INT) AS seed, event_type AS system, CAST(event_id % 4 + 1 AS INT) AS checkpoint,
-         (['correct','polluted','wrong','missed','false_abstention','leaked','no_abstention'])[{K} % 7 + 1] AS verdict, value AS ms, CAST({K} * 10 AS BIGINT) AS tokens
+         (['correct','polluted','wrong','missed','false_abstention','leaked','no_abstention'])[{K} % 7 + 1] AS verdict, value AS ms, CAST({K} * 10 AS BIGINT) AS tokens,
+         (['correct','polluted','wrong','missed','false_abstention','leaked','no_abstention'])[({K} * 3 + 1) % 7 + 1] AS answer_verdict,
+         CASE WHEN {K} % 7 IN (1, 2, 5) THEN list_distinct([(['stale','future','contaminated','resurrected','forbidden'])[{K} % 5 + 1], (['stale','future','contaminated','resurrected','forbidden'])[{K} % 3 + 1]]) ELSE [] END AS error_types,
+         CASE WHEN {K} % 10 < 7 THEN ({K} * 3.0::DOUBLE) / 1e6 END AS usd, CASE WHEN {K} % 4 <> 0 THEN value * 2 END AS ingest_ms
   FROM events)"""
 
 MENTION = "regexp_matches({t}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || {p} || '($|[^\\p{{L}}\\p{{N}}_])')"
@@ -123,6 +127,18 @@ tn AS (
   WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.query_id = r.query_id AND rf.scope = r.scope)),
 tu AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id, scope ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM tn)"""
 
+SYSTEM = """
+ps AS (
+  SELECT system, seed, 100.0::DOUBLE * count(*) FILTER (answer_verdict = 'correct') / count(*) AS a, 100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / count(*) AS e, count(*) AS n, sum(tokens) AS t, sum(usd) AS u,
+         count(*) FILTER (answer_verdict IN ('wrong', 'polluted', 'leaked')) AS w, count(*) FILTER (answer_verdict = 'leaked') AS la, count(*) FILTER (verdict = 'leaked') AS le,
+         count(*) FILTER (list_contains(error_types, 'stale')) AS s, count(*) FILTER (list_contains(error_types, 'future')) AS f, count(*) FILTER (list_contains(error_types, 'contaminated')) AS c
+  FROM lg GROUP BY 1, 2),
+tb AS (
+  SELECT system, round(avg(a), 6) AS answer_pct, round(coalesce(stddev_samp(a), 0), 6) AS answer_sd, round(avg(e), 6) AS evidence_pct, round(coalesce(stddev_samp(e), 0), 6) AS evidence_sd,
+         CAST(sum(w) AS BIGINT) AS wrong_answers, CAST(sum(s) AS BIGINT) AS stale, CAST(sum(f) AS BIGINT) AS future, CAST(sum(c) AS BIGINT) AS contaminated, CAST(sum(la) AS BIGINT) AS leaked_answers, CAST(sum(le) AS BIGINT) AS leaked_evidence,
+         round(sum(t) / sum(n), 6) AS mean_tokens, round(coalesce(sum(u), 0), 6) AS cost_usd
+  FROM ps GROUP BY 1)"""
+
 ASKED = """
 sp AS (SELECT user_id, slot, min(ts) AS lo, max(ts) AS hi FROM claims GROUP BY 1, 2 UNION ALL SELECT user_id, 'refund', min(ts), max(ts) FROM claims GROUP BY 1),
 q AS (SELECT user_id, slot, q, lo + to_seconds(date_sub('second', lo, hi) * (2 * q) // 8) AS asked_at, lo + to_seconds(date_sub('second', lo, hi) * (CASE WHEN q % 2 = 1 THEN q ELSE 2 * q END) // 8) AS as_of
@@ -169,9 +185,9 @@ ORACLES = {
     "isolation_check": f"WITH {HISTORY}, n AS (SELECT DISTINCT user_id, value FROM hist WHERE live AND valid_to IS NULL) SELECT user_id, count(*) AS shared_values FROM n WHERE EXISTS (SELECT 1 FROM n m WHERE m.value = n.value AND m.user_id <> n.user_id) GROUP BY 1",
     "accuracy_mean_sd": f"WITH {LOG}, s AS (SELECT system, seed, 100.0 * count(*) FILTER (verdict = 'correct') / count(*) AS p FROM lg GROUP BY 1, 2) SELECT system, count(*) AS seeds, round(avg(p), 6) AS mean_pct, round(coalesce(stddev_samp(p), 0), 6) AS sd_pct FROM s GROUP BY 1",
     "median_latency": f"WITH {LOG} SELECT system, round(median(ms), 6) AS median_ms, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms FROM lg GROUP BY 1",
-    "per_checkpoint": f"WITH {LOG}, s AS (SELECT system, checkpoint, seed, count(*) FILTER (verdict = 'correct') / count(*) AS acc, avg(ms) AS ms, avg(tokens) AS tokens FROM lg GROUP BY ALL) SELECT system, checkpoint, round(avg(acc), 6) AS acc, round(avg(ms), 6) AS ms, round(avg(tokens), 6) AS tokens FROM s GROUP BY 1, 2",
+    "per_checkpoint": f"WITH {LOG}, s AS (SELECT system, checkpoint, seed, count(*) FILTER (verdict = 'correct') / count(*) AS acc, avg(ms) AS ms, avg(tokens) AS tokens, avg(list_contains(error_types, 'stale')::INT) AS stale, avg((len(error_types) > 0)::INT) AS forbidden, avg(ingest_ms) AS ingest_ms FROM lg GROUP BY ALL) SELECT system, checkpoint, " + ", ".join(f"CASE WHEN bool_and({c} IS NOT NULL) THEN round(avg({c}), 6) END AS {c}" for c in ("acc", "ms", "tokens", "stale", "forbidden", "ingest_ms")) + " FROM s GROUP BY 1, 2",
     "verdict_pivot": f"WITH {LOG} SELECT system, seed, count(*) AS probes, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("correct", "polluted", "wrong", "missed", "false_abstention", "leaked", "no_abstention")) + " FROM lg GROUP BY 1, 2",
-    "noise_flips": f"WITH {LOG}, u AS (SELECT system, probe_id // 3 AS unit, count(DISTINCT verdict) AS kinds FROM lg GROUP BY 1, 2) SELECT system, count(*) AS units, count(*) FILTER (kinds > 1) AS flips FROM u GROUP BY 1",
+    "noise_flips": f"WITH {LOG}, u AS (SELECT system, probe_id // 3 AS unit, count(DISTINCT verdict) AS kinds FROM lg GROUP BY 1, 2), r AS (SELECT system, seed, verdict, row_number() OVER (PARTITION BY system, seed, probe_id // 3 ORDER BY probe_id) AS r FROM lg), c AS (SELECT system, seed, r, count(*) FILTER (verdict = 'correct') AS c FROM r GROUP BY 1, 2, 3), d AS (SELECT system, seed, coalesce(stddev_samp(c), 0) AS sd FROM c GROUP BY 1, 2), m AS (SELECT system, round(avg(sd), 6) AS mean_sd FROM d GROUP BY 1) SELECT system, units, flips, mean_sd FROM (SELECT system, count(*) AS units, count(*) FILTER (kinds > 1) AS flips FROM u GROUP BY 1) JOIN m USING (system)",
     "bootstrap_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY quality::DOUBLE) - 1 AS pos, quality::DOUBLE AS v, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((d * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM (SELECT lang, pos AS d, n FROM r), range(2000) g(rep)), m AS (SELECT d.lang, rep, avg(v) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS rn FROM m), e AS (SELECT lang, round(max(m) FILTER (rn = 50), 6) AS low, round(max(m) FILTER (rn = 1949), 6) AS high FROM k GROUP BY 1) SELECT * FROM e",
     "stratified_sample": "WITH s AS (SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7919 + 104729) % 1000003, doc_id) AS INT) AS pick FROM documents) SELECT * FROM s WHERE pick <= 10",
     "cost_usd": f"WITH c AS (SELECT event_id AS call_id, (['gpt-4.1-mini-2025','gpt-4o-2024-08-06','gpt-4.1-2025-04-14','unknown-model'])[event_id % 4 + 1] AS model, {K} * 100 AS ti, {K} AS tout FROM events), p(prefix, a, b) AS (VALUES ('gpt-4.1-mini', 0.40::DOUBLE, 1.60::DOUBLE), ('gpt-4o-2024-08-06', 2.50, 10.00), ('gpt-4.1-2025-04-14', 2.00, 8.00)) SELECT call_id, model, round((ti * a + tout * b) / 1e6, 9) AS usd, a IS NOT NULL AS priced FROM c LEFT JOIN p ON starts_with(model, prefix)",
@@ -197,4 +213,16 @@ ORACLES = {
     "restart_identity": f"WITH {LOG}, a AS (SELECT probe_id // 2 AS u, verdict FROM lg WHERE probe_id % 2 = 0), b AS (SELECT probe_id // 2 AS u, verdict FROM lg WHERE probe_id % 2 = 1) SELECT count(*) FILTER (a.u IS NOT NULL AND b.u IS NOT NULL AND a.verdict IS NOT DISTINCT FROM b.verdict) AS same, count(*) FILTER (a.u IS NOT NULL AND b.u IS NOT NULL AND a.verdict IS DISTINCT FROM b.verdict) AS changed, count(*) FILTER (b.u IS NULL) AS only_first, count(*) FILTER (a.u IS NULL) AS only_second FROM a FULL JOIN b ON a.u = b.u",
     "pilot_exclusion": f"WITH {LOG}, m AS (SELECT *, probe_id IN (SELECT doc_id FROM labels) AS seen FROM lg) SELECT system, count(*) FILTER (seen) AS excluded, round(100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / count(*), 6) AS pct_all, round(100.0::DOUBLE * count(*) FILTER (verdict = 'correct' AND NOT seen) / count(*) FILTER (NOT seen), 6) AS pct_rest FROM m GROUP BY 1",
     "fraction_checkpoints": "WITH e AS (SELECT ts, row_number() OVER (ORDER BY event_id) AS no, count(*) OVER () AS n FROM events), f(i, f) AS (VALUES (1, 0.25::DOUBLE), (2, 0.5), (3, 0.75), (4, 1.0)) SELECT 'c' || i AS name, round_even(no / n, 4) AS fraction, ts AS at FROM f JOIN e ON e.no = greatest(1, round_even(f * n, 0)::BIGINT)",
+    "run_summary": f"WITH {LOG} SELECT system, seed, count(*) AS probes, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in VERDICTS) + ", " + ", ".join(f"count(*) FILTER (list_contains(error_types, '{t}')) AS {t}" for t in ERRORS) + ", CAST(sum(tokens) AS BIGINT) AS injected_tokens, count(*) FILTER (tokens > 800) AS budget_violations, round(coalesce(sum(usd), 0), 6) AS cost_usd, round(avg(ms), 6) AS mean_ms FROM lg GROUP BY 1, 2",
+    "system_table": f"WITH {LOG}, {SYSTEM} SELECT * FROM tb",
+    "heldout_table": f"WITH {LOG.replace('lg AS', 'l0 AS')}, lg AS (SELECT * FROM l0 WHERE seed IN (3, 4)), {SYSTEM} SELECT system, answer_pct, answer_sd, evidence_pct, evidence_sd FROM tb",
+    "efficiency_table": f"WITH {LOG}, f AS (SELECT system, round(sum(tokens) / 1024, 6) AS final_kib FROM lg WHERE checkpoint = 4 GROUP BY 1) SELECT system, round(median(ingest_ms), 6) AS ingest_ms, round(median(ms), 6) AS retrieve_ms, round(count(usd) / count(ingest_ms), 6) AS calls_per_write, round(coalesce(sum(usd), 0) / count(DISTINCT seed), 6) AS usd_per_seed, round(coalesce(sum(usd), 0) / count(*), 9) AS usd_per_question, any_value(final_kib) AS final_kib FROM lg JOIN f USING (system) GROUP BY 1",
+    "write_read_legacy": f"WITH {LOG} SELECT system, round(sum(tokens / 1e6 * CASE WHEN probe_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.75 END), 6) AS write_usd, round(sum(tokens / 1e6 * CASE WHEN probe_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.25 END), 6) AS read_usd, count(*) FILTER (probe_id % 3 = 0) AS legacy FROM lg GROUP BY 1",
+    "event_counters": f"WITH {TRACE} SELECT kind, count(*) AS events, count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions FROM trace GROUP BY 1 UNION ALL SELECT 'all', count(*), count(DISTINCT user_id), count(DISTINCT session_id) FROM trace",
+    "token_recount": f"WITH {BM25}, c AS (SELECT query_id, r.scope, rank, {TOKENS.format(c='content')} AS tokens FROM ranked r JOIN trace t ON t.event_id = r.item_id), u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id, scope ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM c) SELECT query_id, scope, CAST(coalesce(sum(tokens) FILTER (upto <= 60), 0) AS BIGINT) AS used, count(*) FILTER (upto <= 60) AS items, CASE WHEN count(*) FILTER (upto <= 60) < count(*) THEN 'short' END AS problem FROM u GROUP BY 1, 2",
+    "token_difference": f"WITH {LOG}, p AS (SELECT a.tokens - b.tokens AS d FROM lg a JOIN lg b ON a.probe_id % 2 = 0 AND b.probe_id = a.probe_id + 1) SELECT count(*) AS pairs, round(avg(d), 6) AS mean_more, CAST(sum(d) AS BIGINT) AS more FROM p",
+    "ingest_gate": f"WITH {TRACE}, a AS (SELECT event_id, user_id, session_id, turn, kind, 0 AS copy FROM trace UNION ALL SELECT event_id, user_id, session_id, turn, kind, 1 FROM trace WHERE turn % 5 = 1) SELECT user_id, CASE WHEN turn % 7 = 2 THEN 'rejected' WHEN session_id % 4 = 0 OR copy = 1 THEN 'known' WHEN kind = 'assistant_message' THEN 'skipped' ELSE 'extract' END AS action, count(*) AS events FROM a GROUP BY 1, 2",
+    "user_history": f"WITH {TRACE} SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY session_id, turn) AS INT) AS rank, event_id FROM trace",
+    "erased_values": f"WITH {CLAIMS}, e AS (SELECT c.seq, (SELECT min(x.seq) FROM claims x WHERE x.is_delete AND x.user_id = c.user_id AND x.slot = c.slot AND x.seq > c.seq) AS r FROM claims c WHERE NOT is_delete) SELECT CAST(d.seq AS VARCHAR) AS request_id, CAST(1 AS BIGINT) AS slots, count(e.seq) AS erased FROM claims d LEFT JOIN e ON e.r = d.seq WHERE d.is_delete GROUP BY 1",
+    "blocked_sources": f"WITH {CLAIMS} SELECT user_id, 'x' || seq AS event_id FROM claims WHERE is_delete UNION ALL SELECT user_id, CAST(seq AS VARCHAR) FROM claims c WHERE NOT is_delete AND EXISTS (SELECT 1 FROM claims x WHERE x.is_delete AND x.user_id = c.user_id AND x.slot = c.slot AND x.seq > c.seq)",
 }
