@@ -542,6 +542,23 @@ def blocked_sources(spark, d):
     return deletes.blocked_sources(asks, deletes.erased_claims(c, asks))
 
 
+@query
+def fact_retrieval(spark, d):
+    """All slots of a user, asked together: evidence lines in order of the slots within
+    a budget, and why there are none."""
+    c = claims(spark, d)
+    place = F.array_position(F.array(*map(F.lit, [*facts.SLOTS, "refund"])), F.col("slot"))
+    found = facts.lookup(c, _asked(c)).withColumn("place", place)
+    source = F.when(F.col("trust") == 3, "user_message").when(F.col("trust") == 2, "document").otherwise("assistant_message")
+    lines = found.where("entry IS NOT NULL").select("user_id", "q", "place", "entry.*").withColumn("content", evidence.fact_line("label", source))
+    lines = lines.select(F.col("user_id").alias("query_id"), F.col("q").alias("scope"), F.col("place").alias("rank"), "content", X.token_count(F.col("content")).alias("tokens"))
+    kept = search.within_budget(lines, 50).groupBy("query_id", "scope").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.max_by("content", "rank").alias("last"))
+    worst = F.when(F.max((F.col("reason") == "deleted").cast("int")) == 1, "deleted").when(F.max((F.col("reason") == "unconfirmed").cast("int")) == 1, "unconfirmed").otherwise("no value at date")
+    why = found.groupBy(F.col("user_id").alias("query_id"), F.col("q").alias("scope")).agg(worst.alias("reason"))
+    out = why.join(kept, ["query_id", "scope"], "left")
+    return out.select("query_id", "scope", "items", "tokens", "last", F.when(F.col("items").isNull(), F.col("reason")).alias("reason"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
