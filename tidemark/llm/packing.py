@@ -9,8 +9,8 @@ followed by an end id.  A dynamic program chooses the window cuts:
 Candidate cuts are document ends (no penalty), sentence ends (``sentence_cost``)
 and, in stretches without either, every ``hard_step`` tokens (``hard_cost``).
 Padding is ``size - length``, so best[j] + pos[j] is kept in a monotone queue and
-each cut costs amortised constant time; a window whose length is a power of two
-needs no padding and is tried as an extra transition.
+each cut costs amortised constant time.  A window whose length is a power of two needs
+no padding: for each cut and each power there is one such transition more.
 
 The stream is solved in blocks of ``block`` tokens that share their last, still
 open window, so memory is bounded however long a document or partition is, and a
@@ -91,8 +91,12 @@ def best_cuts(pos: list[int], cost: list[int], size: int, tail: bool = False) ->
     n = len(pos)
     best, back = [0] * n, [0] * n
     queue: deque[int] = deque()
-    at = {p: i for i, p in enumerate(pos)}
-    powers = [1 << k for k in range(8, size.bit_length()) if 1 << k < size]
+    exact: dict[int, list[int]] = {}
+    places = np.asarray(pos)
+    for w in (1 << k for k in range(size.bit_length()) if 1 << k < size):
+        before = np.searchsorted(places, places - w)
+        for i in np.flatnonzero(places[before] == places - w).tolist():
+            exact.setdefault(i, []).append(int(before[i]))
     last = n - 1
     for i in range(1, n):
         j = i - 1
@@ -111,11 +115,9 @@ def best_cuts(pos: list[int], cost: list[int], size: int, tail: bool = False) ->
             best[i], back[i] = best[j], j
             break
         value, from_ = best[j] + size - p + pos[j], j
-        if i == last:
-            for w in powers:
-                k = at.get(p - w)
-                if k is not None and best[k] < value:
-                    value, from_ = best[k], k
+        for k in exact.get(i, ()):
+            if best[k] < value:
+                value, from_ = best[k], k
         best[i], back[i] = value + cost[i], from_
     cuts, i = [], last
     while i > 0:
