@@ -1,7 +1,9 @@
 """URL verdicts from rules and from trust propagated over the host graph.
 
 Rules (host, path, verdict) hold for the host and all its subdomains where the
-url's path starts with the rule's; the longest host-and-path wins.  For the rest,
+url's path starts with the rule's; the longest host-and-path wins, then the longer
+host.  Rules are a table that joins hosts by their suffixes, so a list may be long;
+the rules of one host are one row.  For the rest,
 trust starts at hosts in proportion to the share of their urls that rules allow
 and follows host edges; distrust starts at hosts in proportion to the share of
 blocked urls and follows the edges reversed.  Both are personalised PageRanks:
@@ -14,6 +16,9 @@ same two hosts are counted before anything is shuffled by host.  A url without a
 rule is blocked where its host's distrust exceeds its trust by ``margin`` times
 the mean rank.
 
+Ranks are iterated until no host's verdict hangs on the rest: the largest change of a
+rank is below ``tolerance`` times the mean rank; a round limit raises an error.
+
 Null urls, and urls without ``://``, have empty host and path and are allowed;
 null html has no links; repeated rows give repeated results; an empty table gives
 an empty result; extra columns are ignored.
@@ -30,12 +35,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"
 
 
-def host_of(url: Column) -> Column:
-    """The part after the first ``://`` up to / ? # or the end, A-Z lowered."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substr(_u, instr(_u, '://') + 3)"))
-    return F.translate(F.coalesce(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
-
-
 def with_parts(df: DataFrame, url_col: str) -> DataFrame:
     """Adds host and path."""
     df = df.withColumn("_u", F.col(url_col))
@@ -46,14 +45,15 @@ def with_parts(df: DataFrame, url_col: str) -> DataFrame:
     return df.withColumns({"host": host, "path": path}).drop("_u", "_r")
 
 
-def matching_rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits host and path, else nulls."""
-    rule = verdict = F.lit(None).cast("string")
-    for host, path, said in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        rule = F.when(fits, F.lit(host + path)).otherwise(rule)
-        verdict = F.when(fits, F.lit(said)).otherwise(verdict)
-    return rule, verdict
+def rules_of_hosts(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(host, rules): all rules for a host or a parent domain, for hosts with any."""
+    table = hosts.sparkSession.createDataFrame(rules or [("", "", "")], "suffix string, start string, said string").where("suffix <> ''")
+    one = F.struct((F.length("suffix") + F.length("start")).alias("long"), F.length("suffix").alias("host_long"), F.concat("suffix", "start").alias("rule"), "start", "said")
+    table = table.groupBy("suffix").agg(F.collect_set(one).alias("found"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    spread = hosts.select("host", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(table, "suffix")
+    return spread.groupBy("host").agg(F.flatten(F.collect_list("found")).alias("rules"))
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame, html_col: str) -> DataFrame:
@@ -69,34 +69,38 @@ def host_edges(pages: DataFrame, hosts: DataFrame, html_col: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, tolerance: float, max_rounds: int) -> DataFrame:
-    """Personalised PageRanks by kind.  edges: (kind, src, dst, share) with shares
-    that sum to 1 over a source; seeds: (kind, node, seed) with 1 over a kind."""
+    """Personalised PageRanks by kind, until no rank changes by ``tolerance``.  edges:
+    (kind, src, dst, share) with shares that sum to 1 over a source; seeds: (kind, node,
+    seed) with 1 over a kind."""
     sources = edges.select("kind", F.col("src").alias("node")).distinct()
-    seeds = settle(seeds.join(sources.withColumn("linked", F.lit(True)), ["kind", "node"], "left").na.fill(False, ["linked"]), "rank-seeds")
+    ranks = seeds.join(sources.withColumn("linked", F.lit(True)), ["kind", "node"], "left").na.fill(False, ["linked"])
+    ranks = settle(ranks.select("kind", "node", "seed", "linked", F.col("seed").alias("rank"), F.lit(0.0).alias("change")), "rank")
     out = edges.select("kind", F.col("src").alias("node"), "dst", "share")
-    ranks = seeds.select("kind", "node", F.col("seed").alias("rank"), "linked")
     for _ in range(max_rounds):
         loose = ranks.where("NOT linked").groupBy("kind").agg(F.sum("rank").alias("loose"))  # a row per kind
         moved = ranks.join(out, ["kind", "node"]).groupBy("kind", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = seeds.join(moved, ["kind", "node"], "left").join(F.broadcast(loose), "kind", "left")
+        new = ranks.join(moved, ["kind", "node"], "left").join(F.broadcast(loose), "kind", "left")
         rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) * F.col("seed"))
-        new = settle(new.select("kind", "node", rank.alias("rank"), "linked"), "rank")
-        gap = new.join(ranks.select("kind", "node", F.col("rank").alias("old")), ["kind", "node"]).agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        new = settle(new.select("kind", "node", "seed", "linked", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "rank")
+        change = new.agg(F.max("change")).first()[0]
         discard(ranks)
         ranks = new
-        if gap is None or gap < tolerance:
-            break
-    return ranks
+        if change is None or change < tolerance:
+            return ranks
+    raise RuntimeError(f"ranks still change by {change} after {max_rounds} rounds")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 20, margin: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-3, max_rounds: int = 300, margin: float = 1.0) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every row."""
-    rule, said = matching_rule(rules)
-    parts = with_parts(pages.select(id_col, url_col, html_col), url_col).withColumn("rule", rule).withColumn("said", said)
-    judged = settle(parts.select(id_col, "host", "path", "rule", "said"), "urls")
+    parts = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "url")
+    urls = settle(parts.select("id", "host", "path"), "urls")
+    ruled = rules_of_hosts(urls.where("host <> ''").select("host").distinct(), rules)
+    best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["start"])))
+    judged = urls.join(ruled, "host", "left").withColumn("best", best)
+    judged = settle(judged.select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.said").alias("said")), "url-rules")
     share = lambda what: F.avg(F.when(F.col("said") == what, 1.0).otherwise(0.0))
     hosts = settle(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "url-hosts")
-    edges = settle(host_edges(parts, hosts, html_col), "url-edges")
+    edges = settle(host_edges(parts, hosts, "html"), "url-edges")
     kinds = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w").withColumn("kind", F.lit("distrust")))
     total = kinds.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     kinds = settle(kinds.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("share")), "url-shares")
@@ -104,8 +108,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: s
     nodes = hosts.unionByName(far)
     sums = nodes.agg(F.sum("trust"), F.sum("distrust"), F.count("*")).first()
     seed = lambda kind, total: nodes.select(F.lit(kind).alias("kind"), F.col("host").alias("node"), (F.col(kind) / (total or 1.0)).alias("seed"))
-    ranks = propagate(kinds, seed("trust", sums[0]).unionByName(seed("distrust", sums[1])), damping=damping, tolerance=tolerance, max_rounds=max_rounds)
+    ranks = propagate(kinds, seed("trust", sums[0]).unionByName(seed("distrust", sums[1])), damping=damping, tolerance=tolerance / max(1, sums[2]), max_rounds=max_rounds)
     net = ranks.groupBy(F.col("node").alias("host")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
     bad = F.coalesce((F.col("distrust") - F.col("trust")) * float(sums[2]) > margin, F.lit(False))
     verdict = F.coalesce("said", F.when(bad, "block").otherwise("allow"))
-    return judged.join(net, "host", "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    return judged.join(net, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
