@@ -180,6 +180,46 @@ def test_leaks_are_found(spark, awkward, empty):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_word_by_word(spark):
+    items = [(1, "Seven words stand here in a row"), (2, "in a row"), (3, "row"), (4, "in a row"), (5, "nowhere to be seen"), (6, "unseen")]
+    docs = [(10, "seven WORDS stand, here in a row!"), (11, "in a long row"), (12, "a row in"), (13, ""), (14, None)]
+    bench, df = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.lcs, r.lcs_share) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(10, 1, 7, 1.0), (10, 2, 3, 1.0), (10, 4, 3, 1.0), (10, 3, 1, 1.0), (11, 3, 1, 1.0), (12, 3, 1, 1.0)}
+
+
+def test_long_items_across_parts(spark):
+    """An item of 1,200 words, and a paraphrase of it, over the end of a text's part."""
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in "ba co du fe gi ho ju ka".split() for b in "lan mer nis tor pul gat".split()]
+    item = rng.choices(vocabulary, k=1200)
+    changed = [rng.choice(vocabulary) if k % 6 == 0 else w for k, w in enumerate(item)]
+    fill = [f"z{k}" for k in range(decontam.CHUNK_WORDS - 600)]
+    docs = [(1, " ".join(fill + item + fill[:500])), (2, " ".join(fill + changed + fill[:500])), (3, " ".join(fill))]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r.lcs for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == {1, 2} and got[1] == 1200 and got[2] >= 1000
+
+
+def test_whole_result_equals_brute_force(spark):
+    """Every document against every item, without the latent search."""
+    folder = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = {r.doc_id: decontam.words_of(r.text) for r in docs.collect()}
+    items = {r.item_id: decontam.words_of(r.text) for r in bench.collect()}
+    df = Counter(w for words in texts.values() for w in set(words))
+    idf = {w: float(np.log((1 + len(texts)) / (1 + df[w])) + 0.1) for words in items.values() for w in words}
+    index = decontam.Index(sorted(items.items(), key=lambda r: str(r[0])), sorted(idf), np.zeros((decontam.DIM, 1), np.float32), idf)
+    want = set()
+    for doc, words in texts.items():
+        own = [index.number[w] for w in words if w in index.number]
+        for k, (item, size, bits, _) in enumerate(index.items):
+            if len(bits.keys() & set(own)) >= 0.5 * len(bits) and index.check(k, own, 0.7, 0.5, 0.6):
+                want.add((doc, item))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert len(got & want) >= 0.97 * len(want) > 0 and len(got - want) <= 0.03 * len(want), (got - want, want - got)
+
+
 def test_svd_matches_dense(spark):
     rng = random.Random(1)
     passages = [rng.choices([f"t{k}" for k in range(50)], k=20) for _ in range(60)]

@@ -21,13 +21,18 @@ longest common subsequence of a stretch at most a quarter longer than the item,
 share of the item, must reach ``lcs_sure``, or ``lcs_least`` with at least ``answer_least`` of the item's answer words (its rarest
 quarter) in the region, which admits paraphrases but not a shared style.
 
+Items of fewer than ``MIN_WORDS`` words say too little for that: they are found where
+their words stand in the document one after another (cosine and shares 1).
+
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items and
 ``BLOCK_BYTES`` bytes, so what is broadcast is bounded; each block makes a pass.
+Very long texts are searched in parts, which overlap by twice the longest item.
 
 Null or wordless texts match nothing, on either side; an item repeated under
-several ids is reported under each; repeated documents are each reported; extra
-columns are ignored; an empty side gives an empty result.  Items of fewer than
-``MIN_WORDS`` words are too short to tell and match nothing.
+several ids is reported under each, and a document that holds several items for each of
+them; of the places of one item the one with the largest LCS, then answer share, then
+cosine is reported; repeated documents are each reported; extra columns are ignored; an
+empty side gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +56,7 @@ BITS = 14
 DIM = 1 << BITS
 CHUNK_ROWS = 512
 MIN_WORDS = 8
+CELLS = 1 << 10
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 1 << 20
 CHUNK_WORDS = 1 << 15
@@ -168,9 +174,13 @@ class Index:
         self.table = np.zeros((len(vocabulary) + 2, basis.shape[1]), np.float32)
         self.table[:-2] = basis[[slot_of(w) for w in vocabulary]] * idf_of[:, None]
         self.energy = np.concatenate([idf_of**2, [0.0, 0.0]]).astype(np.float32)
-        self.items, owner, vectors, sizes, full = [], [], [], [], []
+        self.items, owner, vectors, sizes, full, held = [], [], [], [], [], []
+        self.short: dict[int, dict[tuple, list]] = {}  # by length: items by their words
         for item, words in items:
             ids = [self.number[w] for w in words]
+            if len(ids) < MIN_WORDS:
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).append((len(ids), item))
+                continue
             bits: dict[int, int] = {}
             for at, w in enumerate(ids):
                 bits[w] = bits.get(w, 0) | 1 << at
@@ -181,15 +191,44 @@ class Index:
                 at = [self.number[w] for w in part]
                 vectors.append(self.table[at].sum(0))
                 full.append(np.sqrt(self.energy[at].sum()))
-                sizes.append(at)
-        self.owner, self.sizes = np.array(owner), np.array([len(x) for x in sizes])
-        self.member = np.zeros((len(owner), len(self.table)), bool)
-        for row, at in enumerate(sizes):
-            self.member[row, at] = True
+                sizes.append(len(at))
+                held.append(np.unique(at))
+        self.longest = max((x[1] for x in self.items), default=0)
+        self.owner, self.sizes = np.array(owner, np.int64), np.array(sizes, np.int64)
+        # words of the passages: sorted keys passage * words + word, and a coarse table
+        # by cells of the word number that never says no to a word that is there
+        passage = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+        self.keys = passage * len(self.table) + flat
+        self.coarse = np.zeros((len(owner), CELLS + 1), bool)
+        self.coarse[passage, flat % CELLS] = True
         p = np.array(vectors, np.float32).reshape(len(owner), basis.shape[1])
         norm = np.maximum((p * p).sum(1), 1e-9)
         self.passages = (p * (np.array(full, np.float32) / norm)[:, None]).T.copy()
 
+    def may_hold(self, passage: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which words of ``ids`` (a row for each of ``passage``) may be in the passage."""
+        return self.coarse[passage[:, None], np.where(ids < len(self.number), ids % CELLS, CELLS)]
+
+    def holds(self, passage: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which words of ``ids`` (a row for each of ``passage``) are in the passage."""
+        keys = passage[:, None] * len(self.table) + ids
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys
+
+    def short_items(self, ids: np.ndarray) -> set:
+        """Short items whose words stand one after another in a text."""
+        found = set()
+        for size, items in self.short.items():
+            if len(ids) >= size:
+                spans = np.lib.stride_tricks.sliding_window_view(ids, size)
+                names = np.array(list(items), np.int64)
+                powers = np.uint64(0x9E3779B97F4A7C15) ** np.arange(size, dtype=np.uint64)
+                mixed = lambda x: (x.astype(np.uint64) * powers).sum(1, dtype=np.uint64)
+                for at in np.flatnonzero(np.isin(mixed(spans), mixed(names))).tolist():
+                    found.update(items.get(tuple(spans[at].tolist()), ()))
+        return found
+
     def candidates(self, ids: np.ndarray, blocks: np.ndarray, min_cosine: float, bag_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, cosine) of windows near a passage.  ids: words in rows of
         HALF, padded; blocks: a document number for each row; a window is a row and
@@ -202,14 +241,18 @@ class Index:
         norm = np.maximum(np.sqrt(full), np.linalg.norm(window, axis=1))
         cosine = (window / np.maximum(norm, 1e-9)[:, None]) @ self.passages
         at, p = np.nonzero(cosine >= min_cosine * np.sqrt(self.sizes / WINDOW, dtype=np.float32))
-        keep = np.zeros(len(at), bool)
+        rows, passages = [at[:0]], [p[:0]]
         for lo in range(0, len(at), SLICE):
             a, q = at[lo : lo + SLICE], p[lo : lo + SLICE]
-            bag = self.member[q[:, None], ids[a]].sum(1)
-            two = same[a]
-            bag[two] += self.member[q[two][:, None], ids[a[two] + 1]].sum(1)
-            keep[lo : lo + SLICE] = bag >= bag_least * self.sizes[q]
-        at, p = at[keep], p[keep]
+            for among in (self.may_hold, self.holds):
+                bag = among(q, ids[a]).sum(1)
+                two = same[a]
+                bag[two] += among(q[two], ids[a[two] + 1]).sum(1)
+                good = bag >= bag_least * self.sizes[q]
+                a, q = a[good], q[good]
+            rows.append(a)
+            passages.append(q)
+        at, p = np.concatenate(rows), np.concatenate(passages)
         return at, self.owner[p], cosine[at, p]
 
     def check(self, item: int, words: list[int], lcs_sure: float, lcs_least: float, answer_least: float) -> tuple[int, float] | None:
@@ -239,6 +282,7 @@ def search(docs: DataFrame, index: Index, item_type: T.DataType, *, min_cosine:
         index.__dict__.update(sent.value)
         get, other = index.number.get, len(index.number)
         pad = other + 1
+        overlap = 2 * (index.longest + WINDOW)
 
         def solve(held):
             """held: (id, word numbers) of some documents."""
@@ -268,8 +312,9 @@ def search(docs: DataFrame, index: Index, item_type: T.DataType, *, min_cosine:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 words = words_of(text.as_py())
                 numbers = np.fromiter((get(w, other) for w in words), np.int64, len(words))
-                for lo in range(0, max(1, len(numbers)), CHUNK_WORDS):  # parts of a very long text overlap
-                    part = numbers[max(0, lo - 8 * WINDOW) : lo + CHUNK_WORDS]
+                rows += [(doc, item, 1.0, n, 1.0, 1.0) for n, item in sorted(index.short_items(numbers), key=str)]
+                for lo in range(0, len(numbers) if index.items else 0, CHUNK_WORDS):
+                    part = numbers[max(0, lo - overlap) : lo + CHUNK_WORDS]
                     if len(part):
                         held.append((doc, part))
                         size += len(part)
@@ -302,15 +347,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        rows = [(item, words) for item, words in ((r.item, words_of(r.text)) for r in part.collect()) if len(words) >= MIN_WORDS]  # a bounded block
+        rows = [(item, words) for item, words in ((r.item, words_of(r.text)) for r in part.collect()) if words]  # a bounded block
         rows.sort(key=lambda r: str(r[0]))
         if not rows:
             continue
         vocabulary = sorted({w for _, words in rows for w in words})
         df, n = document_frequency(src, vocabulary)
         idf = {w: float(np.log((1 + n) / (1 + d)) + 0.1) for w, d in zip(vocabulary, df.tolist(), strict=True)}
-        passages = spark.createDataFrame([(p,) for _, words in rows for p in passages_of(words)], "words array<string>")
-        basis = randomised_svd(passages, idf, rank)
+        passages = [(p,) for _, words in rows if len(words) >= MIN_WORDS for p in passages_of(words)]
+        basis = randomised_svd(spark.createDataFrame(passages, "words array<string>"), idf, rank) if passages else np.zeros((DIM, 1), np.float32)
         found = search(src, Index(rows, vocabulary, basis, idf), item_type, min_cosine=min_cosine, bag_least=bag_least, lcs_sure=lcs_sure, lcs_least=lcs_least, answer_least=answer_least)
         out = found if out is None else out.unionByName(found)
     if out is None:
