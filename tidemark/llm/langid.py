@@ -4,8 +4,9 @@ Features are hashed byte n-grams (1 to 3 bytes of the lower-cased text, words
 padded by spaces) weighted by (1 + log tf) * idf and scaled to unit length.
 Document frequencies count every labelled learnable document.  The weights are
 trained on the driver by follow-the-regularised-leader with L1 and L2 penalties
-over a bounded sample (``max_fit`` rows, those with the smallest id hash, plus
-``max_calibrate`` rows for calibration); only their sparse features are gathered.
+over a bounded sample (about ``max_fit`` distinct rows, chosen by hash, plus
+``max_calibrate`` for calibration, and at least ``least`` rows of every language or
+all it has); only their sparse features are gathered.
 A temperature fitted on the calibration rows scales the scores.  Each whole text
 is then scored in one pass over the documents.
 
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, sample
+
 UND = "und"
 BITS = 15
 DIM = 1 << BITS
@@ -80,8 +83,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def gather(docs: DataFrame, limit: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, indexes, tf) of the ``limit`` rows with the smallest id hash."""
+def gather(docs: DataFrame, limit: int, least: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, indexes, tf) of about ``limit`` distinct rows (doc_id, text, label), in
+    proportion, but at least ``least`` of each label, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +95,10 @@ def gather(docs: DataFrame, limit: int) -> list[tuple[str, np.ndarray, np.ndarra
                 label.append(y.as_py())
                 at.append(a.astype(np.uint16).tobytes())
                 tf.append(v.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], ["label", "at", "tf"])
-
-    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit)
-    top = ids.agg(F.max("h")).first()[0]
-    if top is None:
-        return []
-    chosen = docs.where(F.xxhash64("doc_id") <= F.lit(top)).select("label", "text")
-    rows = chosen.mapInArrow(run, "label string, at binary, tf binary").limit(2 * limit).collect()
+            yield pa.RecordBatch.from_arrays([batch.column("_hash"), pa.array(label, pa.string()), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], ["h", "label", "at", "tf"])
+
+    chosen = sample(docs, limit, by="label", least=least).select("_hash", "label", "text")
+    rows = sorted(chosen.mapInArrow(run, "h bigint, label string, at binary, tf binary").collect(), key=lambda r: r.h)
     return [(r.label, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.tf, np.float16).astype(np.float32)) for r in rows]
 
 
@@ -155,12 +155,12 @@ class Model:
         return self.labels[k], float(p[k])
 
 
-def fit(labelled: DataFrame, *, max_fit: int = 6000, max_calibrate: int = 1500, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.5, epochs: int = 5) -> Model:
+def fit(labelled: DataFrame, *, max_fit: int = 6000, max_calibrate: int = 1500, least: int = 300, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.5, epochs: int = 5) -> Model:
     """Train on rows (doc_id, text, label); null labels and texts are left out."""
     labelled = labelled.where("label IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequency(labelled)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    rows = gather(labelled, max_fit + max_calibrate)
+    rows = gather(labelled.select("doc_id", "text", "label"), max_fit + max_calibrate, least)
     labels = sorted({r[0] for r in rows})
     number = {y: k for k, y in enumerate(labels)}
     data = [(number[y], at, weighted(at, tf, idf)) for y, at, tf in rows]
@@ -185,9 +185,10 @@ def predictor(model: Model):
 
 
 def identify(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` beside them; only
-    rows where ``learnable`` holds are learnt from."""
+    """All columns of ``docs`` with ``lang_pred`` and ``score`` beside them (columns of
+    these names are replaced); only rows where ``learnable`` holds are learnt from."""
     known = docs.where(learnable).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     predict = predictor(fit(known, **options))
-    scored = docs.withColumn("_lang", predict(F.col(text_col)))
-    return scored.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    name = fresh(docs, "_lang")
+    scored = docs.withColumn(name, predict(F.col(text_col)))
+    return scored.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).drop(name)
