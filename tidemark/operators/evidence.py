@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions
-from .facts import history, outcomes
+from .facts import disputes, held_claims, history, outcomes, tombstones
 
 
 def _day(c: str) -> Column:
@@ -53,12 +53,29 @@ def memory_ids(claims: DataFrame) -> DataFrame:
 
 def known_slots(claims: DataFrame) -> DataFrame:
     """Per user and slot what an extractor is told: the open value, else the pending
-    one, else null for a slot that was deleted."""
+    one, under its label; of a slot that was deleted, only that."""
     rows = outcomes(claims).where("epoch = last_epoch")
-    setter = F.col("outcome").isin("introduce", "supersede")
-    out = rows.groupBy("user_id", "slot").agg(F.max_by(F.when(setter, F.col("value")), F.when(setter, F.col("seq"))).alias("_open"), F.max_by(F.when(F.col("outcome") == "hold", F.col("value")), F.when(F.col("outcome") == "hold", F.col("seq"))).alias("_held"))
+    setter, held = F.col("outcome").isin("introduce", "supersede"), F.col("outcome") == "hold"
+    told = F.struct(F.coalesce("confirmed.label", "label").alias("label"), "value")
+    last = lambda c: F.max_by(F.when(c, told), F.when(c, F.col("seq")))
+    out = rows.groupBy("user_id", "slot").agg(last(setter).alias("_open"), last(held).alias("_held"))
     state = F.when(F.col("_open").isNotNull(), "open").when(F.col("_held").isNotNull(), "pending").otherwise("deleted")
-    return out.select("user_id", "slot", state.alias("state"), F.coalesce("_open", "_held").alias("value"))
+    out = out.withColumn("_told", F.coalesce("_open", "_held"))
+    said = F.coalesce(F.concat("_told.label", F.lit(" (current: "), "_told.value", F.lit(")")), F.lit("(deleted)"))
+    return out.select("user_id", "slot", state.alias("state"), "_told.value", said.alias("described"))
+
+
+def store_stats(claims: DataFrame) -> DataFrame:
+    """Per user: entries, their bytes, how many are open, and the rows kept beside them
+    (disputes and pending claims since the last delete of their slot, tombstones)."""
+    held = history(claims).where("live").groupBy("user_id").agg(F.count("*").alias("items"), F.sum(F.octet_length("value").cast("long")).alias("bytes"), F.count_if(F.col("valid_to").isNull()).alias("active"))
+    lost = disputes(claims).where("live").groupBy("user_id").agg(F.count("*").alias("disputes"))
+    waits = held_claims(claims).where("live AND state = 'pending'").groupBy("user_id").agg(F.count("*").alias("pending"))
+    gone = tombstones(claims).groupBy("user_id").agg(F.sum("deletes").alias("tombstones"))
+    out = held
+    for more in (lost, waits, gone):
+        out = out.join(more, "user_id", "full")
+    return out.na.fill(0)
 
 
 def missing_pairs(claims: DataFrame, slots: list[str]) -> DataFrame:

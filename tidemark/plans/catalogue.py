@@ -327,8 +327,7 @@ def cost_usd(spark, d):
 
 @query
 def store_stats(spark, d):
-    h = facts.history(claims(spark, d)).where("live")
-    return h.groupBy("user_id").agg(F.count("*").alias("items"), F.sum(F.octet_length("value").cast("long")).alias("bytes"), F.count_if(F.col("valid_to").isNull()).alias("active"))
+    return evidence.store_stats(claims(spark, d))
 
 
 @query

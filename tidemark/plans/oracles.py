@@ -191,7 +191,7 @@ ORACLES = {
     "bootstrap_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY quality::DOUBLE) - 1 AS pos, quality::DOUBLE AS v, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((d * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM (SELECT lang, pos AS d, n FROM r), range(2000) g(rep)), m AS (SELECT d.lang, rep, avg(v) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS rn FROM m), e AS (SELECT lang, round(max(m) FILTER (rn = 50), 6) AS low, round(max(m) FILTER (rn = 1949), 6) AS high FROM k GROUP BY 1) SELECT * FROM e",
     "stratified_sample": "WITH s AS (SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7919 + 104729) % 1000003, doc_id) AS INT) AS pick FROM documents) SELECT * FROM s WHERE pick <= 10",
     "cost_usd": f"WITH c AS (SELECT event_id AS call_id, (['gpt-4.1-mini-2025','gpt-4o-2024-08-06','gpt-4.1-2025-04-14','unknown-model'])[event_id % 4 + 1] AS model, {K} * 100 AS ti, {K} AS tout FROM events), p(prefix, a, b) AS (VALUES ('gpt-4.1-mini', 0.40::DOUBLE, 1.60::DOUBLE), ('gpt-4o-2024-08-06', 2.50, 10.00), ('gpt-4.1-2025-04-14', 2.00, 8.00)) SELECT call_id, model, round((ti * a + tout * b) / 1e6, 9) AS usd, a IS NOT NULL AS priced FROM c LEFT JOIN p ON starts_with(model, prefix)",
-    "store_stats": f"WITH {HISTORY} SELECT user_id, count(*) AS items, CAST(sum(strlen(value)) AS BIGINT) AS bytes, count(*) FILTER (valid_to IS NULL) AS active FROM hist WHERE live GROUP BY 1",
+    "store_stats": f"WITH {HISTORY}, a AS (SELECT user_id, count(*) AS items, CAST(sum(strlen(value)) AS BIGINT) AS bytes, count(*) FILTER (valid_to IS NULL) AS active FROM hist WHERE live GROUP BY 1), o AS (SELECT user_id, slot, epoch, arg_min(value, seq) AS ivalue FROM oc WHERE outcome = 'introduce' GROUP BY 1, 2, 3), l AS (SELECT user_id, slot, epoch, max(seq) AS top FROM oc WHERE outcome = 'hold' GROUP BY 1, 2, 3), b AS (SELECT user_id, count(*) FILTER (outcome = 'dispute' OR outcome = 'hold' AND (seq < top OR ivalue <> value)) AS disputes, count(*) FILTER (outcome = 'hold' AND seq = top AND ivalue IS NULL) AS pending FROM oc LEFT JOIN l USING (user_id, slot, epoch) LEFT JOIN o USING (user_id, slot, epoch) WHERE epoch = last_epoch GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (is_delete) AS tombstones FROM claims GROUP BY 1) SELECT c.user_id, coalesce(items, 0) AS items, coalesce(bytes, 0) AS bytes, coalesce(active, 0) AS active, coalesce(disputes, 0) AS disputes, coalesce(pending, 0) AS pending, tombstones FROM c LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) WHERE coalesce(items, 0) + coalesce(disputes, 0) + coalesce(pending, 0) + tombstones > 0",
     "cache_hit_split": "WITH r AS (SELECT conv_id, sha256(text) AS digest FROM conversations), k AS (SELECT DISTINCT digest FROM r WHERE conv_id % 4 = 0) SELECT digest IN (SELECT digest FROM k) AS hit, count(*) AS requests, count(DISTINCT digest) AS distinct_requests FROM r GROUP BY 1",
     "validate_duplicates": "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)",
     "validate_order": "SELECT user_id, event_id, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 2 = 1 THEN -event_id ELSE event_id END) AS b FROM events) WHERE ts < b",
@@ -203,7 +203,7 @@ ORACLES = {
     "turn_evidence": "SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M') || ' ' || event_type || '] ' || props AS content FROM events",
     "export_items": f"WITH {HISTORY} SELECT user_id, seq, slot || ': ' || value AS content, CASE WHEN valid_to IS NULL THEN 'active' ELSE 'superseded' END AS status, sources, valid_from, valid_to FROM hist WHERE live",
     "memory_ids": f"WITH {outcomes()} SELECT seq, 'L' || CASE WHEN n < 1000000 THEN lpad(CAST(n AS VARCHAR), 6, '0') ELSE CAST(n AS VARCHAR) END AS memory_id FROM (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM oc WHERE outcome NOT IN ('restate', 'delete'))",
-    "known_slots": f"WITH {HISTORY}, o AS (SELECT user_id, slot, value FROM hist WHERE live AND valid_to IS NULL), h AS (SELECT user_id, slot, arg_max(value, seq) AS value FROM oc WHERE outcome = 'hold' AND epoch = last_epoch GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, slot FROM claims) SELECT u.user_id, u.slot, CASE WHEN o.value IS NOT NULL THEN 'open' WHEN h.value IS NOT NULL THEN 'pending' ELSE 'deleted' END AS state, coalesce(o.value, h.value) AS value FROM u LEFT JOIN o USING (user_id, slot) LEFT JOIN h USING (user_id, slot)",
+    "known_slots": f"WITH {HISTORY}, o AS (SELECT user_id, slot, value, label FROM hist WHERE live AND valid_to IS NULL), h AS (SELECT user_id, slot, arg_max(value, seq) AS value, arg_max(label, seq) AS label FROM oc WHERE outcome = 'hold' AND epoch = last_epoch GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, slot FROM claims) SELECT u.user_id, u.slot, CASE WHEN o.value IS NOT NULL THEN 'open' WHEN h.value IS NOT NULL THEN 'pending' ELSE 'deleted' END AS state, coalesce(o.value, h.value) AS value, coalesce(coalesce(o.label, h.label) || ' (current: ' || coalesce(o.value, h.value) || ')', '(deleted)') AS described FROM u LEFT JOIN o USING (user_id, slot) LEFT JOIN h USING (user_id, slot)",
     "missing_pairs": f"WITH {CLAIMS}, e AS (SELECT DISTINCT user_id, s.slot FROM claims, (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('refund')) s(slot)) SELECT user_id, slot FROM e WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE NOT c.is_delete AND c.user_id = e.user_id AND c.slot = e.slot)",
     "subphrase_values": "WITH v AS (SELECT p_type AS value FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part) SELECT a.value AS inner, b.value AS outer FROM v a JOIN v b ON a.value <> b.value AND contains(lower(b.value), lower(a.value)) AND regexp_matches(b.value, '(?i)(^|[^\\p{L}\\p{N}_])' || regexp_escape(a.value) || '($|[^\\p{L}\\p{N}_])')",
     "paired_ci": "WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY 100.0::DOUBLE * (quality - toxic)) - 1 AS pos, 100.0::DOUBLE * (quality - toxic) AS v, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)), d AS (SELECT lang, rep, ((d * 48271 + rep * 69621 + 12345) % 2147483647) % n AS pos FROM (SELECT lang, pos AS d, n FROM r), range(2000) g(rep)), m AS (SELECT d.lang, rep, avg(v) AS m FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pos GROUP BY 1, 2), k AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m, rep) - 1 AS rn FROM m), e AS (SELECT lang, round(max(m) FILTER (rn = 50), 6) AS low, round(max(m) FILTER (rn = 1949), 6) AS high FROM k GROUP BY 1) SELECT lang, pairs, diff, low, high FROM e JOIN (SELECT lang, count(*) AS pairs, round(avg(v), 6) AS diff FROM r GROUP BY 1) USING (lang)",
