@@ -119,3 +119,29 @@ def test_operations_in_order(tl):
         ("ingest", "s3", ["e08", "e09"]), ("ask", "c2", None), ("ingest", "s4", ["e10"]), ("delete", "m09", None),
         ("ingest", "s4", ["e11"]), ("ingest", "s5", ["e12"]), ("ask", "c3", None),
     ]
+
+
+@pytest.mark.parametrize("with_sources", [True, False])
+def test_hybrid_fallback(tl, with_sources):
+    evidence, said = replay.hybrid_evidence(tl, "fallback", with_sources=with_sources)
+    rows = {}
+    for r in evidence.orderBy("probe_id", "rank").collect():
+        rows.setdefault(r.probe_id, []).append(r.memory_id)
+    assert {k: v for k, v in rows.items() if k != "p08"} == {"p01": ["L000001"], "p02": ["L000003"], "p03": ["L000006"], "p04": ["L000007"], "p05": ["L000001"], "p07": ["L000003"]}
+    assert rows["p08"][0] == "e01"
+    scored = verdicts(tl, evidence, said)
+    assert scored["p06"].verdict == "correct" and scored["p06"].abstain_reason == "deleted at the user's request"
+
+
+def test_hybrid_augment_scrubs_what_was_erased(tl):
+    evidence, said = replay.hybrid_evidence(tl, "augment", with_sources=False)
+    rows = {}
+    for r in evidence.orderBy("probe_id", "rank").collect():
+        rows.setdefault(r.probe_id, []).append(r.memory_id)
+    assert rows["p03"][0] == "L000006" and rows["p03"][1:] == ["e01", "e08", "e07"] and "p06" not in rows
+    gone = {r.event_id for r in replay.scrubbed_turns(tl, replay.claim_stream(tl, False).persist(), False).collect()}
+    assert "e06" in gone and "e01" not in gone
+    tight, _ = replay.hybrid_evidence(tl, "augment", budget=20, with_sources=False)
+    assert {r.memory_id for r in tight.where("probe_id = 'p03'").collect()} == {"L000006"}
+    with pytest.raises(ValueError):
+        replay.hybrid_evidence(tl, "neither")

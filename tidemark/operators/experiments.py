@@ -18,6 +18,8 @@ SYSTEMS: dict[str, System] = {
     "ranked_turns": replay.bm25_evidence,
     "full_replay": replay.full_replay,
     "no_memory": replay.no_memory,
+    "hybrid_fallback": lambda tl: replay.hybrid_evidence(tl, "fallback", least_trust=2),
+    "hybrid_augment": lambda tl: replay.hybrid_evidence(tl, "augment", least_trust=2),
 }
 
 

@@ -5,8 +5,8 @@ up to its checkpoint's time, and the deletes delivered by then.  Evidence rows a
 (workload_id, probe_id, rank, content, memory_id, source_event_ids, score); what a
 system says of a probe itself is (workload_id, probe_id, abstained, abstain_reason).
 
-Tables that several steps read (claims, turns seen, evidence) are persisted: it keeps
-plans short as well.
+Tables that several steps read (claims, requests, turns seen, evidence) are cut off from
+how they were made.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions, token_count
+from ..plans.lineage import cut
 from . import deletes, extract, facts, scoring, search
 from .evidence import fact_line, turn_line
 
@@ -79,10 +80,10 @@ def routes(probes: DataFrame) -> DataFrame:
 def store_evidence(tl: dict[str, DataFrame], budget: int | None = 2000, with_sources: bool = True, least_trust: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(evidence, said) of the fact store: the entry of each slot a question is routed
     to, in order of the rules and up to the token budget, or why there is none."""
-    claims = claim_stream(tl, with_sources, least_trust).persist()
+    claims = cut(claim_stream(tl, with_sources, least_trust))
     probes = asked(tl)
     q = routes(probes).select("workload_id", "probe_id", "place", who().alias("user_id"), "slot", "asked_at", F.coalesce("as_of", "asked_at").alias("as_of"))
-    found = facts.lookup(claims, q).persist()
+    found = cut(facts.lookup(claims, q))
     source = claims.where("NOT is_delete").select("seq", "event_id", "user_id")
     ids = found.where("entry IS NOT NULL").select("workload_id", "probe_id", "place", "user_id", F.explode("entry.sources").alias("seq")).join(source, ["user_id", "seq"])
     ids = ids.groupBy("workload_id", "probe_id", "place").agg(F.array_sort(F.collect_set(F.struct("seq", F.element_at(F.split("event_id", SEP), -1).alias("id")))).alias("ids"))
@@ -93,7 +94,7 @@ def store_evidence(tl: dict[str, DataFrame], budget: int | None = 2000, with_sou
     rows = rows.withColumn("content", fact_line("label", F.col("_kind"))).withColumn("tokens", token_count(F.col("content")))
     rank = F.row_number().over(W.partitionBy("workload_id", "probe_id").orderBy("place"))
     rows = rows.withColumns({"rank": rank, "source_event_ids": F.transform("ids", lambda x: x["id"]), "score": F.lit(None).cast("double")})
-    evidence = fitted(rows, budget).persist()
+    evidence = cut(fitted(rows, budget))
     worst = F.array_min(F.collect_list(F.when(F.col("reason") == "deleted", 0).when(F.col("reason") == "unconfirmed", 1).when(F.col("reason") == "no value at date", 2).otherwise(3)))
     why = found.groupBy("workload_id", "probe_id").agg(worst.alias("_w"), F.min("as_of").alias("_d"))
     said = probes.select("workload_id", "probe_id").join(why, ["workload_id", "probe_id"], "left").join(evidence.select("workload_id", "probe_id").distinct().withColumn("_has", F.lit(True)), ["workload_id", "probe_id"], "left")
@@ -136,14 +137,18 @@ def _as_evidence(rows: DataFrame) -> DataFrame:
 def bm25_evidence(tl: dict[str, DataFrame], budget: int | None = 2000, with_sources: bool = True, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(evidence, said) of ranked turns; it never abstains.  A corpus is what one probe
     sees, so equal checkpoints of a user are one scope."""
-    seen = turns_seen(tl, with_sources).persist()
+    rows = _ranked(tl, cut(turns_seen(tl, with_sources)), top_k)
+    return fitted(_as_evidence(rows), budget), silent(tl)
+
+
+def _ranked(tl: dict[str, DataFrame], seen: DataFrame, top_k: int) -> DataFrame:
+    """The turns seen that rank best for each probe, with rank and score."""
     scope = lambda: F.concat_ws("|", "workload_id", "user_id", F.col("asked_at").cast("string")).alias("scope")
     corpus = seen.select(scope(), F.format_string("%012d", "seq").alias("item_id"), F.col("content").alias("text")).distinct()
     queries = asked(tl).select(F.concat_ws("|", "workload_id", "probe_id").alias("query_id"), scope(), F.col("question").alias("text"))
     best = search.bm25(corpus, queries, top_k=top_k)
     best = best.select(F.split("query_id", r"\|")[0].alias("workload_id"), F.split("query_id", r"\|")[1].alias("probe_id"), "rank", F.col("item_id").cast("bigint").alias("seq"), "score")
-    rows = best.join(seen, ["workload_id", "probe_id", "seq"])
-    return fitted(_as_evidence(rows), budget), silent(tl)
+    return best.join(seen, ["workload_id", "probe_id", "seq"])
 
 
 def full_replay(tl: dict[str, DataFrame], with_sources: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +205,7 @@ def score(tl: dict[str, DataFrame], evidence: DataFrame, said: DataFrame) -> Dat
     more = probes.select("workload_id", "probe_id", F.col("expected.value").alias("value")).join(names, ["workload_id", "value"]).select(*key, "form", F.struct((F.col("place.seq") + 1).alias("seq"), "place.k").alias("place"))
     bad = probes.select(*key, F.explode("expected.forbidden").alias("value"))
     forms = bad.select(*key, "value", F.col("value").alias("form")).unionByName(bad.join(names, ["workload_id", "value"]).select(*key, "value", "form"))
-    ev = evidence.select(*key, "rank", "content", "memory_id", "source_event_ids").persist()
+    ev = cut(evidence.select(*key, "rank", "content", "memory_id", "source_event_ids"))
 
     matched = own.unionByName(more).join(ev.select(*key, "content"), key).where(mentions(F.col("content"), F.col("form"))).groupBy(*key).agg(F.min_by("form", "place").alias("matched"))
     ids = F.when(F.size("source_event_ids") > 0, F.col("source_event_ids")).otherwise(F.array(F.coalesce("memory_id", F.lit("?"))))
@@ -239,3 +244,50 @@ def summary(scored: DataFrame, evidence: DataFrame, budget: int | None = 2000) -
     count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
     error = lambda t: F.count_if(F.array_contains("types", t)).alias(t)
     return rows.groupBy("workload_id").agg(F.count("*").alias("probes"), *map(count, ("correct", "polluted", "wrong", "missed", "false_abstention", "leaked", "no_abstention")), *map(error, ("stale", "future", "contaminated", "resurrected", "forbidden")), F.sum("tokens").alias("injected_tokens"), over.alias("budget_violations"), F.count_if(F.size("foreign_hits") > 0).alias("isolation_violations"))
+
+
+def scrubbed_turns(tl: dict[str, DataFrame], claims: DataFrame, with_sources: bool = True) -> DataFrame:
+    """(workload_id, event_id, gone): turns that a combined store drops with a delete and
+    when: its sources, what it erased, and earlier turns that tell the same."""
+    asks = cut(requests(tl, with_sources))
+    events = cut(tl["events"].select(F.concat_ws(SEP, "workload_id", "event_id").alias("event_id"), who().alias("user_id"), F.col("timestamp").alias("ts"), "kind", "content"))
+    marks = claims.where("is_delete").select("user_id", "slot", F.col("ts").alias("requested_at"))
+    deleted = marks.join(asks.select("user_id", "requested_at", "request_id"), ["user_id", "requested_at"])
+    own = claims.where("NOT is_delete")
+    erased = cut(deletes.erased_claims(claims, deleted).join(own.select("user_id", "seq", "event_id"), ["user_id", "seq"]))
+    when = asks.select("user_id", "request_id", "requested_at")
+    listed = asks.select("user_id", F.explode("sources").alias("event_id"), "requested_at")
+    taken = erased.join(when, ["user_id", "request_id"]).select("user_id", "event_id", "requested_at")
+    values = erased.join(when, ["user_id", "request_id"]).select("user_id", "value", "requested_at").distinct()
+    told = deletes.turns_with_values(events, values).join(events.select("event_id", "ts", "content"), "event_id").join(values, "user_id").where("ts <= requested_at").where(mentions(F.col("content"), F.col("value")))
+    out = listed.unionByName(taken).unionByName(told.select("user_id", "event_id", "requested_at"))
+    for found in (deletes.turns_with_slots(events, deleted), deletes.turns_with_entities(events, asks, deleted, own)):
+        near = found.join(events.select("event_id", "ts"), "event_id").join(when.select("user_id", "requested_at"), "user_id").where("ts <= requested_at")
+        out = out.unionByName(near.select("user_id", "event_id", "requested_at"))
+    out = out.groupBy("event_id").agg(F.min("requested_at").alias("gone"))
+    return out.select(F.split("event_id", SEP)[0].alias("workload_id"), F.element_at(F.split("event_id", SEP), -1).alias("event_id"), "gone")
+
+
+def hybrid_evidence(tl: dict[str, DataFrame], mode: str = "fallback", budget: int = 2000, with_sources: bool = True, least_trust: int | None = None, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(evidence, said) of a fact store with ranked turns behind it: turns where it has
+    nothing (fallback) or after what it has (augment), in the rest of the budget; none
+    where the fact was deleted."""
+    if mode not in ("fallback", "augment"):
+        raise ValueError(f"unknown mode {mode}")
+    facts_found, said = store_evidence(tl, budget, with_sources, least_trust)
+    gone = scrubbed_turns(tl, cut(claim_stream(tl, with_sources, least_trust)), with_sources)
+    events = tl["events"].join(gone, ["workload_id", "event_id"], "left")
+    probes = asked(tl).select("workload_id", "probe_id", "user_id", "asked_at", "question")
+    seen = cut(probes.join(events.select("workload_id", "user_id", "event_id", "seq", "timestamp", "kind", "content", "gone"), ["workload_id", "user_id"]).where("timestamp <= asked_at AND (gone IS NULL OR gone > asked_at)").drop("gone", "question"))
+    turns = cut(_as_evidence(_ranked(tl, seen, top_k)))
+    refused = said.where(F.col("abstain_reason") == REASONS["deleted"])
+    short = lambda df: df.select(F.col("probe_id").alias("query_id"), F.col("workload_id").alias("scope"), "rank", F.col("memory_id").alias("item_id"), token_count(F.col("content")).alias("tokens"))
+    join = search.fallback if mode == "fallback" else search.augment
+    picked = join(short(facts_found), short(turns), short(refused.withColumns({"rank": F.lit(0), "memory_id": F.lit(""), "content": F.lit("")})), budget)
+    every = facts_found.select("workload_id", "probe_id", "memory_id", "content", "source_event_ids", "score").unionByName(turns.select("workload_id", "probe_id", "memory_id", "content", "source_event_ids", "score"))
+    picked = picked.select(F.col("query_id").alias("probe_id"), F.col("scope").alias("workload_id"), "rank", F.col("item_id").alias("memory_id"))
+    evidence = cut(picked.join(every, ["workload_id", "probe_id", "memory_id"]).select(*EVIDENCE))
+    has = evidence.select("workload_id", "probe_id").distinct().withColumn("_has", F.lit(True))
+    rows = said.join(has, ["workload_id", "probe_id"], "left")
+    none = F.col("_has").isNull()
+    return evidence, rows.select("workload_id", "probe_id", none.alias("abstained"), F.when(none, F.coalesce("abstain_reason", F.lit("nothing relevant"))).alias("abstain_reason"))
