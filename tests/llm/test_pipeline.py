@@ -22,6 +22,50 @@ def test_stages_keep_columns_and_act(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
 
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, lang_pred string, predicted int, row string, _key string, id bigint, h bigint"
+
+
+def rows_of(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "mine", 9, "r", "k", 7, 8) for i, t in texts], SCHEMA)
+
+
+def words(tag, n=60):
+    return " ".join(f"{tag}{k}" for k in range(n))
+
+
+def test_near_duplicates_decide_by_row(spark):
+    """Other texts under an id stay; of copies without an id one stays; blank ones do."""
+    a, b, c, d, e = (words(t) for t in "abcde")
+    docs = rows_of(spark, [(3, a), (5, a), (5, b), (7, c), (7, d), (None, e), (None, e), (None, a), (8, b + " more"), (9, None), (9, " "), (3, a)])
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == sorted([(3, a), (5, b), (7, c), (7, d), (0, e), (9, ""), (9, " ")])
+    assert {(r.score, r.lang_pred, r.predicted, r["row"], r["_key"], r.id, r.h) for r in rows} == {(0.5, "mine", 9, "r", "k", 7, 8)}
+
+
+def test_leaks_go_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    docs = rows_of(spark, [(1, f"{words('x')} {item} {words('y')}"), (1, words("z")), (None, item), (None, words("q"))])
+    kept = corpus_pipeline.STAGES[3][1](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == sorted([words("z"), words("q")])
+
+
+def test_classifying_stages_keep_clashing_columns(spark):
+    docs = rows_of(spark, [(1, "the house and the garden with the tree"), (2, "12 34"), (3, None)])
+    for stage in (corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]):
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert {(r.score, r.lang_pred, r.predicted) for r in kept.collect()} <= {(0.5, "mine", 9)}
+
+
+def test_empty_tables(spark):
+    docs = rows_of(spark, []).select(*spark.read.parquet(f"{SF}/documents.parquet").columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     per = out.groupBy("sequence_id").agg({"length": "sum"}).collect()

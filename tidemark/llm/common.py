@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BITMAP_WORDS = 1 << 20
 #: Keys up to which a bitmap tells much (two bits each); beyond, callers join.
 BITMAP_KEYS = 1 << 23
+#: Rows up to which a table of short rows is broadcast.
+SMALL = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -166,10 +168,11 @@ def sample(df: DataFrame, limit: int, *, by: str | None = None, least: int = 0)
         total = df.count()
         chosen = keyed.where(dealt < int(cells * min(1.0, limit / max(1, total))))
     else:
-        counts = df.groupBy(by).agg(F.count("*").alias("_n"))
-        total = df.count()
+        counts = settle(df.groupBy(by).agg(F.count("*").alias("_n")), "sample-counts")
+        total, values = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
         quota = F.greatest(F.lit(limit / max(1, total)), F.lit(float(least)) / F.col("_n"))
-        chosen = keyed.join(counts.withColumn("_quota", quota * cells).drop("_n"), by).where(dealt < F.col("_quota"))
+        quotas = counts.withColumn("_quota", quota * cells).drop("_n")
+        chosen = keyed.join(F.broadcast(quotas) if values <= SMALL else quotas, by).where(dealt < F.col("_quota"))
     return chosen.groupBy(name).agg(*(F.first(c).alias(c) for c in df.columns))
 
 

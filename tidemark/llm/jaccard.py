@@ -210,21 +210,10 @@ def index_documents(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(run, f"id {kind}, h bigint, row bigint, n bigint, class bigint, prefix array<bigint>")
 
 
-def one_row_each(index: DataFrame, bitmap_keys: int) -> DataFrame:
-    """A row of each class; only rows of classes with several are joined."""
-    several = index.groupBy("class").agg(F.count("*").alias("rows"), F.min("row").alias("first")).where("rows > 1").select("class", "first")
-    several = settle(several, "jaccard-several")
-    clear, rest = None, index
-    if several.count() <= bitmap_keys:
-        bits = bitmap(several, "class")
-        clear, rest = rows_in(index, F.col("class"), bits, False), rows_in(index, F.col("class"), bits)
-    rest = rest.join(several, "class", "left").where("first IS NULL OR row = first").select(*index.columns)
-    return rest if clear is None else clear.unionByName(rest)
-
-
 def alive_classes(index: DataFrame, plan: Plan, bitmap_keys: int) -> DataFrame:
     """(class, h) of the classes that may link, with the hash of a text of theirs."""
-    index = one_row_each(index.where("n > 1"), bitmap_keys)
+    index = index.where("n > 1")
+    index = index.join(index.groupBy("class").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")  # a row of each class
     shared = index.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
     shared = settle(shared, "jaccard-shared")
     if shared.count() <= bitmap_keys:
@@ -239,6 +228,7 @@ def alive_classes(index: DataFrame, plan: Plan, bitmap_keys: int) -> DataFrame:
                 got = np.diff(hits[ends - ends[0]])
                 least = np.array([plan.least(n) for n in batch.column("n").to_pylist()])
                 yield batch.select(["class", "h"]).filter(pa.array(got >= least))
+            tidy()
 
         return index.select("class", "h", "n", "prefix").mapInArrow(run, "class bigint, h bigint")
     some = index.select("class", "h", "n", F.explode("prefix").alias("token")).join(shared, "token", "left_semi")
@@ -299,6 +289,7 @@ def index_keys(sets: DataFrame, plan: Plan, bitmap_keys: int) -> DataFrame:
                     at = np.flatnonzero(inside[a:b]) + a
                     keys.append(plan.keys(n, t[at], times[at]))
                 yield batch_of(keys, batch.column("class"), batch.column("n"))
+            tidy()
 
         return sets.select("class", "n", "tokens").mapInArrow(run, schema)
 
@@ -325,10 +316,13 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.where(plan.den * overlap >= plan.num * union).select("u", "v")
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``left``, or between ``left`` and
-    ``right``; indexes of ``right`` follow those of ``left``."""
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int, labels: list[int]) -> list[tuple[int, int]]:
+    """Links among ``left``, or between ``left`` and ``right``, as many as it takes to
+    join what they join; indexes of ``right`` follow those of ``left``.  Sets with the
+    same label are joined already."""
     sets = left + (right or [])
+    if len(set(labels)) < 2:
+        return []
     sizes = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -351,7 +345,8 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
     o = overlap.astype(np.int64)
     union = sizes[:a, None] + sizes[None, b0:] - o
     linked = den * o >= num * union
-    root = list(range(len(sets)))
+    first: dict[int, int] = {}
+    root = [first.setdefault(label, x) for x, label in enumerate(labels)]
 
     def find(x):
         while root[x] != x:
@@ -370,22 +365,23 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
 
 
 def block_pairs(members: DataFrame, sets: DataFrame, plan: Plan, block_rows: int, block_shingles: int) -> DataFrame:
-    """(u, v) links within each key of (key, class, n) rows, all against all, dealt
-    into blocks of bounded size; every pair of a key's blocks meets in one task."""
+    """(u, v) links within each key of (key, class, n, label) rows that join different
+    labels, all against all, dealt into blocks of bounded size; every pair of a key's
+    blocks meets in one task."""
     sizes = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all") / block_shingles)).cast("int")
     dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right"), F.when(o < F.col("block"), 1).otherwise(0).alias("side")))
-    held = dealt.join(sets.select("class", "tokens"), "class").select("key", "class", "tokens", F.explode(pair).alias("pair")).select("key", "class", "tokens", "pair.left", "pair.right", "pair.side")
+    held = dealt.join(sets.select("class", "tokens"), "class").select("key", "class", "label", "tokens", F.explode(pair).alias("pair")).select("key", "class", "label", "tokens", "pair.left", "pair.right", "pair.side")
 
     def run(table: pa.Table) -> pa.Table:
-        sides, names = table.column("side").to_pylist(), table.column("class").to_pylist()
+        sides, names, labels = (table.column(c).to_pylist() for c in ("side", "class", "label"))
         found = [t.values.to_numpy().view(np.uint64) for t in table.column("tokens")]
         left = [x for x, s in enumerate(sides) if s == 0]
         right = [x for x, s in enumerate(sides) if s == 1]
         rows = left + right
-        links = block_links([found[x] for x in left], [found[x] for x in right] if right else None, plan.num, plan.den) if left else []
+        links = block_links([found[x] for x in left], [found[x] for x in right] if right else None, plan.num, plan.den, [labels[x] for x in rows]) if left else []
         return pa.table({"u": pa.array([names[rows[i]] for i, _ in links], pa.int64()), "v": pa.array([names[rows[j]] for _, j in links], pa.int64())})
 
     return held.groupBy("key", "left", "right").applyInArrow(run, "u bigint, v bigint")
@@ -406,7 +402,7 @@ def class_links(sets: DataFrame, plan: Plan, block_rows: int, block_shingles: in
     member = kept.select("key", "class", "n").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_keys = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("class").cast("decimal(30,0)")).alias("hash")).where("low <> high AND rows > 3")
     open_keys = open_keys.groupBy("rows", "hash").agg(F.min("key").alias("key")).select("key")
-    rest = settle(kept.select("key", "class", "n").join(open_keys, "key"), "jaccard-open")
+    rest = settle(member.join(open_keys, "key"), "jaccard-open")
     more = settle(links.unionByName(block_pairs(rest, sets, plan, block_rows, block_shingles)), "jaccard-links")
     for df in (keys, kept, pairs, rest, links):
         discard(df)
