@@ -8,61 +8,9 @@ next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm.common import bound_batches, drop_ids, fold, join_ids, settle, table
-from tidemark.llm.decontam import contaminated
-from tidemark.llm.jaccard import jaccard_components
-from tidemark.llm.langid import UND, identify
-from tidemark.llm.packing import pack
-from tidemark.llm.queries import tokenizer_paths
-from tidemark.llm.toxicity import score_toxicity
-
-#: Documents whose best language has less probability than this are rejected.
-LEAST_LANGUAGE = 0.3
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without a letter or without a likely language."""
-    bound_batches(spark)
-    out = identify(docs.withColumnsRenamed({"score": "_score_in", "lang_pred": "_pred_in"}), fold(F.col("doc_id"), 4) != 2)
-    kept = out.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({"_score_in": "score", "_pred_in": "lang_pred"})
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts that the classifier calls toxic."""
-    bound_batches(spark)
-    out = score_toxicity(docs.withColumnsRenamed({"score": "_score_in", "predicted": "_pred_in"}), table(spark, sf_dir, "labels"), lambda c: fold(c, 5) != 0)
-    return out.where("predicted = 0").drop("score", "predicted").withColumnsRenamed({"_score_in": "score", "_pred_in": "predicted"})
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more)
-    the document with the smallest id stays; of rows with that id, one; rows without
-    an id all stay."""
-    bound_batches(spark)
-    groups = settle(jaccard_components(docs, words=5, num=4, den=5), "groups")
-    out = drop_ids(docs, groups.where("component_id <> doc_id").select("doc_id"), "doc_id")
-    repeated = settle(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.limit(1).count():
-        one = join_ids(out, repeated, "doc_id").dropDuplicates(["doc_id"])
-        out = drop_ids(out, repeated, "doc_id").unionByName(one.select(*docs.columns))
-    return out
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents that hold a benchmark item."""
-    bound_batches(spark)
-    leaks = settle(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return drop_ids(docs, leaks, "doc_id")
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences for training."""
-    bound_batches(spark)
-    return pack(docs, **tokenizer_paths())
 
+from tidemark.llm.common import discard, settle, table
+from tidemark.llm.stages import decontamination, language, near_duplicates, packing, toxicity
 
 STAGES = [
     ("language_id", language),
@@ -79,5 +27,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = settle(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
