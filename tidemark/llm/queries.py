@@ -92,5 +92,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+JACCARD = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+t AS (SELECT doc_id, unnest(sh) AS g FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 90 * (len(a.sh) + len(b.sh) - n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.doc)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT doc, min(label) AS component_id FROM r GROUP BY 1) ON doc = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The join can be said in SQL; models, tokenizers and media can't."""
+    return {"op8_jaccard_join": JACCARD}
