@@ -45,7 +45,12 @@ def who(user: str | Column = "user_id") -> Column:
 
 
 def requests(tl: dict[str, DataFrame], with_sources: bool = True) -> DataFrame:
+    """Delete requests, from a table of their own (workload_id, request_id, user_id,
+    requested_at, description, sources, trigger) or from the changes that ask for them."""
     key = lambda c: F.concat_ws(SEP, "workload_id", c)
+    if "requests" in tl:
+        sources = F.transform("sources", lambda x: F.concat_ws(SEP, "workload_id", x)) if with_sources else F.array().cast("array<string>")
+        return tl["requests"].select(key("request_id").alias("request_id"), who().alias("user_id"), "requested_at", "description", sources.alias("sources"), key("trigger").alias("trigger"))
     events = tl["events"].select(key("event_id").alias("event_id"), "seq", "content")
     changes = tl["mutations"].withColumns({"mutation_id": key("mutation_id"), "fact_id": key("fact_id"), "carrier_event_ids": F.transform("carrier_event_ids", lambda x: F.concat_ws(SEP, "workload_id", x))})
     owners = tl["facts"].select(key("fact_id").alias("fact_id"), who().alias("user_id"))
