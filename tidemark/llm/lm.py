@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, settle
+from .common import fold, settle, tidy
 
 END, UNK = 0, 1
 HEAD = 1 << 17
@@ -69,6 +69,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                     held.clear()
         if held:
             yield rows()
+        held.clear()
+        tidy()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
@@ -100,10 +102,14 @@ def make_classes(counts: np.ndarray, classes: int) -> np.ndarray:
 
 
 def exp_sum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their row sums."""
-    e = np.minimum(x, 60.0)
-    np.exp(e, out=e)
-    return e, e @ np.ones(x.shape[1], x.dtype)
+    """Exponentials, in place, and their row sums."""
+    np.minimum(x, 60.0, out=x)
+    np.exp(x, out=x)
+    return x, x @ rows_of_ones(x.shape[1])
+
+
+def rows_of_ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
 
 
 def log_sum(x: np.ndarray) -> np.ndarray:
@@ -111,7 +117,9 @@ def log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
     x += 1
     x *= 0.5
     return x
@@ -152,94 +160,118 @@ class Recurrent:
         """States (T, B, H) after each of the tokens ``prev`` (T, B)."""
         T, B = prev.shape
         H = self.h
-        xz = self.E[prev.ravel()] @ self.Wx + self.b
+        xz = self.E[prev.ravel()] @ self.Wx
+        xz += self.b
         xz = xz.reshape(T, B, 3 * H)
-        out, gates, cands = np.empty((T, B, H), np.float32), [], []
+        out = np.empty((T, B, H), xz.dtype)
+        gates, cands = np.empty((T if keep else 1, B, 2 * H), xz.dtype), np.empty((T if keep else 1, B, H), xz.dtype)
         for t in range(T):
-            g = sigmoid(xz[t, :, : 2 * H] + h @ self.Wh)
-            z, r = g[:, :H], g[:, H:]
-            c = np.tanh(xz[t, :, 2 * H :] + (r * h) @ self.Wc)
-            h = h + z * (c - h)
-            out[t] = h
-            if keep:
-                gates.append(g)
-                cands.append(c)
+            g, c = (gates[t], cands[t]) if keep else (gates[0], cands[0])
+            np.matmul(h, self.Wh, out=g)
+            g += xz[t, :, : 2 * H]
+            sigmoid(g)
+            np.matmul(g[:, H:] * h, self.Wc, out=c)
+            c += xz[t, :, 2 * H :]
+            np.tanh(c, out=c)
+            step = c - h
+            step *= g[:, :H]
+            h = np.add(step, h, out=out[t])
         return out, gates, cands
 
     def log_probability(self, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(target | state) of rows."""
-        cls = self.of[target]
-        logits = hs @ self.Oc + self.bc
-        out = logits[np.arange(len(target)), cls] - log_sum(logits)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(ends)):
+        order, ends = self.by_class(target)
+        hs, target = hs[order], target[order]
+        cls, rows = self.of[target], np.arange(len(target))
+        logits = hs @ self.Oc
+        logits += self.bc
+        found = logits[rows, cls] - log_sum(logits)
+        for c in np.flatnonzero(np.diff(ends)).tolist():
             lo, hi = self.edges[c], self.edges[c + 1]
             if hi - lo > 1:
-                at = order[ends[c] : ends[c + 1]]
-                inner = hs[at] @ self.Ow[lo:hi].T + self.bw[lo:hi]
-                out[at] += inner[np.arange(len(at)), target[at] - lo] - log_sum(inner)
+                i, j = ends[c], ends[c + 1]
+                inner = hs[i:j] @ self.Ow[lo:hi].T
+                inner += self.bw[lo:hi]
+                found[i:j] += inner[rows[: j - i], target[i:j] - lo]
+                found[i:j] -= log_sum(inner)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of targets by class, and where each class starts in it."""
+        cls = self.of[target]
+        order = np.argsort(cls.astype(np.int16) if len(self.edges) < 1 << 15 else cls, kind="stable")
+        return order, np.searchsorted(cls[order], np.arange(len(self.edges)))
+
     def learn(self, prev, h, target, valid, rate: float, state: dict) -> tuple[np.ndarray, float, int]:
         """One window: loss, gradients and an Adagrad step; the last state."""
         T, B = prev.shape
         H = self.h
         hs, gates, cands = self.run(prev, h, True)
         flat = np.flatnonzero(valid.ravel())
-        x, y = hs.reshape(-1, H)[flat], target.ravel()[flat]
-        m = len(y)
+        m = len(flat)
         if not m:
             return hs[-1], 0.0, 0
-        rows = np.arange(m)
+        # in order of class, so that a class's rows are a slice
+        y = target.ravel()[flat]
+        order, ends = self.by_class(y)
+        flat, y = flat[order], y[order]
         cls = self.of[y]
-        logits = x @ self.Oc + self.bc
-        d, total = exp_sum(logits)
-        loss = float((np.log(total) - logits[rows, cls]).sum())
+        x = hs.reshape(-1, H)[flat]
+        rows = np.arange(m)
+        d = x @ self.Oc
+        d += self.bc
+        loss = -float(d[rows, cls].sum())
+        d, total = exp_sum(d)
+        loss += float(np.log(total).sum())
         d /= total[:, None]
         d[rows, cls] -= 1
         dx = d @ self.Oc.T
         grads = {"Oc": x.T @ d, "bc": d.sum(0), "Ow": np.zeros_like(self.Ow), "bw": np.zeros_like(self.bw)}
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.edges)))
-        for c in np.flatnonzero(np.diff(ends)):
+        for c in np.flatnonzero(np.diff(ends)).tolist():
             lo, hi = self.edges[c], self.edges[c + 1]
             if hi - lo > 1:
-                at = order[ends[c] : ends[c + 1]]
-                inner = x[at] @ self.Ow[lo:hi].T + self.bw[lo:hi]
-                e, total = exp_sum(inner)
-                own = np.arange(len(at)), y[at] - lo
-                loss += float((np.log(total) - inner[own]).sum())
+                i, j = ends[c], ends[c + 1]
+                w = self.Ow[lo:hi]
+                e = x[i:j] @ w.T
+                e += self.bw[lo:hi]
+                own = rows[: j - i], y[i:j] - lo
+                loss -= float(e[own].sum())
+                e, total = exp_sum(e)
+                loss += float(np.log(total).sum())
                 e /= total[:, None]
                 e[own] -= 1
-                dx[at] += e @ self.Ow[lo:hi]
-                grads["Ow"][lo:hi], grads["bw"][lo:hi] = e.T @ x[at], e.sum(0)
+                dx[i:j] += e @ w
+                grads["Ow"][lo:hi], grads["bw"][lo:hi] = e.T @ x[i:j], rows_of_ones(j - i) @ e
         dhs = np.zeros((T * B, H), np.float32)
         dhs[flat] = dx
         dhs = dhs.reshape(T, B, H)
+        before = np.concatenate([h[None], hs[:-1]])
         dxz = np.empty((T, B, 3 * H), np.float32)
+        # what does not hang on later steps, for all steps at once
+        z, r = gates[:, :, :H], gates[:, :, H:]
+        slope_c, slope_z, slope_r = z * (1 - cands * cands), (cands - before) * z * (1 - z), before * r * (1 - r)
+        WhT, WcT = np.ascontiguousarray(self.Wh.T), np.ascontiguousarray(self.Wc.T)
         dh = np.zeros((B, H), np.float32)
-        gWh, gWc = np.zeros_like(self.Wh), np.zeros_like(self.Wc)
         for t in range(T - 1, -1, -1):
-            before = hs[t - 1] if t else h
-            z, r = gates[t][:, :H], gates[t][:, H:]
-            c = cands[t]
-            dh = dh + dhs[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - before) * z * (1 - z)
-            back = dc @ self.Wc.T
-            dr = back * before * r * (1 - r)
-            dg = np.concatenate([dz, dr], 1)
-            gWc += (r * before).T @ dc
-            gWh += before.T @ dg
-            dxz[t, :, : 2 * H], dxz[t, :, 2 * H :] = dg, dc
-            dh = dh * (1 - z) + back * r + dg @ self.Wh.T
+            dh += dhs[t]
+            dg, dc = dxz[t, :, : 2 * H], dxz[t, :, 2 * H :]
+            np.multiply(dh, slope_c[t], out=dc)
+            np.multiply(dh, slope_z[t], out=dg[:, :H])
+            back = dc @ WcT
+            np.multiply(back, slope_r[t], out=dg[:, H:])
+            dh *= 1 - z[t]
+            back *= r[t]
+            dh += back
+            dh += dg @ WhT
         flat_x = self.E[prev.ravel()]
         dxz = dxz.reshape(T * B, 3 * H)
-        grads |= {"Wh": gWh, "Wc": gWc, "Wx": flat_x.T @ dxz, "b": dxz.sum(0)}
+        grads |= {"Wh": before.reshape(-1, H).T @ dxz[:, : 2 * H], "Wc": (r * before).reshape(-1, H).T @ dxz[:, 2 * H :], "Wx": flat_x.T @ dxz, "b": dxz.sum(0)}
         dE = dxz @ self.Wx.T
-        order = np.argsort(prev.ravel(), kind="stable")
-        ids = prev.ravel()[order]
+        ids = prev.ravel()
+        order = np.argsort(ids.astype(np.int16) if self.size < 1 << 15 else ids, kind="stable")
+        ids = ids[order]
         firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         grads["E"] = np.zeros_like(self.E)
         grads["E"][ids[firsts]] = np.add.reduceat(dE[order], firsts, axis=0)
@@ -333,6 +365,9 @@ def train(docs: DataFrame, vocabulary: list[bytes], counts: np.ndarray, *, hidde
                         held, size = [], 0
             if held:
                 seen += train_part(own, held, state, steps=steps, width=width, rate=pace)[1]
+            held, state = [], {}
+            number.clear()
+            tidy()
             if seen:
                 flat = own.pack()
                 task = TaskContext.get().partitionId()
@@ -441,6 +476,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     held, size = [], 0
         if held:
             yield solve(held)
+        held = []
+        number.clear()
+        tidy()
 
     scored = settle(src.select("id", "held_out", "raw").mapInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, tail array<binary>, times array<bigint>"), "lm-scored")
     tail = scored.where(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
