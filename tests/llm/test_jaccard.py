@@ -9,16 +9,16 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.jaccard import jaccard_components
 
 
-def sets_of(rows):
+def sets_of(rows, k):
     out = []
     for doc, text in rows:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-        out.append((doc, frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])))
+        out.append((doc, frozenset(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)] if w else [])))
     return out
 
 
-def brute(rows, num=9, den=10):
-    s = sets_of(rows)
+def brute(rows, num=9, den=10, k=3):
+    s = sets_of(rows, k)
     root = list(range(len(s)))
 
     def find(x):
@@ -133,6 +133,14 @@ def test_the_two_ways_to_filter_agree(spark):
     assert sorted(map(tuple, jaccard_components(df, bitmap_keys=0).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("num, den, k", [(1, 2, 1), (4, 5, 5), (1, 5, 2)])
+def test_other_thresholds(spark, num, den, k):
+    rows = [(1000 + i, t) for i, t in enumerate(["a", "a b", "b c", "a b c d", "z", "z z", "q r s t", "q", "", "r s t"])] + near_copies(6)[:60]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_components(df, num=num, den=den, words=k, frequent=3, common=6, block_rows=16).collect()), key=str)
+    assert got == brute(rows, num, den, k)
+
+
 def test_a_group_that_no_hub_holds_together(spark):
     """A chain of texts under common keys: neighbours link, most pairs don't."""
     words = [f"w{k}" for k in range(400)]

@@ -212,7 +212,7 @@ def index_documents(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
 
 def alive_classes(index: DataFrame, plan: Plan, bitmap_keys: int) -> DataFrame:
     """(class, h) of the classes that may link, with the hash of a text of theirs."""
-    index = index.where("n > 1")
+    index = index.where("n > 0" if 2 * plan.num <= plan.den else "n > 1")  # a single shingle is half of a set at most
     index = index.join(index.groupBy("class").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")  # a row of each class
     shared = index.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
     shared = settle(shared, "jaccard-shared")
