@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prompts
 from ..functions import text as X
 from ..operators import deletes, evidence, extract, facts, metrics, replay, report, scoring, search, stream, validate
 from ..sources.tables import table
@@ -558,6 +559,21 @@ def fact_retrieval(spark, d):
     return out.select("query_id", "scope", "items", "tokens", "last", F.when(F.col("items").isNull(), F.col("reason")).alias("reason"))
 
 
+@query
+def event_lines(spark, d):
+    """Events as a model is shown them, their dates in words, and the address of each."""
+    e = table(spark, d, "events").withColumn("line", prompts.event_line(F.col("event_id").cast("string"), F.col("ts"), F.col("event_type"), F.col("props")))
+    asked = prompts.fill(F.lit("What did {user} do on {date}?"), {"user": F.concat(F.lit("u"), F.col("user_id").cast("string")), "date": prompts.long_date(F.col("ts"))})
+    return e.select("event_id", "line", asked.alias("question"), prompts.digest(F.col("line")).alias("digest"))
+
+
+@query
+def service_slots(spark, d):
+    """Suppliers as services: their short names, and slots of reply fields."""
+    s = table(spark, d, "supplier").withColumn("svc", F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))), F.lit("-service")))
+    return s.select("s_suppkey", prompts.short_name(F.col("svc")).alias("short"), X.slot_key(F.col("svc"), F.lit("Deploy Branch")).alias("slot"), F.round(prompts.percent(F.col("s_suppkey") % 7, F.col("s_suppkey") % 5), 6).alias("pct"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -226,4 +226,6 @@ ORACLES = {
     "erased_values": f"WITH {CLAIMS}, e AS (SELECT c.seq, (SELECT min(x.seq) FROM claims x WHERE x.is_delete AND x.user_id = c.user_id AND x.slot = c.slot AND x.seq > c.seq) AS r FROM claims c WHERE NOT is_delete) SELECT CAST(d.seq AS VARCHAR) AS request_id, CAST(1 AS BIGINT) AS slots, count(e.seq) AS erased FROM claims d LEFT JOIN e ON e.r = d.seq WHERE d.is_delete GROUP BY 1",
     "blocked_sources": f"WITH {CLAIMS} SELECT user_id, 'x' || seq AS event_id FROM claims WHERE is_delete UNION ALL SELECT user_id, CAST(seq AS VARCHAR) FROM claims c WHERE NOT is_delete AND EXISTS (SELECT 1 FROM claims x WHERE x.is_delete AND x.user_id = c.user_id AND x.slot = c.slot AND x.seq > c.seq)",
     "fact_retrieval": f"WITH {HISTORY}, {ASKED}, e AS (SELECT q.*, (SELECT count(*) FROM claims x WHERE x.is_delete AND x.user_id = q.user_id AND x.slot = q.slot AND x.ts <= q.asked_at) AS epoch FROM q), w AS (SELECT e.user_id, e.q, e.slot, max(CASE WHEN outcome = 'hold' THEN 1 ELSE 0 END) AS holds, max(CASE WHEN outcome = 'introduce' THEN 1 ELSE 0 END) AS opened FROM e JOIN oc ON oc.user_id = e.user_id AND oc.slot = e.slot AND oc.epoch = e.epoch AND oc.ts <= e.asked_at GROUP BY 1, 2, 3), f AS (SELECT e.user_id, e.q, e.slot, e.epoch, list_position(['click','view','purchase','signup','refund'], e.slot) AS place, holds = 1 AND opened = 0 AS held, h.label || ': ' || h.value || ' (since ' || strftime(h.valid_from, '%Y-%m-%d') || CASE WHEN h.valid_to <= e.asked_at THEN ' until ' || strftime(h.valid_to, '%Y-%m-%d') ELSE '' END || '; source: ' || CASE h.trust WHEN 3 THEN 'user_message' WHEN 2 THEN 'document' ELSE 'assistant_message' END || ')' AS content FROM e LEFT JOIN w USING (user_id, q, slot) LEFT JOIN hist h ON h.epoch = e.epoch AND h.user_id = e.user_id AND h.slot = e.slot AND h.valid_from <= e.as_of AND (h.valid_to IS NULL OR e.as_of < h.valid_to)), t AS (SELECT *, {TOKENS.format(c='content')} AS tokens FROM f), u AS (SELECT *, sum(tokens) OVER (PARTITION BY user_id, q ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM t WHERE content IS NOT NULL), k AS (SELECT user_id, q, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens, arg_max(content, place) AS last FROM u WHERE upto <= 50 GROUP BY 1, 2), y AS (SELECT user_id, q, CASE WHEN bool_or(content IS NULL AND epoch > 0) THEN 'deleted' WHEN bool_or(content IS NULL AND coalesce(held, false)) THEN 'unconfirmed' ELSE 'no value at date' END AS reason FROM f GROUP BY 1, 2) SELECT y.user_id AS query_id, y.q AS scope, items, tokens, last, CASE WHEN items IS NULL THEN reason END AS reason FROM y LEFT JOIN k USING (user_id, q)",
+    "event_lines": "WITH l AS (SELECT *, '[' || event_id || '] ' || strftime(ts, '%Y-%m-%d %H:%M') || ' ' || event_type || ': ' || props AS line FROM events) SELECT event_id, line, 'What did u' || user_id || ' do on ' || strftime(ts, '%B %-d, %Y') || '?' AS question, sha256(line) AS digest FROM l",
+    "service_slots": "SELECT s_suppkey, lower(replace(s_name, '#', '-')) AS short, lower(replace(s_name, '#', '-')) || '-service/deploy_branch' AS slot, round(CASE WHEN s_suppkey % 5 > 0 THEN 100.0::DOUBLE * (s_suppkey % 7) / (s_suppkey % 5) ELSE 0 END, 6) AS pct FROM supplier",
 }
