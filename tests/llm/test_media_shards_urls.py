@@ -64,6 +64,22 @@ def test_groups_stay_together(spark, empty):
     assert assign_shards(empty, shards=3).count() == 0
 
 
+def test_fewer_links_are_cut_than_by_hash(spark):
+    """Pairs of equal texts in different shards, against a hash and a greedy order."""
+    rows = [(i * 7919 % 100_003, f"text {i // 5}") for i in range(250)] + [(200_000 + i, f"single {i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = {r.doc_id: r.shard for r in assign_shards(df, shards=8).collect()}
+    groups = {}
+    for doc, text in rows:
+        groups.setdefault(text, []).append(doc)
+
+    def cut(shard_of):
+        return sum(shard_of(a) != shard_of(b) for docs in groups.values() for i, a in enumerate(docs) for b in docs[:i])
+
+    order = {doc: k * 8 // len(rows) for k, (doc, _) in enumerate(sorted(rows))}
+    assert cut(placed.get) <= 0.2 * cut(lambda d: d % 8) and cut(placed.get) <= 0.2 * cut(order.get)
+
+
 URLS = [
     ("https://a.COM/en/x?q", "a.com", "/en/x", "com/en/", "block"),
     ("http://m.example.com/en/77#z", "m.example.com", "/en/77", "example.com/en/7", "allow"),
