@@ -114,7 +114,7 @@ def test_lm_gradients():
     m._step = lambda name, grad, n, rate, state: seen.__setitem__(name, np.array(grad, float))
 
     def loss():
-        hs, _, _ = m.run(prev, h, False)
+        hs, _ = m.run(prev, h, False)
         return -m.log_probability(hs.reshape(-1, 5).astype(float), target.ravel()).sum()
 
     m.learn(prev, h, target, valid, 0.1, {})

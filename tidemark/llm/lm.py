@@ -160,23 +160,27 @@ class Recurrent:
         """States (T, B, H) after each of the tokens ``prev`` (T, B)."""
         T, B = prev.shape
         H = self.h
-        xz = self.E[prev.ravel()] @ self.Wx
+        x = self.E[prev.ravel()]
+        xz = x @ self.Wx
         xz += self.b
         xz = xz.reshape(T, B, 3 * H)
+        steps = T if keep else 1
         out = np.empty((T, B, H), xz.dtype)
-        gates, cands = np.empty((T if keep else 1, B, 2 * H), xz.dtype), np.empty((T if keep else 1, B, H), xz.dtype)
+        zs, rs, cs = (np.empty((steps, B, H), xz.dtype) for _ in range(3))
         for t in range(T):
-            g, c = (gates[t], cands[t]) if keep else (gates[0], cands[0])
-            np.matmul(h, self.Wh, out=g)
+            k = t if keep else 0
+            g = h @ self.Wh
             g += xz[t, :, : 2 * H]
             sigmoid(g)
-            np.matmul(g[:, H:] * h, self.Wc, out=c)
+            z, r, c = zs[k], rs[k], cs[k]
+            z[:], r[:] = g[:, :H], g[:, H:]
+            np.matmul(r * h, self.Wc, out=c)
             c += xz[t, :, 2 * H :]
             np.tanh(c, out=c)
             step = c - h
-            step *= g[:, :H]
+            step *= z
             h = np.add(step, h, out=out[t])
-        return out, gates, cands
+        return out, (x, zs, rs, cs)
 
     def log_probability(self, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(target | state) of rows."""
@@ -208,7 +212,7 @@ class Recurrent:
         """One window: loss, gradients and an Adagrad step; the last state."""
         T, B = prev.shape
         H = self.h
-        hs, gates, cands = self.run(prev, h, True)
+        hs, (flat_x, z, r, c) = self.run(prev, h, True)
         flat = np.flatnonzero(valid.ravel())
         m = len(flat)
         if not m:
@@ -229,10 +233,10 @@ class Recurrent:
         d[rows, cls] -= 1
         dx = d @ self.Oc.T
         grads = {"Oc": x.T @ d, "bc": d.sum(0), "Ow": np.zeros_like(self.Ow), "bw": np.zeros_like(self.bw)}
-        for c in np.flatnonzero(np.diff(ends)).tolist():
-            lo, hi = self.edges[c], self.edges[c + 1]
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            lo, hi = self.edges[k], self.edges[k + 1]
             if hi - lo > 1:
-                i, j = ends[c], ends[c + 1]
+                i, j = ends[k], ends[k + 1]
                 w = self.Ow[lo:hi]
                 e = x[i:j] @ w.T
                 e += self.bw[lo:hi]
@@ -250,24 +254,30 @@ class Recurrent:
         before = np.concatenate([h[None], hs[:-1]])
         dxz = np.empty((T, B, 3 * H), np.float32)
         # what does not hang on later steps, for all steps at once
-        z, r = gates[:, :, :H], gates[:, :, H:]
-        slope_c, slope_z, slope_r = z * (1 - cands * cands), (cands - before) * z * (1 - z), before * r * (1 - r)
+        rest = 1 - z
+        slope_c = c * c
+        np.subtract(1, slope_c, out=slope_c)
+        slope_c *= z
+        c -= before
+        c *= z
+        c *= rest  # now the slope of z
+        held = r * before
+        slope_r = held * (1 - r)
         WhT, WcT = np.ascontiguousarray(self.Wh.T), np.ascontiguousarray(self.Wc.T)
         dh = np.zeros((B, H), np.float32)
         for t in range(T - 1, -1, -1):
             dh += dhs[t]
             dg, dc = dxz[t, :, : 2 * H], dxz[t, :, 2 * H :]
             np.multiply(dh, slope_c[t], out=dc)
-            np.multiply(dh, slope_z[t], out=dg[:, :H])
+            np.multiply(dh, c[t], out=dg[:, :H])
             back = dc @ WcT
             np.multiply(back, slope_r[t], out=dg[:, H:])
-            dh *= 1 - z[t]
+            dh *= rest[t]
             back *= r[t]
             dh += back
             dh += dg @ WhT
-        flat_x = self.E[prev.ravel()]
         dxz = dxz.reshape(T * B, 3 * H)
-        grads |= {"Wh": before.reshape(-1, H).T @ dxz[:, : 2 * H], "Wc": (r * before).reshape(-1, H).T @ dxz[:, 2 * H :], "Wx": flat_x.T @ dxz, "b": dxz.sum(0)}
+        grads |= {"Wh": before.reshape(-1, H).T @ dxz[:, : 2 * H], "Wc": held.reshape(-1, H).T @ dxz[:, 2 * H :], "Wx": flat_x.T @ dxz, "b": dxz.sum(0)}
         dE = dxz @ self.Wx.T
         ids = prev.ravel()
         order = np.argsort(ids.astype(np.int16) if self.size < 1 << 15 else ids, kind="stable")
@@ -332,7 +342,7 @@ def score_texts(model: Recurrent, texts: list[np.ndarray], *, steps: int, width:
     h = None
     for rows, prev, target, valid, first in windows(texts, steps, width):
         h = np.zeros((len(rows), model.h), np.float32) if first else h[: len(rows)]
-        hs, _, _ = model.run(prev, h, False)
+        hs, _ = model.run(prev, h, False)
         flat = np.flatnonzero(valid.ravel())
         lp = model.log_probability(hs.reshape(-1, model.h)[flat], target.ravel()[flat])
         out[rows] += np.bincount(flat % len(rows), lp, len(rows))
