@@ -40,6 +40,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ DIM = 1 << BITS
 CHUNK_ROWS = 512
 MIN_WORDS = 8
 CELLS = 1 << 10
+TABLE_BYTES = 1 << 26
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 1 << 20
 CHUNK_WORDS = 1 << 15
@@ -194,21 +196,26 @@ class Index:
                 sizes.append(len(at))
                 held.append(np.unique(at))
         self.longest = max((x[1] for x in self.items), default=0)
+        self.words = [frozenset(x[2]) for x in self.items]
         self.owner, self.sizes = np.array(owner, np.int64), np.array(sizes, np.int64)
-        # words of the passages: sorted keys passage * words + word, and a coarse table
-        # by cells of the word number that never says no to a word that is there
+        # words of the passages: sorted keys passage * words + word, and a table of bounded
+        # size by cells of the word number that never says no to a word that is there;
+        # with a cell for each word it is exact
         passage = np.repeat(np.arange(len(held)), [len(x) for x in held])
         flat = np.concatenate(held) if held else np.zeros(0, np.int64)
         self.keys = passage * len(self.table) + flat
-        self.coarse = np.zeros((len(owner), CELLS + 1), bool)
-        self.coarse[passage, flat % CELLS] = True
+        self.exact = len(owner) * len(self.table) <= TABLE_BYTES
+        cells = len(vocabulary) if self.exact else CELLS
+        self.cell = np.append(np.arange(len(vocabulary)) % max(1, cells), [cells, cells])
+        self.coarse = np.zeros((len(owner), cells + 1), bool)
+        self.coarse[passage, self.cell[flat]] = True
         p = np.array(vectors, np.float32).reshape(len(owner), basis.shape[1])
         norm = np.maximum((p * p).sum(1), 1e-9)
         self.passages = (p * (np.array(full, np.float32) / norm)[:, None]).T.copy()
 
     def may_hold(self, passage: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Which words of ``ids`` (a row for each of ``passage``) may be in the passage."""
-        return self.coarse[passage[:, None], np.where(ids < len(self.number), ids % CELLS, CELLS)]
+        return self.coarse.reshape(-1).take((passage * self.coarse.shape[1])[:, None] + self.cell.take(ids))
 
     def holds(self, passage: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Which words of ``ids`` (a row for each of ``passage``) are in the passage."""
@@ -244,7 +251,7 @@ class Index:
         rows, passages = [at[:0]], [p[:0]]
         for lo in range(0, len(at), SLICE):
             a, q = at[lo : lo + SLICE], p[lo : lo + SLICE]
-            for among in (self.may_hold, self.holds):
+            for among in (self.may_hold,) if self.exact else (self.may_hold, self.holds):
                 bag = among(q, ids[a]).sum(1)
                 two = same[a]
                 bag[two] += among(q[two], ids[a[two] + 1]).sum(1)
@@ -258,6 +265,9 @@ class Index:
     def check(self, item: int, words: list[int], lcs_sure: float, lcs_least: float, answer_least: float) -> tuple[int, float] | None:
         """(LCS, answer share) of a region that holds the item, else None."""
         _, size, bits, answer = self.items[item]
+        lost = len(bits) - len(self.words[item].intersection(words))
+        if size - lost < lcs_least * size:
+            return None  # each word that is missing costs one at least
         got = lcs_length(bits, size, words)
         if got < lcs_least * size:
             return None
@@ -311,7 +321,7 @@ def search(docs: DataFrame, index: Index, item_type: T.DataType, *, min_cosine:
             id_type = batch.schema.field("id").type
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 words = words_of(text.as_py())
-                numbers = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+                numbers = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
                 rows += [(doc, item, 1.0, n, 1.0, 1.0) for n, item in sorted(index.short_items(numbers), key=str)]
                 for lo in range(0, len(numbers) if index.items else 0, CHUNK_WORDS):
                     part = numbers[max(0, lo - overlap) : lo + CHUNK_WORDS]
