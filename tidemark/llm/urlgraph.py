@@ -72,21 +72,30 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, tolerance:
     """Personalised PageRanks by kind, until no rank changes by ``tolerance``.  edges:
     (kind, src, dst, share) with shares that sum to 1 over a source; seeds: (kind, node,
     seed) with 1 over a kind."""
-    sources = edges.select("kind", F.col("src").alias("node")).distinct()
-    ranks = seeds.join(sources.withColumn("linked", F.lit(True)), ["kind", "node"], "left").na.fill(False, ["linked"])
-    ranks = settle(ranks.select("kind", "node", "seed", "linked", F.col("seed").alias("rank"), F.lit(0.0).alias("change")), "rank")
-    out = edges.select("kind", F.col("src").alias("node"), "dst", "share")
+    # numbers stand for (kind, node) in the rounds: short rows, and joins on one number
+    names = settle(seeds.withColumn("id", F.monotonically_increasing_id()), "rank-names")
+    number = lambda c, to: names.select("kind", F.col("node").alias(c), F.col("id").alias(to))
+    out = edges.join(number("src", "id"), ["kind", "src"]).join(number("dst", "to"), ["kind", "dst"])
+    out = settle(out.select("id", "to", "share"), "rank-edges")
+    linked = out.select("id").distinct().withColumn("linked", F.lit(True))
+    ranks = names.join(linked, "id", "left").na.fill(False, ["linked"])
+    ranks = settle(ranks.select("id", "kind", "seed", "linked", F.col("seed").alias("rank"), F.lit(0.0).alias("change")), "rank")
+    told = lambda df: df.groupBy("kind").agg(F.sum(F.when(~F.col("linked"), F.col("rank")).otherwise(0.0)).alias("loose"), F.max("change").alias("change")).collect()  # noqa: E731  a row per kind
+    state = told(ranks)
+    change = None
     for _ in range(max_rounds):
-        loose = ranks.where("NOT linked").groupBy("kind").agg(F.sum("rank").alias("loose"))  # a row per kind
-        moved = ranks.join(out, ["kind", "node"]).groupBy("kind", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.join(moved, ["kind", "node"], "left").join(F.broadcast(loose), "kind", "left")
-        rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) * F.col("seed"))
-        new = settle(new.select("kind", "node", "seed", "linked", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "rank")
-        change = new.agg(F.max("change")).first()[0]
+        loose = F.lit(0.0)
+        for r in state:
+            loose = F.when(F.col("kind") == r.kind, F.lit(r.loose)).otherwise(loose)
+        moved = ranks.join(out, "id").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = ranks.join(moved, "id", "left")
+        rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + loose * F.col("seed"))
+        new = settle(new.select("id", "kind", "seed", "linked", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "rank")
+        state = told(new)
         discard(ranks)
-        ranks = new
+        ranks, change = new, max((r.change for r in state), default=None)
         if change is None or change < tolerance:
-            return ranks
+            return names.select("id", "node").join(ranks, "id").select("kind", "node", "seed", "rank")
     raise RuntimeError(f"ranks still change by {change} after {max_rounds} rounds")
 
 
@@ -94,7 +103,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: s
     """(id, host, path, rule, verdict, trust, distrust) of every row."""
     parts = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "url")
     urls = settle(parts.select("id", "host", "path"), "urls")
-    ruled = rules_of_hosts(urls.where("host <> ''").select("host").distinct(), rules)
+    # a table of its own, so that the join can split the rows of a hot host
+    ruled = settle(rules_of_hosts(urls.where("host <> ''").select("host").distinct(), rules), "url-ruled")
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["start"])))
     judged = urls.join(ruled, "host", "left").withColumn("best", best)
     judged = settle(judged.select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.said").alias("said")), "url-rules")
@@ -110,6 +120,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: s
     seed = lambda kind, total: nodes.select(F.lit(kind).alias("kind"), F.col("host").alias("node"), (F.col(kind) / (total or 1.0)).alias("seed"))
     ranks = propagate(kinds, seed("trust", sums[0]).unionByName(seed("distrust", sums[1])), damping=damping, tolerance=tolerance / max(1, sums[2]), max_rounds=max_rounds)
     net = ranks.groupBy(F.col("node").alias("host")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
+    net = settle(net, "url-net")
     bad = F.coalesce((F.col("distrust") - F.col("trust")) * float(sums[2]) > margin, F.lit(False))
     verdict = F.coalesce("said", F.when(bad, "block").otherwise("allow"))
     return judged.join(net, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
