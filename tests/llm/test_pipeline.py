@@ -70,3 +70,42 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     per = out.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert per and max(r[1] for r in per) <= 2048
+
+
+def test_relieve_gives_the_drivers_memory_back(spark, monkeypatch):
+    """What nothing refers to is collected; the JVM's options are as before."""
+    import gc
+
+    from tidemark.llm import common
+
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    bean = jvm.java.lang.management.ManagementFactory.getPlatformMXBean
+    kind = jvm.java.lang.Class.forName
+    diagnostic = kind("com.sun.management.HotSpotDiagnosticMXBean")
+    option = lambda name: diagnostic.getMethod("getVMOption", _classes(gateway, jvm, ["java.lang.String"])).invoke(bean(diagnostic), _objects(gateway, jvm, [name])).getValue()
+    ratios = option("MinHeapFreeRatio"), option("MaxHeapFreeRatio")
+    held = [jvm.java.nio.ByteBuffer.allocate(1 << 18) for _ in range(1600)]
+    jvm.System.gc()  # they are old now, and stay until something collects them
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    full = used()
+    del held
+    gc.collect()
+    monkeypatch.setattr(common, "_relieved", -1e9, raising=False)
+    common.relieve(spark)
+    assert used() < full - (300 << 20)
+    assert (option("MinHeapFreeRatio"), option("MaxHeapFreeRatio")) == ratios
+
+
+def _classes(gateway, jvm, names):
+    out = gateway.new_array(jvm.java.lang.Class, len(names))
+    for k, x in enumerate(names):
+        out[k] = jvm.java.lang.Class.forName(x)
+    return out
+
+
+def _objects(gateway, jvm, values):
+    out = gateway.new_array(jvm.java.lang.Object, len(values))
+    for k, x in enumerate(values):
+        out[k] = x
+    return out

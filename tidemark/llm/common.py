@@ -8,9 +8,11 @@ setting is absent.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ BITMAP_WORDS = 1 << 20
 BITMAP_KEYS = 1 << 23
 #: Rows up to which a table of short rows is broadcast.
 SMALL = 10_000
+#: Seconds between two times that the driver gives freed memory back.
+RELIEVE_S = 10.0
+_relieved = -RELIEVE_S
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +49,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
+    relieve(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -89,6 +95,51 @@ def tidy() -> None:
         pass
 
 
+def relieve(spark: SparkSession) -> None:
+    """Give the freed memory of the driver, Python and JVM, back, at most every
+    RELIEVE_S seconds.  A query is many jobs on one driver; what plans, broadcasts and
+    collected rows leave behind otherwise stays with the process as free heap, and
+    blocks of broadcasts that nothing refers to stay until some collection."""
+    global _relieved
+    if time.monotonic() < _relieved + RELIEVE_S:
+        return
+    tidy()  # first, as Python's references keep Java objects
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = jvm.java.lang.Class.forName
+
+    def managed(bean: str, method: str, *args: str) -> str:
+        """Call a method of strings of a management bean, by its public interface."""
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        values, names = gateway.new_array(jvm.java.lang.Object, len(args)), gateway.new_array(jvm.java.lang.String, len(args))
+        for k, x in enumerate(args):
+            values[k], names[k] = x, "java.lang.String"
+        types = [jvm.javax.management.ObjectName(bean).getClass(), kind("java.lang.String"), values.getClass(), names.getClass()]
+        call = gateway.new_array(jvm.java.lang.Class, 4)
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        for k, x in enumerate((jvm.javax.management.ObjectName(bean), method, values, names)):
+            call[k], given[k] = types[k], x
+        return kind("javax.management.MBeanServer").getMethod("invoke", call).invoke(server, given)
+
+    hotspot = "com.sun.management:type=HotSpotDiagnostic"
+    options = {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "30"}  # for this collection
+    before: dict[str, str] = {}
+    try:
+        for name, value in options.items():
+            before[name] = str(managed(hotspot, "getVMOption", name).get("value"))
+            managed(hotspot, "setVMOption", name, value)
+        jvm.System.gc()
+        for name in reversed(options):
+            managed(hotspot, "setVMOption", name, before.pop(name))
+        managed("com.sun.management:type=DiagnosticCommand", "systemTrimNativeHeap")
+    except Py4JError:  # another JVM: it has no such options or commands
+        for name in reversed(before):
+            try:
+                managed(hotspot, "setVMOption", name, before[name])
+            except Py4JError:
+                pass
+    _relieved = time.monotonic()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import relieve, tidy
 
 WORD = re.compile(r"\w+")
 WINDOW = 32
@@ -142,9 +142,11 @@ def randomised_svd(passages: DataFrame, idf: dict[str, float], rank: int, *, ext
 
         schema = "chunk bigint, rows binary"
         out = np.zeros_like(q)
-        for chunk, rows in passages.mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect():  # DIM / CHUNK_ROWS rows
-            out[chunk * CHUNK_ROWS : (chunk + 1) * CHUNK_ROWS] = np.frombuffer(rows, np.float32).reshape(CHUNK_ROWS, -1)
-        sent.unpersist()
+        found = passages.mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).toArrow()  # DIM / CHUNK_ROWS rows
+        for chunk, rows in zip(found.column("chunk").to_pylist(), found.column("rows"), strict=True):
+            out[chunk * CHUNK_ROWS : (chunk + 1) * CHUNK_ROWS] = np.frombuffer(rows.as_buffer(), np.float32).reshape(CHUNK_ROWS, -1)
+        sent.destroy()
+        relieve(spark)
         return out
 
     for _ in range(rounds):

@@ -76,10 +76,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(df)], ["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # DIM + 1 rows
+    rows = docs.select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # DIM + 1 rows
     out = np.zeros(DIM + 1, np.int64)
-    for r in rows:
-        out[r[0]] = r[1]
+    out[rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
