@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tidemark.llm.packing import Encoder, best_cuts, pack  # noqa: E402
 from tidemark.llm.queries import tokenizer_paths  # noqa: E402
-from tidemark.llm.token_counts import count_long, count_tokens, load_tokenizer, stable_pieces  # noqa: E402
+from tidemark.llm.token_counts import count_long, count_short, count_tokens, cuts_at_spaces, load_tokenizer, stable_pieces  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,6 +43,70 @@ def test_counts(spark, tok, awkward, empty):
     assert count_tokens(empty, PATH).count() == 0
 
 
+class Asked:
+    """A tokenizer that notes how many texts and characters it encodes."""
+
+    def __init__(self, tok):
+        self.tok, self.texts, self.chars = tok, 0, 0
+
+    def encode_batch_fast(self, texts, **kwargs):
+        self.texts += len(texts)
+        self.chars += sum(map(len, texts))
+        return self.tok.encode_batch_fast(texts, **kwargs)
+
+
+def test_known_parts_are_encoded_once(tok):
+    rng, asked, known = random.Random(5), Asked(tok), {}
+    words = ["alpha", "Straße,", "été.", "don't", "x1!\ny", "z" * 90]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(8)]
+    for t in texts:
+        assert count_short(asked, [t], known) == [len(ids(tok, t))]
+    assert asked.chars < sum(map(len, texts)) / 20
+    assert sorted(known) == sorted(words[:-1])
+
+
+def test_texts_of_new_parts_are_encoded_at_once(tok):
+    asked, known = Asked(tok), {}
+    texts = [" ".join(f"w{100 * i + j}" for j in range(100)) for i in range(64)]
+    want = [len(ids(tok, t)) for t in texts]
+    assert count_short(asked, texts, known) == want
+    assert asked.texts <= 64 + 8 * 100 and len(known) == 8 * 99
+    for _ in range(30):  # what comes again is learnt, a few texts at a time
+        texts, want = texts[8:] + texts[:8], want[8:] + want[:8]
+        assert count_short(asked, texts, known) == want
+    assert len(known) == 64 * 99
+
+
+def test_parts_count_as_the_whole(tok, monkeypatch):
+    rng = random.Random(6)
+    bits = [" "] * 12 + ["a", "B", "é", "'s", "'", "7", "²", "!", "中", "\u0301", "🙂", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u200b", "\ufeff", "\x00", "<|endoftext|>", "<|endof"]
+    texts = ["", " ", "  ", " a", "a ", "a b", *("".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(20_000))]
+    want = [len(ids(tok, t)) for t in texts]
+    for cap in (1 << 19, 50):
+        monkeypatch.setattr("tidemark.llm.token_counts.KNOWN", cap)
+        known, got = {}, []
+        for lo in range(0, len(texts), 64):
+            got += count_short(tok, texts[lo : lo + 64], known)
+        assert got == want
+
+
+def test_other_tokenizers_are_not_cut(spark, tok, tmp_path):
+    from tokenizers import AddedToken, normalizers, pre_tokenizers
+
+    assert cuts_at_spaces(tok)
+    others = [load_tokenizer(PATH) for _ in range(4)]
+    others[0].pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    others[1].pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    others[2].normalizer = normalizers.Strip()
+    others[3].add_tokens([AddedToken("the end", normalized=False)])
+    texts = ["the end of the end", " a b  c ", "x the end", ""]
+    for i, other in enumerate(others):
+        assert not cuts_at_spaces(other)
+        other.save(path := str(tmp_path / f"{i}.json"))
+        rows = count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path).collect()
+        assert {r.doc_id: r.n_tokens for r in rows} == {k: len(ids(other, t)) for k, t in enumerate(texts)}
+
+
 def test_encoders_agree(tok):
     enc = Encoder(**{k.replace("tokenizer_path", "path"): v for k, v in tokenizer_paths().items()})
     for text in ("a<|endoftext|>b", "", "Zürich, it's 5 o'clock\n\n  yes", "x" * 5000):

@@ -1,14 +1,19 @@
 """Token counts by overlap resynchronisation.
 
-Texts up to ``chunk`` characters are encoded at once.  A longer text is encoded
-in overlapping chunks that keep their offsets; neighbours are spliced at a
-*stable common boundary*: a position where both encodings end a token and which
-every encoding of the text must end a token at, namely a space between two
-characters that are not white space.  The vocabulary's pre-tokeniser takes a
-space only as the first character of a piece and looks no further back, so the
-pieces before such a space do not depend on what follows it, nor the pieces
-after it on what precedes it.  Where an overlap holds no such position it is
-widened, and the chunk itself after that, until one is found or the text ends.
+A text of more than ``chunk`` characters is encoded in overlapping chunks that
+keep their offsets; neighbours are spliced at a *stable common boundary*: a
+position where both encodings end a token and which every encoding of the text
+must end a token at, namely a space between two characters that are not white
+space.  The vocabulary's pre-tokeniser takes a space only as the first character
+of a piece and looks no further back, so the pieces before such a space do not
+depend on what follows it, nor the pieces after it on what precedes it.  Where an
+overlap holds no such position it is widened, and the chunk itself after that,
+until one is found or the text ends.
+
+Shorter texts are cut at all their stable positions, and the tokenizer is asked
+once for each distinct part while it is known (``KNOWN`` parts, then it starts
+anew).  Where most parts are new, and with a tokenizer whose texts may not be cut
+there, texts are encoded at once.
 
 Null text counts as empty; every input row gives one output row, repeated rows
 too; extra columns are ignored.
@@ -17,8 +22,10 @@ too; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +33,10 @@ from pyspark.sql import DataFrame
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 LIMIT = 512
+GROUP = 64
+KNOWN = 1 << 19
+KEPT = 64  # characters of a part that is kept
+STABLE = re.compile(r" (?=\S)(?<=\S )")
 
 
 def load_tokenizer(path: str):
@@ -111,6 +122,46 @@ def count_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> in
     return total + len(left) - skip
 
 
+def cuts_at_spaces(tok) -> bool:
+    """Do the tokens on either side of a stable position not depend on the other side?"""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    pre = tok.pre_tokenizer
+    if tok.normalizer is not None or not isinstance(pre, ByteLevel) or pre.add_prefix_space or not pre.use_regex or getattr(tok.model, "dropout", None):
+        return False
+    return not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in tok.get_added_tokens_decoder().values())
+
+
+def _counts(tok, texts: list[str]) -> Iterator[int]:
+    for lo in range(0, len(texts), 4096):
+        yield from map(len, tok.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False))
+
+
+def _new(parts: list[list[str]], known: dict[str, int]) -> list[str]:
+    return list({p for ps in parts for p in islice(ps, 1, None) if p not in known})
+
+
+def count_short(tok, texts: list[str], known: dict[str, int] | None) -> list[int]:
+    """Tokens of each text.  ``known``: tokens of parts that follow a space, with
+    it; None if texts may not be cut."""
+    if known is None:
+        return list(_counts(tok, texts))
+    if len(known) > KNOWN:
+        known.clear()
+    parts = [STABLE.split(t) for t in texts]
+    new = _new(parts, known)
+    if 2 * len(new) > sum(map(len, parts)):  # asking for parts costs more than it saves: only a few texts are learnt from
+        parts = parts[: len(parts) // 8]
+        new = _new(parts, known)
+    known.update(zip(new, _counts(tok, [" " + p for p in new]), strict=True))
+    first = _counts(tok, [ps[0] for ps in parts])
+    out = [n + sum(map(known.__getitem__, islice(ps, 1, None))) for n, ps in zip(first, parts, strict=True)]
+    for p in new:
+        if len(p) > KEPT:
+            del known[p]
+    return out + list(_counts(tok, texts[len(parts) :]))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row's whole text."""
     kind = docs.schema[id_col].dataType
@@ -118,14 +169,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(tokenizer_path)
+        known: dict[str, int] | None = {} if cuts_at_spaces(tok) else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [0] * len(texts)
             short = [k for k, t in enumerate(texts) if len(t) <= chunk]
-            for lo in range(0, len(short), 256):
-                part = short[lo : lo + 256]
-                for k, enc in zip(part, tok.encode_batch_fast([texts[k] for k in part], add_special_tokens=False), strict=True):
-                    counts[k] = len(enc)
+            for lo in range(0, len(short), GROUP):
+                part = short[lo : lo + GROUP]
+                for k, n in zip(part, count_short(tok, [texts[k] for k in part], known), strict=True):
+                    counts[k] = n
             for k, t in enumerate(texts):
                 if len(t) > chunk:
                     counts[k] = count_long(tok, t, chunk, overlap)
