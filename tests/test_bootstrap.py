@@ -57,3 +57,18 @@ def test_hits_are_all_draws():
             at = (d * 48271 + rep * 69621 + 12345) % 2147483647 % 70_001
             want[k][0 if at < 3 else 1 if at < 1000 else 2] += 1
     assert got.tolist() == want
+
+
+def test_paired_interval_with_nulls_as_in_sql(spark):
+    from tidemark.operators import report
+
+    r = random.Random(7)
+    rows = [(i, g, r.choice([0, 1, 1, None]), r.choice([0, 0, 1])) for i, g in enumerate("a" * 150 + "b" * 40)] + [(900, "void", None, 1), (901, None, 1, 0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR)")
+    con.executemany("INSERT INTO labels VALUES (?, ?, ?)", [(i, a, b) for i, _, a, b in rows])
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, g) for i, g, _, _ in rows])
+    df = report.paired_interval(spark.createDataFrame(rows, "doc_id bigint, lang string, quality int, toxic int"), "lang", "quality", "toxic")
+    got = sorted(map(tuple, df.select("lang", "pairs", "diff", "low", "high").collect()))
+    assert got == sorted(con.execute(ORACLES["paired_ci"]).fetchall())
