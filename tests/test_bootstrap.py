@@ -72,3 +72,14 @@ def test_paired_interval_with_nulls_as_in_sql(spark):
     df = report.paired_interval(spark.createDataFrame(rows, "doc_id bigint, lang string, quality int, toxic int"), "lang", "quality", "toxic")
     got = sorted(map(tuple, df.select("lang", "pairs", "diff", "low", "high").collect()))
     assert got == sorted(con.execute(ORACLES["paired_ci"]).fetchall())
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(metrics._draw))
+    load = "import sys, pickle; sys.path = [p for p in sys.path if p]; f = pickle.load(open('f', 'rb')); assert list(f('g', 1, [])) == [] and 'tidemark' not in sys.modules"
+    subprocess.run([sys.executable, "-c", load], cwd=tmp_path, check=True, env={})

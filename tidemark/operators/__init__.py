@@ -1 +1,11 @@
+"""Operators over facts, events and run logs.
 
+Functions that run on executors are sent by value, so a cluster needs no copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
