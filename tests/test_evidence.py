@@ -48,3 +48,45 @@ def test_kappa(spark):
     got = {r.c: r for r in report.agreement(rows, "c", "j", "h").collect()}
     assert (got["g"].agreement, got["g"].kappa, got["g"].yes_no, got["g"].no_yes) == (0.983333, 0.966667, 0, 1)
     assert got["h"].kappa is None
+
+
+PHRASES = ["To this nt", "to THIS, nt", "this", "a", "x y z", "--", "...", "- -", "o'er the", "l'été, né", "straſse", "ΟΔΟΣ", "σ", " ", " ", "", "(a b)", "b) c", "é", "1.5 2", "C++", "+ +", "İ", None, "a b c d e f g h i j k l m n o p q r", "a b c d e f g h i j k l m n o p q s"]
+TEXTS = ["To  this\nnt.", "to this, nt", "To thiss nt", "x y  z", "xx y z", "x yz", "a--b -- c", "...", "wait....", "- -", "o'er\tthe", "L'ÉTÉ, NÉ!", "STRASSE strasse", "οδος ΟΔΟΣ", "Σ", "a b", "((a b) c)", "é", "11.5 2", "1.5 2", "c++", "C+++", "+  +", "i̇", "", None, "A b c d e f g h i j k l m n o p q r", "a " * 40]
+
+
+@pytest.mark.parametrize("bitmap_keys", [1 << 23, 0])
+def test_phrase_pairs_are_all_that_the_pattern_accepts(spark, monkeypatch, bitmap_keys):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.text import mentions
+
+    monkeypatch.setattr(evidence, "BITMAP_KEYS", bitmap_keys, raising=False)
+    texts = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(TEXTS * 2 + TEXTS[::-1])], "id int, u int, t string")
+    phrases = spark.createDataFrame([(u, p) for p in PHRASES for u in (0, 1) if (len(p or "") + u) % 3], "u int, phrase string")
+    want = texts.join(phrases, "u").where(mentions(F.col("t"), F.col("phrase"))).select("u", "id", "phrase").distinct()
+    got = evidence.phrase_pairs(texts, "id", "t", phrases, "u")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    free = phrases.select("phrase")
+    want = texts.join(free.distinct()).where(mentions(F.col("t"), F.col("phrase"))).select("id", "phrase").distinct()
+    assert sorted(map(tuple, evidence.phrase_pairs(texts, "id", "t", free).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_phrases_of_one_first_word_meet_only_their_texts(spark):
+    """Texts and phrases that share a first word were all paired; the rows that the
+    joins make grew with the square."""
+    rows = spark.range(300).selectExpr("id", "concat('the x', id, ' y') AS t")
+    found = evidence.phrase_pairs(rows, "id", "t", rows.selectExpr("t AS phrase"))
+    assert found.count() == 300
+    found.collect()
+
+    def made(node):
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            return made(node.executedPlan())
+        if "QueryStage" in name:
+            return made(node.plan())
+        own = [node.metrics().apply("numOutputRows").value()] if "Join" in name and node.metrics().contains("numOutputRows") else []
+        return own + [x for i in range(node.children().size()) for x in made(node.children().apply(i))]
+
+    joins = made(found._jdf.queryExecution().executedPlan())
+    assert joins and max(joins) <= 400

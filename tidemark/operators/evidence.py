@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions
+from ..plans.lineage import cut
 from .facts import disputes, held_claims, history, outcomes, tombstones
 
 
@@ -92,19 +96,88 @@ def _words(c):
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
+#: Tokens of a phrase that its key tells; words of 64 bits in the bitmap of keys (8 MB);
+#: keys up to which it is sent.
+DEPTH, BITMAP_WORDS, BITMAP_KEYS = 16, 1 << 20, 1 << 23
+
+
+def _tokens(c):
+    """Hashes of a text's words and marks, in order and whatever their case (of letters
+    that a pattern takes for the same: s and long s, sigma and its final form)."""
+    c = F.col(c)
+    once = F.translate(F.upper(F.translate(F.lower(c), "\u03c2\u0307", "\u03c3")), "\u0307", "")  # lower(upper()) alone is made lower()
+    folded = F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(F.lower(once), "\u03c2\u0307", "\u03c3"))
+    return F.transform(F.regexp_extract_all(folded, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def _runs(flat: np.ndarray, size: int, scope: np.ndarray) -> np.ndarray:
+    """A key for each run of ``size`` tokens; ``scope`` has a number for each run."""
+    n = len(flat) - size + 1
+    key = np.full(n, size, np.uint64)
+    for j in range(size):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n].view(np.uint64)
+    return ((key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) ^ scope.view(np.uint64)).view(np.int64)
+
+
+def _phrase_key(tokens, scope):
+    """The key of a phrase: that of its first tokens."""
+    import pyarrow as pa
+
+    lists = [t.values.to_numpy()[:DEPTH] for t in tokens]
+    return pa.array([_runs(t, len(t), s)[0] for t, s in zip(lists, scope.to_numpy()[:, None], strict=True)], pa.int64())
+
+
+def _text_keys(sizes, sent, tokens, scope):
+    """The keys of all runs of a text's tokens, of the sizes that phrases have; those
+    that the bitmap can't rule out."""
+    import pyarrow as pa
+
+    flat, ends = tokens.flatten().to_numpy(), np.cumsum(np.diff(tokens.offsets.to_numpy()) * tokens.is_valid().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    scopes, rows, keys = scope.to_numpy(), [], []
+    for size in sizes:
+        if len(flat) < size:
+            continue
+        at = row[: len(flat) - size + 1]
+        found = _runs(flat, size, scopes[at])
+        kept = at == row[size - 1 :]
+        if sent is not None:
+            h = found.view(np.uint64)
+            kept &= (sent.value[h & np.uint64(BITMAP_WORDS - 1)] >> (h >> np.uint64(32) & np.uint64(63)) & np.uint64(1)).astype(bool)
+        rows.append(at[kept])
+        keys.append(found[kept])
+    rows, keys = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.int64)])
+    order = np.argsort(rows, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(ends)))])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order]))
+
+
 def phrase_pairs(texts: DataFrame, key: str, text: str, phrases: DataFrame, *scope: str) -> DataFrame:
     """(scope, key, phrase) for every text that mentions a phrase, of the same scope.
 
-    Pairs must share the phrase's first word, an equi-join that leaves the pattern to
-    few pairs; a word of the texts that begins no phrase is dropped before it.  Phrases
-    without any word are tried on every text.
+    A mention has the phrase's words and marks, all of them, one after another; so pairs
+    must share a key of the phrase's first 16 words and marks, an equi-join that leaves
+    to the pattern only what it accepts, or nearly.  Texts give the keys of all their
+    runs as long as some phrase; a bitmap of the phrases' keys drops most of them before
+    anything is shuffled.  Phrases without any word or mark are tried on every text.
     """
-    phrases = phrases.select(*scope, "phrase").distinct().withColumn("_w", _word("phrase"))
-    worded = phrases.where("_w <> ''")
+    of = F.xxhash64(*scope) if scope else F.lit(0).cast("bigint")
+    key_of = F.arrow_udf(_phrase_key, "bigint")
+    phrases = phrases.select(*scope, "phrase").distinct().where("trim(phrase) <> ''").withColumn("_t", F.slice(_tokens("phrase"), 1, DEPTH))
+    phrases = cut(phrases.select(*scope, "phrase", F.size("_t").alias("_n"), F.when(F.size("_t") > 0, F.col("_t")).alias("_t")))
+    keyed = phrases.where("_n > 0").select(*scope, "phrase", "_n", key_of("_t", of).alias("_h"))
+    sizes = {r["_n"]: r["count"] for r in keyed.groupBy("_n").count().collect()}  # at most DEPTH
+    sent = None
+    if sum(sizes.values()) <= BITMAP_KEYS:
+        bits = keyed.select(F.expr(f"cast(_h & {BITMAP_WORDS - 1} as int)").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(_h, 32) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()  # at most BITMAP_WORDS rows
+        held = np.zeros(BITMAP_WORDS, np.uint64)
+        held[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+        sent = phrases.sparkSession.sparkContext.broadcast(held)
+    keys_of = F.arrow_udf(partial(_text_keys, sorted(sizes), sent), "array<bigint>")
     rows = texts.select(*scope, key, F.col(text).alias("_text"))
-    spread = rows.select(*scope, key, F.explode(_words("_text")).alias("_w")).join(worded.select(*scope, "_w").distinct(), [*scope, "_w"], "left_semi")
-    near = spread.join(worded, [*scope, "_w"]).select(*scope, key, "phrase").join(rows, [*scope, key])
-    odd = phrases.where("_w = '' AND trim(phrase) <> ''").drop("_w")
+    spread = rows.select(*scope, key, F.explode(F.array_distinct(keys_of(_tokens("_text"), of))).alias("_h"))
+    near = spread.join(keyed.drop("_n"), [*scope, "_h"]).select(*scope, key, "phrase").join(rows, [*scope, key])
+    odd = phrases.where("_n = 0").select(*scope, "phrase")
     other = rows.join(odd, list(scope)) if scope else rows.join(odd, F.lit(True))
     both = near.select(*scope, key, "phrase", "_text").unionByName(other.select(*scope, key, "phrase", "_text"))
     return both.where(mentions(F.col("_text"), F.col("phrase"))).select(*scope, key, "phrase").distinct()
