@@ -45,45 +45,59 @@ def within_budget(evidence: DataFrame, budget: int) -> DataFrame:
     return evidence.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
 
 
-#: Floats of the queries that one task holds at a time.
-QUERY_FLOATS = 1 << 22
+#: Floats of the queries that one task holds at a time, and scores that it computes at
+#: once.
+QUERY_FLOATS, SCORES = 1 << 22, 1 << 20
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, *, top_k: int = 10, query_floats: int = QUERY_FLOATS) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, *, top_k: int = 10, query_floats: int = QUERY_FLOATS, scores: int = SCORES) -> DataFrame:
     """Exact cosine top-k of (query_id, embedding) over (vec_id, embedding).
 
     A stated query set meets all vectors in blocks: queries are dealt by hash into as
-    many blocks as keep one within ``query_floats``, each block is sent once and every
-    batch of vectors gives its own top-k by one matrix product, so only k rows per
-    query and batch are shuffled.  Zero vectors have no cosine and are left out.
+    many blocks as keep one within ``query_floats``, and each block is sent once.  A task
+    takes its vectors and the block's queries in tiles of at most ``scores`` products and
+    keeps the best k of each query so far, so k rows per query and task are shuffled.
+    Zero vectors have no cosine and are left out.
     """
     import numpy as np
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding") + 2 * top_k), F.lit(0))).first()[0]  # a query and its best
     blocks = max(1, -(-size // query_floats))
+    floats = lambda column: column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
     out = None
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").toArrow()  # a bounded block
         ids = rows.column("query_id").to_numpy()
-        q = np.array(rows.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+        q = floats(rows.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0))
         sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
         def run(batches):
             ids, q = sent.value
+            wide = min(4096, scores)
+            tall = max(1, scores // wide)
+            best, names = np.full((len(ids), top_k), -2.0), np.zeros((len(ids), top_k), np.int64)
             for batch in batches:
-                v = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(len(batch), -1)
-                norm = np.linalg.norm(v, axis=1)
-                names = batch.column("vec_id").to_numpy()
-                if not len(ids) or not len(names):
-                    continue
-                score = np.round(q @ (v / np.maximum(norm, 1e-300)[:, None]).T, 6)
-                score[(ids[:, None] == names[None, :]) | (norm == 0)[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(names, score.shape), -score))[:, :top_k]
-                best = np.take_along_axis(score, order, 1)
-                at, k = np.nonzero(best > -2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(names[order[at, k]]), pa.array(best[at, k])], ["query_id", "vec_id", "score"])
+                for at in range(0, batch.num_rows if len(ids) else 0, wide):
+                    v = batch.column("embedding").slice(at, wide)
+                    v, name = floats(v), batch.column("vec_id").slice(at, wide).to_numpy()
+                    norm = np.linalg.norm(v, axis=1)
+                    v = (v / np.maximum(norm, 1e-300)[:, None]).T
+                    for top in range(0, len(ids), tall):
+                        part = slice(top, top + tall)
+                        score = np.round(q[part] @ v, 6)
+                        score[(ids[part, None] == name[None, :]) | (norm == 0)[None, :]] = -2
+                        # what is no worse than the k-th so far, some of it by name
+                        near = (score >= best[part, -1:]) & (score > -2)
+                        for i in np.flatnonzero(near.any(axis=1)):
+                            s = np.concatenate([best[top + i], score[i, near[i]]])
+                            n = np.concatenate([names[top + i], name[near[i]]])
+                            order = np.lexsort((n, -s))[:top_k]
+                            best[top + i], names[top + i] = s[order], n[order]
+            at, k = np.nonzero(best > -2)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(names[at, k]), pa.array(best[at, k])], ["query_id", "vec_id", "score"])
 
         found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
         out = found if out is None else out.unionByName(found)
