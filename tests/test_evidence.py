@@ -54,13 +54,14 @@ PHRASES = ["To this nt", "to THIS, nt", "this", "a", "x y z", "--", "...", "- -"
 TEXTS = ["To  this\nnt.", "to this, nt", "To thiss nt", "x y  z", "xx y z", "x yz", "a--b -- c", "...", "wait....", "- -", "o'er\tthe", "L'ÉTÉ, NÉ!", "STRASSE strasse", "οδος ΟΔΟΣ", "Σ", "a b", "((a b) c)", "é", "11.5 2", "1.5 2", "c++", "C+++", "+  +", "i̇", "", None, "A b c d e f g h i j k l m n o p q r", "a " * 40]
 
 
-@pytest.mark.parametrize("bitmap_keys", [1 << 23, 0])
-def test_phrase_pairs_are_all_that_the_pattern_accepts(spark, monkeypatch, bitmap_keys):
+@pytest.mark.parametrize("bitmap_keys, runs", [(1 << 23, 1 << 17), (0, 1 << 17), (1 << 23, 3)])
+def test_phrase_pairs_are_all_that_the_pattern_accepts(spark, monkeypatch, bitmap_keys, runs):
     from pyspark.sql import functions as F
 
     from tidemark.functions.text import mentions
 
     monkeypatch.setattr(evidence, "BITMAP_KEYS", bitmap_keys, raising=False)
+    monkeypatch.setattr(evidence, "RUNS", runs, raising=False)
     texts = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(TEXTS * 2 + TEXTS[::-1])], "id int, u int, t string")
     phrases = spark.createDataFrame([(u, p) for p in PHRASES for u in (0, 1) if (len(p or "") + u) % 3], "u int, phrase string")
     want = texts.join(phrases, "u").where(mentions(F.col("t"), F.col("phrase"))).select("u", "id", "phrase").distinct()

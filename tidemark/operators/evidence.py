@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -97,8 +98,8 @@ def _words(c):
 
 
 #: Tokens of a phrase that its key tells; words of 64 bits in the bitmap of keys (8 MB);
-#: keys up to which it is sent.
-DEPTH, BITMAP_WORDS, BITMAP_KEYS = 16, 1 << 20, 1 << 23
+#: keys up to which it is sent; runs of tokens whose keys a task makes at once.
+DEPTH, BITMAP_WORDS, BITMAP_KEYS, RUNS = 16, 1 << 20, 1 << 23, 1 << 17
 
 
 def _tokens(c):
@@ -133,20 +134,21 @@ def _text_keys(sizes, sent, tokens, scope):
     import pyarrow as pa
 
     flat, ends = tokens.flatten().to_numpy(), np.cumsum(np.diff(tokens.offsets.to_numpy()) * tokens.is_valid().to_numpy(zero_copy_only=False))
-    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    row = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
     scopes, rows, keys = scope.to_numpy(), [], []
-    for size in sizes:
-        if len(flat) < size:
+    for start, size in product(range(0, len(flat), RUNS), sizes):
+        part = flat[start : start + RUNS + size - 1]
+        if len(part) < size:
             continue
-        at = row[: len(flat) - size + 1]
-        found = _runs(flat, size, scopes[at])
-        kept = at == row[size - 1 :]
+        at = row[start : start + len(part) - size + 1]
+        found = _runs(part, size, scopes[at])
+        kept = at == row[start + size - 1 : start + len(part)]
         if sent is not None:
             h = found.view(np.uint64)
             kept &= (sent.value[h & np.uint64(BITMAP_WORDS - 1)] >> (h >> np.uint64(32) & np.uint64(63)) & np.uint64(1)).astype(bool)
         rows.append(at[kept])
         keys.append(found[kept])
-    rows, keys = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.int64)])
+    rows, keys = np.concatenate([*rows, np.zeros(0, np.int32)]), np.concatenate([*keys, np.zeros(0, np.int64)])
     order = np.argsort(rows, kind="stable")
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(ends)))])
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order]))
